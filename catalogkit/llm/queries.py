@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, fingerprints, license_scan, packing, token_files, toxicity, url_filter
+from . import common, decontamination, fingerprints, license_scan, near_dedup, ngram_lm, packing, substrings, token_files, toxicity, url_filter
 from .tokens import Vocabulary
 
 #: The rules of the URL query.
@@ -19,6 +19,13 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(common.table(spark, sf_dir, "documents"))
 
 
+def op2_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    held_out = common.fold_mod("doc_id", 10) == 0
+    scored = ngram_lm.score(docs, ngram_lm.fit(docs.where(~held_out)))
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, common.table(spark, sf_dir, "labels"), held_out_fold=2, folds=4)
@@ -31,11 +38,25 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(common.table(spark, sf_dir, "documents"), shingle_words=4, percent=80)
+
+
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.remove_repeats(common.table(spark, sf_dir, "documents"), window=35)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = url_filter.build_index(spark.createDataFrame(URL_RULES, "rule string, verdict string"))
     return url_filter.apply(common.table(spark, sf_dir, "pages"), index)
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = decontamination.index_items(common.table(spark, sf_dir, "benchmark"))
+    return decontamination.find_contaminated(common.table(spark, sf_dir, "documents"), items)
+
+
 def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = Vocabulary(public_tokenizers.path("word_bpe_49k.json"), spaced=False)
     return token_files.read_documents(spark, token_files.write_tokens(common.table(spark, sf_dir, "documents"), vocabulary, end_id=2))
@@ -48,7 +69,8 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fingerprints, op3_toxicity, op4_license_scan, op7_url_filter, op9_token_ids, op10_best_fit_packing)}
+    found = (op1_fingerprints, op2_ngram_lm, op3_toxicity, op4_license_scan, op5_near_dedup, op6_substring_dedup, op7_url_filter, op8_decontamination, op9_token_ids, op10_best_fit_packing)
+    return {f.__name__: f for f in found}
 
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -68,5 +90,40 @@ FROM parts p LEFT JOIN fits f ON f.page_id = p.page_id AND f.k = 1
 """
 
 
+_WORDS = r"'[^\x20\x09-\x0D]+'"
+
+_NEAR_SQL = rf"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, {_WORDS}) AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), i -> array_to_string(w[i:i+3], ' '))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM words),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (
+  SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+mutual AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(doc_id, root) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT mutual.b, reach.root FROM reach JOIN mutual ON mutual.a = reach.doc_id),
+least AS (SELECT doc_id, min(root) AS component_id FROM reach GROUP BY doc_id)
+SELECT d.doc_id, coalesce(sizes.n, 0)::BIGINT AS n_shingles, least.component_id, d.doc_id = least.component_id AS kept
+FROM documents d JOIN least USING (doc_id) LEFT JOIN sizes USING (doc_id)
+"""
+
+_REPEATS_SQL = rf"""
+WITH words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {_WORDS}) AS w FROM documents),
+each AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM words),
+windows AS (SELECT doc_id, i, w[i] AS word, CASE WHEN i + 34 <= len(w) THEN array_to_string(w[i:i+34], ' ') END AS s FROM each),
+counted AS (SELECT doc_id, i, word, s IS NOT NULL AND count(*) OVER (PARTITION BY s) > 1 AS twice FROM windows),
+marked AS (
+  SELECT doc_id, i, word, bool_or(twice) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone FROM counted),
+totals AS (
+  SELECT doc_id, count(*) AS n, count(*) FILTER (gone) AS k, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS t FROM marked GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_words, coalesce(k, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM documents d LEFT JOIN totals USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_url_filter": _URL_SQL}
+    return {"op5_near_dedup": _NEAR_SQL, "op6_substring_dedup": _REPEATS_SQL, "op7_url_filter": _URL_SQL}

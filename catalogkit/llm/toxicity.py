@@ -15,6 +15,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -250,6 +251,27 @@ def fit(docs: DataFrame, labels: DataFrame, held_out_fold: int = 2, folds: int =
     return {"lexicon": lexicon, "exceptions": exceptions, "weights": weights, "prior": None}
 
 
+def _scores(texts: list[str | None], scorer: Scorer, model: dict) -> tuple[np.ndarray, list[int]]:
+    weights = model["weights"]
+    if not weights:
+        return np.full(len(texts), model["prior"]), [0] * len(texts)
+    f = [scorer.features(t) for t in texts]
+    z = weights[0] + _inputs(np.array([a[0] for a in f]), np.array([a[1] for a in f])) @ np.array(weights[1:])
+    return 1 / (1 + np.exp(-np.clip(z, -50, 50))), [a[2] for a in f]
+
+
+def score_column(model: dict):
+    """A function of a text column that gives the score."""
+
+    @F.pandas_udf("double")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        scorer = Scorer(model["lexicon"], model["exceptions"])
+        for texts in batches:
+            yield pd.Series(_scores(texts.tolist(), scorer, model)[0])
+
+    return score
+
+
 _SCHEMA = "doc_id long, score double, n_hits long"
 
 
@@ -258,14 +280,9 @@ def score_documents(docs: DataFrame, model: dict) -> DataFrame:
     empty; an empty text has no hit. Repeated rows get equal scores; an empty table gives an empty result."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer, weights = Scorer(model["lexicon"], model["exceptions"]), model["weights"]
+        scorer = Scorer(model["lexicon"], model["exceptions"])
         for batch in batches:
-            f = [scorer.features(t) for t in batch["text"].to_pylist()] if weights else [(0.0, 0.0, 0)] * batch.num_rows
-            if weights:
-                z = weights[0] + _inputs(np.array([a[0] for a in f]), np.array([a[1] for a in f])) @ np.array(weights[1:])
-                score = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
-            else:
-                score = np.full(len(f), model["prior"])
-            yield pa.RecordBatch.from_arrays([batch["doc_id"].cast(pa.int64()), pa.array(score, pa.float64()), pa.array([a[2] for a in f], pa.int64())], names=["doc_id", "score", "n_hits"])
+            score, hits = _scores(batch["text"].to_pylist(), scorer, model)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"].cast(pa.int64()), pa.array(score, pa.float64()), pa.array(hits, pa.int64())], names=["doc_id", "score", "n_hits"])
 
     return docs.select("doc_id", "text").mapInArrow(run, _SCHEMA)
