@@ -53,15 +53,22 @@ def split_item(text: str) -> tuple[str, str]:
     return " ".join(words[:cut]), " ".join(words[cut:])
 
 
-def runs(terms: np.ndarray) -> np.ndarray:
-    """Distinct hashes of three-word runs; fewer words are one run, none give none."""
-    return np.unique(common.rolled(terms, min(RUN, len(terms)))) if len(terms) else np.empty(0, np.uint64)
+def runs(terms: np.ndarray, width: int = RUN) -> np.ndarray:
+    """Distinct hashes of runs of ``width`` words."""
+    return np.unique(common.rolled(terms, width))
 
 
-def overlap(part: np.ndarray, passage: np.ndarray) -> float:
-    """Share of a part's runs that a passage holds; a part without words is held by any."""
-    whole = passage if len(part) > 1 else np.empty(0, np.uint64)
-    return float(np.isin(part, whole).mean()) if len(part) else 1.0
+def part_runs(text: str) -> tuple[int, np.ndarray]:
+    """Words of a run and the distinct runs of a question or answer; one of fewer words than RUN is a single run."""
+    terms = text_terms(text)
+    width = min(RUN, len(terms))
+    return width, runs(terms, width) if width else terms
+
+
+def overlap(part: tuple[int, np.ndarray], passage: np.ndarray) -> float:
+    """Share of a part's runs that the words of a passage hold; a part without words is held by any."""
+    width, wanted = part
+    return float(np.isin(wanted, runs(passage, width)).mean()) if width else 1.0
 
 
 class Index:
@@ -175,7 +182,7 @@ def _opened(record: dict) -> Index:
         _open.clear()
         arrays = {n: common.map_array(record["uri"], record["names"][n], t) for n, t in zip(Index.NAMES, Index.DTYPES)}
         _open[record["uri"]] = Index({n: np.asarray(a) for n, a in arrays.items()}, record["meta"])
-        _open[record["uri"]].part_runs = [tuple(runs(text_terms(p)) for p in parts) for parts in record["meta"]["parts"]]
+        _open[record["uri"]].part_runs = [tuple(map(part_runs, parts)) for parts in record["meta"]["parts"]]
     return _open[record["uri"]]
 
 
@@ -191,7 +198,7 @@ def _hits(batch: pa.RecordBatch, index: Index) -> Iterator[tuple[int, int, int,
         for text, passage, item, score in index.retrieve(terms, counts):
             if (text, passage) not in held:
                 low = passage * index.stride
-                held[text, passage] = runs(terms[begins[text] + low : begins[text] + min(int(counts[text]), low + 2 * index.stride)])
+                held[text, passage] = terms[begins[text] + low : begins[text] + min(int(counts[text]), low + 2 * index.stride)]
             question, answer = (overlap(p, held[text, passage]) for p in index.part_runs[item])
             if question >= QUESTION and answer >= ANSWER:
                 hit = (score, question + answer, -passage, question, answer)
