@@ -10,8 +10,10 @@ from collections import OrderedDict
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from . import common
 
@@ -151,3 +153,31 @@ def opened(record: dict) -> HashArrays:
         while len(_open) > 4:
             _open.popitem(last=False)
     return _open[record["uri"]]
+
+
+def id_set(ids: DataFrame, label: str) -> dict:
+    """The distinct non-null values of the one long column of ``ids`` as sorted hash arrays; the hash is a bijection,
+    so membership is exact."""
+    n_buckets = buckets_for(ids)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally = Tally(n_buckets)
+        for batch in batches:
+            yield from tally.add(common.mix(batch.column(0).drop_null().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)))
+        yield from tally.finish()
+
+    return store(ids.mapInArrow(run, PACKED), n_buckets, label)
+
+
+def member(column: str, record: dict) -> Column:
+    """Whether a long column's value is in a stored set; null is in none. Rows are filtered where they are read, so
+    that a join moves only those it needs."""
+
+    @F.pandas_udf("boolean")
+    def found(values: pd.Series) -> pd.Series:
+        known = values.notna().to_numpy()
+        out = np.zeros(len(values), bool)
+        out[known] = opened(record).lookup(common.mix(values[known].astype("int64").to_numpy().view(np.uint64)))[1] > 0
+        return pd.Series(out)
+
+    return found(F.col(column))

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, hash_arrays
 from .components import connected_components
 from .hash_arrays import groups
 
@@ -214,7 +214,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     room = room.select("cluster", F.greatest(F.ceil(F.col("docs") / block_docs), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).alias("n_blocks"))
     member = common.written(member.join(room, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), "n_blocks")), "members")
     # only the members' texts are moved from here on
-    text = docs.join(member.select(F.col("head").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    text = docs.where(hash_arrays.member("doc_id", hash_arrays.id_set(member.select("head"), "member-ids")))
     member_text = common.written(member.join(text.withColumnRenamed("doc_id", "head"), "head"), "member-texts")
 
     order = Window.partitionBy("cluster").orderBy(F.desc("rank"), "node")

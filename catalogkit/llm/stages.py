@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontamination, near_dedup, packing, substrings, toxicity
+from . import common, decontamination, hash_arrays, near_dedup, packing, substrings, toxicity
 from .tokens import Vocabulary
 
 TOXIC_FROM = 0.3
@@ -27,8 +27,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """One document of each group of near-copies: that with the smallest doc_id. A null doc_id is never dropped; of
     rows with equal doc_id all stay or go."""
     found = near_dedup.near_duplicates(docs, shingle_words=5, percent=80)
-    dropped = common.written(found.where("not kept").select("doc_id").distinct(), "near-copies")
-    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    dropped = hash_arrays.id_set(found.where("not kept").select("doc_id"), "near-copies")
+    return docs.where(~hash_arrays.member("doc_id", dropped))
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

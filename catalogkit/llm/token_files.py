@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -158,24 +159,24 @@ def write_tokens(docs: DataFrame, vocabulary: Vocabulary, end_id: int) -> dict:
     """Encode ``docs`` (doc_id, text; others are ignored) into files of the shared folder; a small record of them comes back.
 
     Each text gets ``end_id`` appended; a null text is empty. Rows go in ascending doc_id (null first), rows with equal
-    doc_id in the order of their ids' bytes. The frequency table (one row per id of the vocabulary) and a record per
+    doc_id in the order of their compressed ids. The frequency table (one row per id of the vocabulary) and a record per
     file pass through the driver; texts and ids don't. An empty table gives no file.
     """
     spark = docs.sparkSession
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e, counts = encoder(vocabulary), np.zeros(1 << 16, np.int64)
-        end = np.array([end_id], np.uint16)
+        end, squeeze = np.array([end_id], np.uint16), zstandard.ZstdCompressor(level=1)
         for batch in batches:
             for a in range(0, batch.num_rows, 512):
                 part = batch.slice(a, 512)
                 ids = [np.concatenate([x, end]) for x in e.encode(part["text"].to_pylist())]
                 counts += np.bincount(np.concatenate(ids), minlength=1 << 16)
-                yield pa.RecordBatch.from_arrays([part["doc_id"].cast(pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array([False] * len(ids))], names=["doc_id", "ids", "is_count"])
+                yield pa.RecordBatch.from_arrays([part["doc_id"].cast(pa.int64()), pa.array([squeeze.compress(x.tobytes()) for x in ids], pa.binary()), pa.array([False] * len(ids))], names=["doc_id", "ids", "is_count"])
         yield pa.RecordBatch.from_pydict({"doc_id": pa.array([None], pa.int64()), "ids": [counts.tobytes()], "is_count": [True]})
 
     path = common.scratch(spark, "token-rows")
-    docs.select("doc_id", "text").mapInArrow(tokenise, "doc_id long, ids binary, is_count boolean").write.option("compression", "zstd").parquet(path)
+    docs.select("doc_id", "text").mapInArrow(tokenise, "doc_id long, ids binary, is_count boolean").write.option("compression", "uncompressed").parquet(path)
     rows = spark.read.parquet(path)
 
     def unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,13 +193,13 @@ def write_tokens(docs: DataFrame, vocabulary: Vocabulary, end_id: int) -> dict:
     uri = common.scratch(spark, "token-files")
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        writer = first = None
+        writer, first, unsqueeze = None, None, zstandard.ZstdDecompressor()
         for batch in batches:
             for doc_id, raw in zip(batch["doc_id"].to_pylist(), batch["ids"].to_pylist()):
                 doc_id = NULL_ID if doc_id is None else doc_id
                 if writer is None:
                     writer, first = Writer(uri, Coder(frequencies)), doc_id
-                writer.add(doc_id, np.frombuffer(raw, np.uint16))
+                writer.add(doc_id, np.frombuffer(unsqueeze.decompress(raw), np.uint16))
         if writer:
             writer.close()
             yield pa.RecordBatch.from_pydict({"name": [writer.name], "first": pa.array([first], pa.int64()), "tokens": pa.array([writer.tokens], pa.int64()), "docs": pa.array([writer.docs], pa.int64())})
