@@ -2,8 +2,8 @@
 
 The test items form an inverted index: for each term its postings in item order, cut into blocks of items with the
 largest impact of each. Impacts are divided by the item's score for itself, so one threshold holds for all items. Every
-passage of every text is a query. Frequent terms add their largest impact to a bound; rare terms add the block's
-largest. Only blocks whose bound reaches the threshold are scored, so whatever reaches it is found. Hits are verified
+passage of every text is a query. For the bound of a block, rare terms add the block's largest impact, frequent ones
+their largest anywhere, but together no more than an item of the block has of them. Only blocks whose bound reaches the threshold are scored, so whatever reaches it is found. Hits are verified
 by the overlap of the item's question and of its answer with the passage.
 """
 
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from . import common
 
 K1, B = 1.2, 0.75
-BLOCK_ITEMS = 16
+BLOCK_ITEMS = 4
 #: Terms in more than this share of the items count as frequent.
 FREQUENT = 0.05
 #: The share of its own score that an item must get from a passage, and of its question's and answer's three-word
@@ -74,8 +74,8 @@ def overlap(part: tuple[int, np.ndarray], passage: np.ndarray) -> float:
 class Index:
     """Arrays of the inverted index; also what a worker maps."""
 
-    NAMES = ("terms", "bound", "frequent", "at", "item", "impact", "block_at", "block", "block_bound", "item_id")
-    DTYPES = (np.uint64, np.float64, np.uint8, np.int64, np.int32, np.float64, np.int64, np.int32, np.float64, np.int64)
+    NAMES = ("terms", "bound", "frequent", "at", "item", "impact", "block_at", "block", "block_bound", "block_often", "item_id")
+    DTYPES = (np.uint64, np.float64, np.uint8, np.int64, np.int32, np.float64, np.int64, np.int32, np.float64, np.float64, np.int64)
 
     def __init__(self, arrays: dict, meta: dict):
         for name in self.NAMES:
@@ -103,10 +103,14 @@ class Index:
         bound = np.maximum.reduceat(impact, at[:-1]) if len(terms) else np.empty(0)
         key = which.astype(np.int64) * (n // BLOCK_ITEMS + 1) + item // BLOCK_ITEMS
         new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
+        frequent = df > max(4, FREQUENT * n)
+        often = np.bincount(item, np.where(frequent[which], impact, 0.0), n) if n else np.empty(0)
+        block_often = np.maximum.reduceat(often, np.arange(0, n, BLOCK_ITEMS)) if n else np.empty(0)
         arrays = {
-            "terms": terms, "bound": bound, "frequent": (df > max(4, FREQUENT * n)).astype(np.uint8), "at": at, "item": item, "impact": impact,
+            "terms": terms, "bound": bound, "frequent": frequent.astype(np.uint8), "at": at, "item": item, "impact": impact,
             "block_at": np.searchsorted(which[new], np.arange(len(terms) + 1)), "block": (item[new] // BLOCK_ITEMS).astype(np.int32),
-            "block_bound": np.maximum.reduceat(impact, new) if len(new) else np.empty(0), "item_id": np.array([i for i, _ in items], np.int64),
+            "block_bound": np.maximum.reduceat(impact, new) if len(new) else np.empty(0), "block_often": np.append(block_often, 0.0)[: n // BLOCK_ITEMS + 1] if n % BLOCK_ITEMS else np.append(block_often, 0.0),
+            "item_id": np.array([i for i, _ in items], np.int64),
         }
         return arrays, {"n_blocks": n // BLOCK_ITEMS + 1, "stride": max([8, *map(len, words)]), "parts": [split_item(t) for _, t in items]}
 
@@ -133,20 +137,23 @@ class Index:
         passage, term = pairs // size, pairs % size
         total = int(passages.sum())
         slack = 1e-9
-        likely = np.bincount(passage, self.bound[term], total) >= THRESHOLD - slack
-        keep = likely[passage]
-        passage, term = passage[keep], term[keep]
         often = self.frequent[term] == 1
+        # frequent terms give an item no more than their largest impacts, nor more than the item has of them
         base = np.bincount(passage[often], self.bound[term[often]], total)
+        rare = np.bincount(passage[~often], self.bound[term[~often]], total)
+        keep = (rare + np.minimum(base, self.block_often.max()) >= THRESHOLD - slack)[passage]
+        passage, term, often = passage[keep], term[keep], often[keep]
         p, t = passage[~often], term[~often]
         n = self.block_at[t + 1] - self.block_at[t]
         entry = np.repeat(self.block_at[t] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        place = np.repeat(p, n) * self.n_blocks + self.block[entry]
-        spots, back = np.unique(place, return_inverse=True)
-        bound = np.bincount(back, self.block_bound[entry], len(spots)) + base[spots // self.n_blocks]
-        # blocks without a rare term of a passage can hold a hit only where frequent terms alone reach the threshold
-        alone = np.flatnonzero(base >= THRESHOLD - slack)
-        spots = np.union1d(spots[bound >= THRESHOLD - slack], (alone[:, None] * self.n_blocks + np.arange(self.n_blocks)).ravel())
+        spots, back = np.unique(np.repeat(p, n) * self.n_blocks + self.block[entry], return_inverse=True)
+        bound = np.bincount(back, self.block_bound[entry], len(spots)) + np.minimum(base[spots // self.n_blocks], self.block_often[spots % self.n_blocks])
+        spots = spots[bound >= THRESHOLD - slack]
+        # without a rare term of a passage, a block can hold a hit only where frequent terms alone reach the threshold
+        alone = np.flatnonzero(self.block_often >= THRESHOLD - slack)
+        if len(alone):
+            high = np.flatnonzero(base >= THRESHOLD - slack)
+            spots = np.union1d(spots, (high[:, None] * self.n_blocks + alone).ravel())
         owner = np.searchsorted(np.cumsum(passages), np.arange(total), "right")
         found = []
         begin, end = np.searchsorted(passage, spots // self.n_blocks), np.searchsorted(passage, spots // self.n_blocks, "right")
