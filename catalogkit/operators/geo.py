@@ -11,7 +11,7 @@ UNKNOWN = "未知"
 def longest_match(text: Column, names: list[str]) -> Column:
     """The longest dictionary name that the text holds, the first of equals. The names are a short literal list."""
     order = sorted(range(len(names)), key=lambda i: (-len(names[i]), i))
-    return F.filter(F.array(*(F.lit(names[i]) for i in order)), lambda n: F.contains(text, n))[0]
+    return F.get(F.filter(F.array(*(F.lit(names[i]) for i in order)), lambda n: F.contains(text, n)), F.lit(0))
 
 
 def first_match(text: Column, rules: list[tuple[list[str], str]], default: str | None = None) -> Column:
