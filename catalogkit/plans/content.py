@@ -40,7 +40,7 @@ def evidence_grade_rollup(t):
     return g.withColumn("grade", grade).groupBy("lang", "grade").agg(F.count("*").alias("n"))
 
 
-@query(f"""SELECT doc_id, fp, score, at FROM (SELECT doc_id, fp, n_chars AS score, min(doc_id) OVER (PARTITION BY fp) AS at,
+@query(f"""SELECT doc_id, fp, score, "at" FROM (SELECT doc_id, fp, n_chars AS score, min(doc_id) OVER (PARTITION BY fp) AS "at",
 row_number() OVER (PARTITION BY fp ORDER BY n_chars DESC, doc_id) AS r FROM (SELECT *, md5({_n("text")}) AS fp FROM documents)) WHERE r = 1""")
 def fingerprint_keep_best(t):
     d = t("documents").select("doc_id", F.md5(text.squeeze(F.col("text"))).alias("fp"), F.col("n_chars").alias("score"))
