@@ -31,7 +31,6 @@ class Encoder:
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
         self.tokenizer = Tokenizer.from_file(vocabulary.path)
-        self.tokenizer.encode_special_tokens = True
         self.cache: dict[str, bytes] = {}
         #: A line end is a token of its own between pieces; where white space gives no token, a private letter serves.
         self.mark_char = "\n" if vocabulary.spaced else "\ue000"
