@@ -24,10 +24,13 @@ class Vocabulary:
 
     path: str
     spaced: bool
-    most_pieces: int = 1_200_000
+    most_pieces: int = 400_000
 
 
 class Encoder:
+    #: Pieces that the library gets at once: what it returns takes far more room than the text.
+    AT_ONCE = 20_000
+
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
         self.tokenizer = Tokenizer.from_file(vocabulary.path)
@@ -42,9 +45,14 @@ class Encoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
     def _learn(self, pieces: list[str]) -> None:
-        """Ids of new pieces: joined by a mark whose ids are known, encoded at once, and cut at the mark again."""
+        """Ids of new pieces; when there are too many, the old ones go."""
         if len(self.cache) + len(pieces) > self.v.most_pieces:
             self.cache.clear()
+        for at in range(0, len(pieces), self.AT_ONCE):
+            self._learn_some(pieces[at : at + self.AT_ONCE])
+
+    def _learn_some(self, pieces: list[str]) -> None:
+        """Pieces are joined by a mark whose ids are known, encoded at once, and cut at the mark again."""
         rest = [p for p in pieces if self.mark_char in p]
         lines = [p for p in pieces if self.mark_char not in p] if rest else pieces
         if lines:

@@ -48,7 +48,7 @@ class Matcher:
     first letter. An open term (a stem) accepts whatever follows it.
     """
 
-    MOST_STATES = 200_000
+    MOST_STATES = 50_000
 
     def __init__(self, lexicon: dict[str, bool], exceptions: set[str] = frozenset()):
         self.child: list[dict[str, int]] = [{}]
@@ -70,6 +70,7 @@ class Matcher:
                 self.most[n] = max(self.most[n], k)
         self.start = frozenset({(0, 0)})
         self.steps: dict[tuple[frozenset, str], frozenset] = {}
+        self.states: dict[frozenset, frozenset] = {}  # equal states are one object
 
     def _closed(self, state: set[tuple[int, int]]) -> frozenset:
         """With the letters of terms that the word may leave out, and without what a smaller count covers."""
@@ -103,7 +104,9 @@ class Matcher:
             if nxt is None:
                 if len(steps) >= self.MOST_STATES:
                     steps.clear()
-                nxt = steps[key] = self.step(state, c)
+                    self.states.clear()
+                nxt = self.step(state, c)
+                nxt = steps[key] = self.states.setdefault(nxt, nxt)
             state = nxt
             if not state:
                 break
@@ -120,7 +123,7 @@ class Matcher:
 class Scorer:
     """Features of a text: the context-weighted sum of its hits, and their share of the words."""
 
-    MOST_WORDS = 400_000
+    MOST_WORDS = 200_000
 
     def __init__(self, lexicon: dict[str, bool], exceptions: set[str] = frozenset()):
         self.matcher = Matcher(lexicon, exceptions)
