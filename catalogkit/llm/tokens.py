@@ -2,20 +2,30 @@
 
 Both vocabularies split a text into pretokens before any merge, and no pretoken reaches across white space but for
 one leading space. So a text cut at those places gives the same ids piece by piece as a whole. Each worker keeps
-the ids of the pieces that it has met, up to a bound, and sends the new ones to the library joined by a mark.
+the ids of the pieces that it has met, up to a bound. New pieces of Latin-1 letters, which most are, are cut into the
+pretokens of the vocabulary here, and the library's model gets each distinct pretoken once; other new pieces go
+through the whole library.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 #: White space for Python but not for the tokenizers: texts with it are encoded whole.
 _ODD = re.compile("[\x1c-\x1f\x85᠎﻿]")
 _PIECE = re.compile(r" ?\S+|\s+(?!\S)|\s+")
+#: Printable Latin-1 is in normal form, and Python and the tokenizers agree on its classes and lower case.
+_LATIN = re.compile("[\x20-\x7e\xa1-\xff]*[\x21-\x7e\xa1-\xff]")
+_LETTER, _NUMBER = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾"
+_ENDINGS = "'s|'t|'re|'ve|'m|'ll|'d"
+#: How the two kinds of vocabulary cut a piece into pretokens.
+_SPACED = re.compile(f"{_ENDINGS}| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^ {_LETTER}{_NUMBER}]+")
+_UNSPACED = re.compile(f"{_ENDINGS}|[{_LETTER}]+|[{_NUMBER}]|[^{_LETTER}{_NUMBER}]+")
 
 
 @dataclass
@@ -27,65 +37,46 @@ class Vocabulary:
     most_pieces: int = 400_000
 
 
-class Encoder:
-    #: Pieces that the library gets at once: what it returns takes far more room than the text.
-    AT_ONCE = 20_000
+class Encoder(dict):
+    """Ids of each piece met so far, as bytes; a piece that is missing is looked up in the library."""
 
     def __init__(self, vocabulary: Vocabulary):
+        super().__init__()
         self.v = vocabulary
         self.tokenizer = Tokenizer.from_file(vocabulary.path)
-        self.cache: dict[str, bytes] = {}
-        #: A line end is a token of its own between pieces; where white space gives no token, a private letter serves.
-        self.mark_char = "\n" if vocabulary.spaced else "\ue000"
-        self.mark = "\n" if vocabulary.spaced else " \ue000 "
-        self.mark_ids = self._ids(self.mark)
+        self.model = self.tokenizer.model
+        self.cut = (_SPACED if vocabulary.spaced else _UNSPACED).findall
+        self.split = _PIECE.findall if vocabulary.spaced else str.split
+        letters = [chr(i) for i in (*range(0x20, 0x7F), *range(0xA1, 0x100))]
+        as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.spelling = {ord(c): as_bytes.pre_tokenize_str(c)[0][0] for c in letters}
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-
-    def _learn(self, pieces: list[str]) -> None:
-        """Ids of new pieces; when there are too many, the old ones go."""
-        if len(self.cache) + len(pieces) > self.v.most_pieces:
-            self.cache.clear()
-        for at in range(0, len(pieces), self.AT_ONCE):
-            self._learn_some(pieces[at : at + self.AT_ONCE])
-
-    def _learn_some(self, pieces: list[str]) -> None:
-        """Pieces are joined by a mark whose ids are known, encoded at once, and cut at the mark again."""
-        rest = [p for p in pieces if self.mark_char in p]
-        lines = [p for p in pieces if self.mark_char not in p] if rest else pieces
-        if lines:
-            ids = np.array(self.tokenizer.encode_batch_fast([self.mark.join(lines)], add_special_tokens=False)[0].ids, np.uint16)
-            m = len(self.mark_ids)
-            hit = ids[: len(ids) - m + 1] == self.mark_ids[0]
-            for i in range(1, m):
-                hit &= ids[i : len(ids) - m + 1 + i] == self.mark_ids[i]
-            cuts = np.flatnonzero(hit)
-            if len(cuts) == len(lines) - 1:
-                raw, ends = ids.tobytes(), [*(2 * cuts).tolist(), 2 * len(ids)]
-                begins = [0, *(2 * (cuts + m)).tolist()]
-                self.cache.update((p, raw[a:b]) for p, a, b in zip(lines, begins, ends))
-            else:  # other letters gave the same ids as the mark
-                rest = pieces
-        for p, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False) if rest else ()):
-            self.cache[p] = np.array(e.ids, np.uint16).tobytes()
+    def __missing__(self, piece: str) -> bytes:
+        if not _LATIN.fullmatch(piece):
+            ids = self._whole(piece)
+        elif self.cut(low := piece if self.v.spaced else piece.lower()) == [low]:
+            ids = array("H", [t.id for t in self.model.tokenize(low.translate(self.spelling))]).tobytes()
+        else:  # a pretoken has the same ids when it is a piece
+            ids = b"".join([self[q] for q in self.cut(low)])
+        self[piece] = ids
+        return ids
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint16).tobytes()
+
+    def _text(self, text: str | None) -> bytes:
+        if not text:
+            return b""
+        if _ODD.search(text) or any(s in text for s in self.special):
+            return self._whole(text)
+        if len(self) > self.v.most_pieces:
+            self.clear()
+        return b"".join(map(self.__getitem__, self.split(text)))
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text as uint16; null is empty."""
-        whole = {i: t for i, t in enumerate(texts) if t and (not t.isascii() and _ODD.search(t) or _ODD.search(t) or any(s in t for s in self.special))}
-        split = _PIECE.findall if self.v.spaced else str.split
-        pieces = [split(t) if t and i not in whole else [] for i, t in enumerate(texts)]
-        cache = self.cache
-        self._learn([p for p in set().union(*pieces) if p not in cache])
-        try:
-            out = [np.frombuffer(b"".join([cache[p] for p in ps]), np.uint16) for ps in pieces]
-        except KeyError:  # the cache was emptied for this batch
-            self._learn([p for p in set().union(*pieces) if p not in cache])
-            out = [np.frombuffer(b"".join([cache[p] for p in ps]), np.uint16) for ps in pieces]
-        for i, t in whole.items():
-            out[i] = self._ids(t).astype(np.uint16)
-        return out
+        return [np.frombuffer(self._text(t), np.uint16) for t in texts]
 
 
 _encoders: dict[tuple, Encoder] = {}
