@@ -9,7 +9,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from catalogkit.llm import common, components, decontamination, fingerprints, license_scan, near_dedup, ngram_lm, packing, queries, substrings, token_files, toxicity, url_filter
-from catalogkit.llm.tokens import Vocabulary, encoder
+from catalogkit.llm.tokens import Encoder, Vocabulary, encoder
 from tokenizers import Tokenizer
 
 from . import brute
@@ -338,6 +338,18 @@ def test_encoder_gives_the_librarys_ids(documents):
             assert a.tolist() == b, repr(text)[:80]
 
 
+@pytest.mark.parametrize("vocabulary", [WORD_BPE, BYTE_BPE])
+def test_ids_equal_the_librarys(vocabulary):
+    rng = random.Random(5)
+    letters = [chr(i) for i in range(1, 256)] + list("  \n\t''''sstdmrevl") + list("\u2019\u201c\u2026\u4e2d\u6587e\u0301\u02bc\u03a3\u03c2\u200b\u3000")
+    texts = [None, "", "   ", "a  b", "x\n\n y", "it's IT'S we'LL ''s '", "a<|endoftext|>b <|startoftext|>"]
+    texts += ["".join(rng.choices(letters, k=rng.randint(0, 60))) for _ in range(2000)]
+    texts += ["".join(rng.choices("aB'sStTlLvVeE 1\xb2\xbd\xaa\xba\xb5\xc0\xdf\xff\xd7\xa1\xad!.\n\t", k=rng.randint(0, 40))) for _ in range(2000)]
+    mine = Encoder(Vocabulary(vocabulary.path, vocabulary.spaced, most_pieces=500))  # a small bound, so pieces go and come back
+    wanted = mine.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)
+    assert [x.tolist() for x in mine.encode(texts)] == [x.ids for x in wanted]
+
+
 def test_token_files_round_trip(spark, awkward, no_docs):
     got = rows_of(token_files.read_documents(spark, token_files.write_tokens(awkward, WORD_BPE, 2)), "doc_id", "n_tokens", "ids_crc32")
     want = []
