@@ -4,7 +4,8 @@ Bands of minima give candidates. Of each minimum the low bits stay, packed into
 signatures is counted in bits and corrected for chance collisions. Documents whose buckets meet form clusters; within
 a cluster, in blocks of bounded size, every pair of signatures above a safe estimate is confirmed on the full shingle
 sets, unless the two are linked already. Only links that join something are kept, so a group of copies costs rows in
-proportion to its size.
+proportion to its size. Then all signatures of each bucket are compared, except those in one group by then, and pairs
+above the safe estimate are confirmed too: whatever the clusters are, no pair that shares a bucket is left out.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ SIGNATURE_WORDS = MINIMA * LOW_BITS // 64
 CLUSTER_FROM, CONFIRM_FROM = 0.5, 0.65
 #: Documents and shingles that one block holds, and the central documents that every block of a cluster gets.
 BLOCK_DOCS, BLOCK_SHINGLES, CENTRES = 500, 1_000_000, 8
+#: Signatures of a part of a crowded bucket; its parts are compared two by two.
+BUCKET_DOCS = 1000
 _CHANCE = 2.0**-LOW_BITS
 _rng = np.random.default_rng(0xB17)
 _A = _rng.integers(0, 2**32, MINIMA, dtype=np.uint32) | np.uint32(1)
@@ -69,10 +72,11 @@ def band_keys(least: np.ndarray) -> np.ndarray:
 
 
 def estimates(one: np.ndarray, many: np.ndarray) -> np.ndarray:
-    """Collision-corrected similarity of a signature to each row of ``many``."""
-    x = one[None, :] ^ many
+    """Collision-corrected similarity of a signature, or of each row of ``one``, to each row of ``many``."""
+    apart = one ^ many
+    x = apart
     for s in range(1, LOW_BITS):
-        x = x | ((one[None, :] ^ many) >> np.uint64(s))
+        x = x | (apart >> np.uint64(s))
     differ = np.bitwise_count(x & np.uint64(_NIBBLE)).sum(axis=1)
     return ((1 - differ / MINIMA) - _CHANCE) / (1 - _CHANCE)
 
@@ -177,7 +181,113 @@ def _linker(width: int, percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, block_docs: int = BLOCK_DOCS) -> DataFrame:
+def _comparer(percent: int):
+    """Rows (key, side, node, label, n_shingles, mark) with equal keys together; pairs (a, b) to be confirmed come out.
+    Rows of one label are not compared, nor those of one side unless it is negative."""
+
+    def compare(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        key, side, node, label, size = (rows[c].to_numpy() for c in ("key", "side", "node", "label", "n_shingles"))
+        mark = rows["mark"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, SIGNATURE_WORDS)
+        step, at = 1, np.flatnonzero(key[1:] == key[:-1])
+        while len(at):
+            to = at + step
+            fits = (label[at] != label[to]) & ((side[at] != side[to]) | (side[at] < 0)) & (100 * np.minimum(size[at], size[to]) >= percent * np.maximum(size[at], size[to]))
+            i, j = at[fits], to[fits]
+            near = estimates(mark[i], mark[j]) >= CONFIRM_FROM
+            if near.any():
+                a, b = node[i[near]], node[j[near]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+            step += 1
+            at = at[at + step < len(key)]
+            at = at[key[at] == key[at + step]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            keys = batch["key"].to_numpy()
+            if not len(keys):
+                continue
+            cut = int(np.searchsorted(keys, keys[-1]))  # from here on the last key, of which more may follow
+            if cut:
+                yield from compare(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+                held = []
+            held.append(batch.slice(cut))
+        if held:
+            yield from compare(pa.Table.from_batches(held))
+
+    return run
+
+
+def bucket_pairs(seats: DataFrame, marks: DataFrame, percent: int, bucket_docs: int = BUCKET_DOCS) -> DataFrame:
+    """Pairs (a, b), a < b, that share a bucket, differ in label and are estimated from CONFIRM_FROM on.
+
+    ``seats`` has bucket and node, ``marks`` node, label, n_shingles and mark. The members of a crowded bucket are dealt
+    over parts; those in its largest group are compared with the others only.
+    """
+    seated = seats.select("bucket", "node").join(marks.select("node", "label"), "node")
+    most = seated.groupBy("bucket", "label").count().groupBy("bucket").agg(F.sum("count").alias("docs"), F.max(F.struct("count", "label")).alias("most"))
+    most = most.where("docs > most.count").select("bucket", "docs", F.col("most.label").alias("main"), F.ceil((F.col("docs") - F.col("most.count")) / bucket_docs).alias("others"), F.ceil(F.col("most.count") / bucket_docs).alias("mains"))
+    seated = seated.join(most, "bucket").withColumn("other", F.col("label") != F.col("main"))
+    seated = seated.withColumn("part", F.pmod(F.xxhash64("node", F.lit(2)), F.when(F.col("other"), F.col("others")).otherwise(F.col("mains"))))
+    zero, small = F.lit(0).cast("long"), F.col("docs") <= bucket_docs
+    last = F.when(F.col("other"), F.col("others") + F.col("mains")).otherwise(F.col("others")) - 1
+    seated = seated.withColumn("meets", F.explode(F.when(small, F.array(zero)).otherwise(F.sequence(zero, last))))
+    # parts 0 to others - 1 are the others', those that follow the largest group's
+    own = F.when(F.col("other"), F.col("part")).otherwise(F.col("others") + F.col("part"))
+    low, high = F.when(small, zero).otherwise(F.least(own, "meets")), F.when(small, zero).otherwise(F.greatest(own, "meets"))
+    side = F.when(small | (own == F.col("meets")), -1).when(own < F.col("meets"), 0).otherwise(1).cast("long")
+    tasks = seated.select(F.xxhash64("bucket", low, high).alias("key"), side.alias("side"), "node", "label").join(marks.select("node", "n_shingles", "mark"), "node")
+    return _dealt(tasks).mapInArrow(_comparer(percent), "a long, b long").distinct()
+
+
+def _confirmer(width: int, percent: int):
+    """Rows (key, node, label, partners, text) with equal keys together; links (a, b) of partners that join two groups
+    come out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in groups(batches, "key"):
+            members: dict[int, tuple] = {}
+            for r in rows:
+                s = shingle_set(common.text_word_hashes(r["text"], lower=True), width)
+                if len(s) and xxhash.xxh3_64_intdigest(s.tobytes()) - 2**63 == r["node"]:
+                    members[r["node"]] = (s, r["label"], r["partners"])
+            nodes = list(members)
+            place, state, found = {x: i for i, x in enumerate(nodes)}, Links([members[x][1] for x in nodes]), []
+            for a in nodes:
+                for b in members[a][2]:
+                    if state.find(place[a]) != state.find(place[b]) and alike(members[a][0], members[b][0], percent):
+                        state.join(place[a], place[b])
+                        found.append((a, b))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def in_blocks(cluster: DataFrame, nodes: DataFrame, block_docs: int) -> DataFrame:
+    """node, cluster, head, n_shingles, n_blocks, block: the members of each cluster (node, root) dealt over its blocks."""
+    member = cluster.withColumnRenamed("root", "cluster").join(nodes.select("node", "head", "n_shingles"), "node")
+    room = member.groupBy("cluster").agg(F.count("*").alias("docs"), F.sum("n_shingles").alias("shingles"))
+    room = room.select("cluster", F.greatest(F.ceil(F.col("docs") / block_docs), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).alias("n_blocks"))
+    return member.join(room, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), "n_blocks"))
+
+
+def confirmed(pairs: DataFrame, nodes: DataFrame, labels: DataFrame, docs: DataFrame, width: int, percent: int, block_docs: int) -> DataFrame:
+    """Links (a, b) among ``pairs``. A pair is confirmed where the blocks of its two documents meet, so a text is moved at
+    most once for each of its pairs, and for each block of those that its pairs connect it with."""
+    member = common.written(in_blocks(connected_components(pairs, "pair-groups"), nodes, block_docs).join(labels, "node"), "pair-members")
+    at_a = member.select(F.col("node").alias("a"), "cluster", F.col("block").alias("block_a"))
+    at_b = member.select(F.col("node").alias("b"), F.col("block").alias("block_b"))
+    keyed = pairs.join(at_a, "a").join(at_b, "b").select(F.xxhash64("cluster", F.least("block_a", "block_b"), F.greatest("block_a", "block_b")).alias("key"), "a", "b")
+    sides = keyed.select("key", F.col("a").alias("node"), F.col("b").alias("partner")).union(keyed.select("key", "b", F.lit(None).cast("long")))
+    sides = sides.groupBy("key", "node").agg(F.collect_list("partner").alias("partners"))
+    text = docs.where(hash_arrays.member("doc_id", hash_arrays.id_set(member.select("head"), "pair-ids")))
+    member_text = member.select("node", "head", "label").join(text.withColumnRenamed("doc_id", "head"), "head")
+    tasks = sides.join(member_text, "node").select("key", "node", "label", "partners", "text")
+    return _dealt(tasks).mapInArrow(_confirmer(width, percent), "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, block_docs: int = BLOCK_DOCS, bucket_docs: int = BUCKET_DOCS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of ``docs`` (doc_id, text; other columns are ignored).
 
     Documents with 100 * shared >= percent * united distinct shingles are linked (``percent`` 80 or more: the bands are
@@ -187,7 +297,8 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     gives an empty result.
 
     Equal sets are one node, so exact copies never meet in a bucket. Of a cluster only the most central documents and
-    those that they leave apart are compared with all others, block by block.
+    those that they leave apart are compared with all others, block by block. What that leaves in different groups is
+    compared bucket by bucket.
     """
     if percent < 80:
         raise ValueError("the bands are made for a similarity of 80 percent or more")
@@ -209,10 +320,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     near = pairs.where(estimate_column(F.col("mark_a"), F.col("mark_b")) >= CLUSTER_FROM).select(F.col("node").alias("a"), F.col("centre").alias("b"))
     cluster = connected_components(near, "clusters")
 
-    member = cluster.withColumnRenamed("root", "cluster").join(rank, "node").join(nodes.select("node", "head", "n_shingles"), "node")
-    room = member.groupBy("cluster").agg(F.count("*").alias("docs"), F.sum("n_shingles").alias("shingles"))
-    room = room.select("cluster", F.greatest(F.ceil(F.col("docs") / block_docs), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).alias("n_blocks"))
-    member = common.written(member.join(room, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), "n_blocks")), "members")
+    member = common.written(in_blocks(cluster, nodes, block_docs).join(rank, "node"), "members")
     # only the members' texts are moved from here on
     text = docs.where(hash_arrays.member("doc_id", hash_arrays.id_set(member.select("head"), "member-ids")))
     member_text = common.written(member.join(text.withColumnRenamed("doc_id", "head"), "head"), "member-texts")
@@ -240,7 +348,12 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
         more = common.written(_dealt(second).mapInArrow(_linker(shingle_words, percent), "a long, b long"), "more-links")
         linked = linked.unionByName(more)
 
-    root = connected_components(linked, "groups")
+    root = connected_components(linked, "linked-groups")
+    marks = nodes.select("node", "n_shingles", "mark").join(root, "node", "left").withColumn("label", F.coalesce("root", "node"))
+    left = common.written(bucket_pairs(seats, marks, percent, bucket_docs), "bucket-pairs")
+    if left.limit(1).count():
+        more = common.written(confirmed(left, nodes, marks.select("node", "label"), docs, shingle_words, percent, block_docs), "bucket-links")
+        root = connected_components(root.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more), "groups")
     component = nodes.select("node", "head").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = component.groupBy("root").agg(F.min("head").alias("component_id"))
     component = component.join(least, "root").select("node", "component_id")

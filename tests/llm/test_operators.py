@@ -220,6 +220,37 @@ def test_components(spark):
     assert sorted(tuple(r) for r in components.connected_components(spark.createDataFrame(links, "a long, b long")).collect()) == want
 
 
+def marked(text: str):
+    least = near_dedup.minima(near_dedup.shingle_set(common.text_word_hashes(text, lower=True), 4))
+    return near_dedup.band_keys(least), near_dedup.signature(least)
+
+
+def outshone(rng: random.Random, copies: int) -> list[tuple]:
+    """Two near-copies of a passage, and documents that hold the passage among others: each bucket of the two has a more
+    central document that is far from both."""
+    passage = sentence(rng, 100)
+    near = " ".join(passage.split()[:-18] + ["changed"] * 2 + passage.split()[-16:])
+    (one, mark), (two, _) = marked(passage), marked(near)
+    shared, texts = sorted(set(one[one == two].tolist())), [passage, near]
+    for i in range(0, len(shared), 4):
+        text, kept = passage, set(shared[i : i + 4])
+        while near_dedup.estimates(mark, marked(text)[1][None, :])[0] > 0.4:
+            longer = text + " " + sentence(rng, 6)
+            if kept <= set(marked(longer)[0].tolist()):
+                text = longer
+        texts += [text] + [f"{text} more{k}" for k in range(copies)]
+    return list(enumerate(texts))
+
+
+def test_near_duplicates_that_are_far_from_the_centres_of_their_buckets(spark):
+    rows = outshone(random.Random(23), 8)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute.near_duplicates(rows, 4)
+    assert want[0][2] == want[1][2]
+    for size in (7, 1000):
+        assert rows_of(near_dedup.near_duplicates(df, 4, bucket_docs=size), "doc_id", "n_shingles", "component_id", "kept") == want
+
+
 def test_signature_estimate_is_near_the_truth():
     rng = np.random.default_rng(4)
     for share in (0.2, 0.5, 0.8):
