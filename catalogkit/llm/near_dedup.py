@@ -120,18 +120,15 @@ class Links:
         self.up[self.find(i)] = self.find(j)
 
 
-def link_block(sets: list[np.ndarray], labels: list, queries: list[bool], percent: int) -> list[tuple[int, int]]:
-    """Links between a query and any member that join two groups; the most central members come first."""
-    n = len(sets)
+def link_block(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links between members that join two groups; the most central members come first."""
     marks = np.array([signature(minima(s)) for s in sets])
     sizes = np.array([len(s) for s in sets])
-    state, found = Links(labels), []
-    for i in range(n):
-        if not queries[i]:
-            continue
+    state, found = Links(list(range(len(sets)))), []
+    for i in range(len(sets)):
         fits = (100 * np.minimum(sizes, sizes[i]) >= percent * np.maximum(sizes, sizes[i])) & (estimates(marks[i], marks) >= CONFIRM_FROM)
-        for j in np.flatnonzero(fits).tolist():
-            if j != i and not (queries[j] and j > i) and state.find(i) != state.find(j) and alike(sets[i], sets[j], percent):
+        for j in np.flatnonzero(fits[:i]).tolist():
+            if state.find(i) != state.find(j) and alike(sets[i], sets[j], percent):
                 state.join(i, j)
                 found.append((i, j))
     return found
@@ -164,17 +161,17 @@ def _sketch(width: int):
 
 
 def _linker(width: int, percent: int):
-    """Rows (key, node, label, query, rank, text) with equal keys together; links (a, b) come out."""
+    """Rows (key, node, rank, text) with equal keys together; links (a, b) come out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in groups(batches, "key"):
             members: dict[int, tuple] = {}
             for r in rows:
                 s = shingle_set(common.text_word_hashes(r["text"], lower=True), width)
-                if len(s) and xxhash.xxh3_64_intdigest(s.tobytes()) - 2**63 == r["node"] and not (r["node"] in members and members[r["node"]][2]):
-                    members[r["node"]] = (s, r["label"], r["query"], (-r["rank"], r["node"]))
-            nodes = sorted(members, key=lambda x: members[x][3])
-            found = link_block([members[x][0] for x in nodes], [members[x][1] for x in nodes], [members[x][2] for x in nodes], percent)
+                if len(s) and xxhash.xxh3_64_intdigest(s.tobytes()) - 2**63 == r["node"]:
+                    members[r["node"]] = (s, (-r["rank"], r["node"]))
+            nodes = sorted(members, key=lambda x: members[x][1])
+            found = link_block([members[x][0] for x in nodes], percent)
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([nodes[i] for i, _ in found], pa.int64()), pa.array([nodes[j] for _, j in found], pa.int64())], names=["a", "b"])
 
@@ -296,9 +293,9 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     own with that id. A row with a null doc_id is linked with nothing: component_id null, kept true. An empty table
     gives an empty result.
 
-    Equal sets are one node, so exact copies never meet in a bucket. Of a cluster only the most central documents and
-    those that they leave apart are compared with all others, block by block. What that leaves in different groups is
-    compared bucket by bucket.
+    Equal sets are one node, so exact copies never meet in a bucket. Of a cluster only the most central documents are
+    compared with all others, block by block. What that leaves in different groups is compared by signatures, bucket by
+    bucket, and only the texts of pairs that may be linked are moved again.
     """
     if percent < 80:
         raise ValueError("the bands are made for a similarity of 80 percent or more")
@@ -329,26 +326,10 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     central = member.where("n_blocks > 1").select("cluster", "node", "rank", "n_blocks").withColumn("k", F.row_number().over(order)).where(F.col("k") <= CENTRES)
     guests = member_text.join(central.select("node"), "node", "left_semi").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)))
     task = ["cluster", "block"]
-    first = member_text.unionByName(guests).select(F.xxhash64(*task).alias("key"), "node", F.col("node").alias("label"), F.lit(True).alias("query"), "rank", "text")
+    first = member_text.unionByName(guests).select(F.xxhash64(*task).alias("key"), "node", "rank", "text")
     linked = common.written(_dealt(first).mapInArrow(_linker(shingle_words, percent), "a long, b long"), "links")
 
-    wide = member.where("n_blocks > 1")
-    if wide.limit(1).count():
-        found = connected_components(linked, "first-groups")
-        grouped = wide.join(found, "node", "left").select("node", "cluster", F.coalesce("root", "node").alias("label"))
-        most = grouped.groupBy("cluster", "label").count().groupBy("cluster").agg(F.max(F.struct("count", "label")).alias("most")).select("cluster", F.col("most.label").alias("label"))
-        # every document outside the largest group is compared with all other blocks of its cluster
-        apart = grouped.join(most, ["cluster", "label"], "left_anti")
-        parts = apart.groupBy("cluster").agg(F.ceil(F.count("*") / block_docs).alias("n_parts"))
-        apart = apart.join(parts, "cluster").withColumn("part", F.pmod(F.xxhash64("node", F.lit(1)), "n_parts"))
-        full = member_text.where("n_blocks > 1").join(grouped.select("node", "label"), "node")
-        asking = full.join(apart.select("node", "part"), "node").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1))).withColumn("query", F.lit(True))
-        asked = full.join(parts, "cluster").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_parts") - 1))).withColumn("query", F.lit(False)).drop("n_parts")
-        second = asking.unionByName(asked).select(F.xxhash64("cluster", "block", "part").alias("key"), "node", "label", "query", "rank", "text")
-        more = common.written(_dealt(second).mapInArrow(_linker(shingle_words, percent), "a long, b long"), "more-links")
-        linked = linked.unionByName(more)
-
-    root = connected_components(linked, "linked-groups")
+    root = connected_components(linked, "first-groups")
     marks = nodes.select("node", "n_shingles", "mark").join(root, "node", "left").withColumn("label", F.coalesce("root", "node"))
     left = common.written(bucket_pairs(seats, marks, percent, bucket_docs), "bucket-pairs")
     if left.limit(1).count():

@@ -251,6 +251,18 @@ def test_near_duplicates_that_are_far_from_the_centres_of_their_buckets(spark):
         assert rows_of(near_dedup.near_duplicates(df, 4, bucket_docs=size), "doc_id", "n_shingles", "component_id", "kept") == want
 
 
+def test_near_duplicates_move_few_texts_of_a_cluster_without_links(spark, monkeypatch):
+    rng = random.Random(29)
+    passages = [sentence(rng, 60) for _ in range(12)]
+    rows = list(enumerate(" ".join(rng.sample(passages, 6)) for _ in range(200)))
+    dealt, moved = near_dedup._dealt, []
+    monkeypatch.setattr(near_dedup, "_dealt", lambda df: moved.append(df.count() if "text" in df.columns else 0) or dealt(df))
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4, block_docs=5)
+    assert rows_of(got, "doc_id", "n_shingles", "component_id", "kept") == brute.near_duplicates(rows, 4)
+    # 200 in a first block, 8 in each of 40 blocks, and those of pairs that may be linked
+    assert 200 <= sum(moved) < 2000
+
+
 def test_signature_estimate_is_near_the_truth():
     rng = np.random.default_rng(4)
     for share in (0.2, 0.5, 0.8):
