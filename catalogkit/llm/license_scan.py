@@ -19,6 +19,7 @@ from . import common
 
 #: The notices of the query and their labels.
 NOTICES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
+ARTICLES = ("a", "an", "the")
 
 _WORD_BYTES = bytes((c + 32 if 65 <= c <= 90 else c) if c > 127 or 48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 else 32 for c in range(256))
 
@@ -45,8 +46,8 @@ class Notice:
         cuts = [len(raw) * i // n for i in range(n + 1)]
         self.seeds = [(raw[a:b], a) for a, b in zip(cuts, cuts[1:])]
         self.pattern = regex.compile(rf"(?be)(?<=\ )(?:{regex.escape(self.phrase)}){{e<={self.edits}}}(?=\ )".encode())
-        #: Short words and numbers tell one license from another: a variant must have them unchanged.
-        self.fixed = [w for w in self.phrase.split() if len(w) <= 3]
+        #: Short words and numbers other than articles tell one license from another: a variant must have them unchanged.
+        self.fixed = [w for w in self.phrase.split() if len(w) <= 3 and w not in ARTICLES]
 
     def places(self, text: bytes) -> list[int]:
         """Byte positions of the first word of each exact place, overlapping ones too."""
@@ -72,13 +73,17 @@ class Notice:
             else:
                 merged.append([a, b])
         found = []
-        for a, b in merged:
-            # one letter more on both sides, so that the borders of words are seen
-            for m in self.pattern.finditer(text, a, min(len(text), b + 1)):
-                words = m.group().decode("utf-8", "replace").split()
-                it = iter(words)
+        # one letter more on both sides, so that the borders of words are seen
+        todo = [(a, min(len(text), b + 1)) for a, b in merged]
+        while todo:
+            a, b = todo.pop()
+            m = self.pattern.search(text, a, b) if b - a >= len(self.phrase) - self.edits else None
+            if m:
+                todo += [(a, m.start()), (m.end(), b)]  # the best match comes first, not the leftmost
+                it = iter(m.group().decode("utf-8", "replace").split())
                 if all(w in it for w in self.fixed):
                     found.append((m.start(), m.end(), sum(m.fuzzy_counts)))
+        found.sort()
         return found
 
 

@@ -173,6 +173,14 @@ def test_licenses_of_awkward_rows(spark, awkward, no_docs):
     assert license_scan.scan_licenses(no_docs).count() == 0
 
 
+def test_license_variants_with_a_misspelled_article_or_before_an_exact_notice():
+    notices = [license_scan.Notice(*x) for x in license_scan.NOTICES.items()]
+    for text, label in (("under teh mit license", "mit"), ("under th mit license", "mit"), ("under the mip license", ""), ("apache license version 3", "")):
+        assert license_scan.scan(text, notices)["labels"] == label
+    two = license_scan.scan("under the mit licens under the mit license", notices)["spans"]
+    assert [(s["first_word"], s["n_words"], s["edits"]) for s in two] == [(0, 4, 1), (4, 4, 0)]
+
+
 # ---------------------------------------------------------------- 5 near-duplicates
 
 
