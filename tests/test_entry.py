@@ -35,6 +35,14 @@ def test_entry_without_the_subpackage(tmp_path):
     subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, check=True)
 
 
+def test_entry_names_what_it_cannot_import():
+    # a missing module of the library or of what the subpackage needs is an error and leaves no query out
+    for missing in ("catalogkit.plans.registry", "pyarrow"):
+        code = f"import sys; sys.path.insert(0, {str(ROOT)!r}); sys.modules[{missing!r}] = None; import __spark_entry__"
+        run = subprocess.run([sys.executable, "-B", "-c", code], capture_output=True, text=True)
+        assert run.returncode and missing in run.stderr
+
+
 def test_library_does_not_import_the_subpackage():
     for p in (ROOT / "catalogkit").rglob("*.py"):
         if "llm" not in p.relative_to(ROOT).parts:
