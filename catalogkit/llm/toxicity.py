@@ -195,15 +195,16 @@ def _inputs(weight: np.ndarray, density: np.ndarray) -> np.ndarray:
     return np.column_stack([np.log1p(weight), np.sqrt(density), (weight > 0).astype(float)])
 
 
-def fit(docs: DataFrame, labels: DataFrame, held_out_fold: int = 2, folds: int = 4, sample: int = 6000, lexicon_size: int = 20_000) -> dict:
-    """Learn a lexicon and a logistic model from labelled rows outside the held-out fold.
+def fit(docs: DataFrame, labels: DataFrame, held_out_fold: int | None = None, folds: int = 4, sample: int = 6000, lexicon_size: int = 20_000) -> dict:
+    """Learn a lexicon and a logistic model from labelled rows outside the held-out fold, from all of them without one.
 
     At most about ``sample`` toxic and ``sample`` clean labelled documents are used, chosen by a hash of doc_id (the
     bound is on the expected size); the ``lexicon_size`` most supported stems stay. Rows without a label or text are not used; a document
     labelled twice counts as toxic if one label says so. With no toxic or no clean row the model is empty and scores
     every text with the share of toxic rows (0 without any).
     """
-    marked = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (common.fold_mod("doc_id", folds) != held_out_fold)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    taken = F.lit(True) if held_out_fold is None else common.fold_mod("doc_id", folds) != held_out_fold
+    marked = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & taken).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     sizes = {r["toxic"]: r["count"] for r in marked.groupBy("toxic").count().collect()}
     if not sizes.get(0) or not sizes.get(1):
         return {"lexicon": {}, "exceptions": set(), "weights": None, "prior": float(bool(sizes.get(1)))}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import zlib
 
 import corpus_pipeline
 import pytest
@@ -67,6 +68,15 @@ def test_stages_take_effect(spark, corpus):
     assert sorted(r.doc_id for r in corpus_pipeline.run(spark, at).select("doc_id").distinct().collect()) == sorted(clean)
 
 
+def test_toxicity_stage_learns_from_all_labels(spark, tmp_path):
+    rng = random.Random(31)
+    bad = {i for i in range(400) if zlib.crc32(str(i).encode()) % 4 == 2}  # the fold that op3 holds out
+    rows = [(i, sentence(rng, 80) + (" villain rascal scoundrel" * 4 if i in bad else "")) for i in range(400)]
+    spark.createDataFrame([(i, int(i in bad)) for i, _ in rows], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = stages.drop_toxic(spark, spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path))
+    assert {r.doc_id for r in kept.select("doc_id").collect()} == set(range(400)) - bad
+
+
 def test_stages_against_brute_force(spark):
     sf = "/root/testdata/sf0.001"
     docs = common.table(spark, sf, "documents")
