@@ -76,18 +76,19 @@ def cut(docs: DataFrame, vocabulary: Vocabulary, end_id: int, size: int) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(vocabulary)
         for batch in batches:
-            for a in range(0, batch.num_rows, 512):
-                part = batch.slice(a, 512)
-                rows = []
-                for doc_id, ids in zip(part["doc_id"].to_pylist(), e.encode(part["text"].to_pylist())):
-                    ids = np.append(ids, np.uint16(end_id)).astype("<u4")
-                    begin, k = 0, 0
-                    while begin < len(ids):
-                        end = begin + (len(ids) - begin) % size if k == 0 and len(ids) % size else begin + size
-                        rows.append((doc_id, k, begin, end - begin, zlib.crc32(ids[begin:end].tobytes())))
-                        begin, k = end, k + 1
-                c = list(zip(*rows)) or [[]] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int32()), *(pa.array(x, pa.int64()) for x in c[2:])], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+            for a, b, ids, counts in e.encode(batch["text"]):
+                upto = np.cumsum(counts)
+                wide = memoryview(np.insert(ids, upto, np.uint16(end_id)).astype("<u4").tobytes())
+                counts = counts + 1
+                pieces = -(-counts // size)
+                doc = np.repeat(np.arange(b - a), pieces)
+                k = np.arange(len(doc)) - (np.cumsum(pieces) - pieces)[doc]
+                short = counts - (pieces - 1) * size  # of the first piece
+                start = np.where(k, short[doc] + (k - 1) * size, 0)
+                length = np.where(k, size, short[doc])
+                at = (4 * ((np.cumsum(counts) - counts)[doc] + start)).tolist()
+                crc = [zlib.crc32(wide[i:j]) for i, j in zip(at, [*at[1:], len(wide)])]
+                yield pa.RecordBatch.from_arrays([batch["doc_id"].cast(pa.int64()).slice(a, b - a).take(pa.array(doc)), pa.array(k, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select("doc_id", "text").mapInArrow(run, _PIECE)
 

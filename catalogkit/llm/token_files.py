@@ -165,14 +165,14 @@ def write_tokens(docs: DataFrame, vocabulary: Vocabulary, end_id: int) -> dict:
     spark = docs.sparkSession
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e, counts = encoder(vocabulary), np.zeros(1 << 16, np.int64)
-        end, squeeze = np.array([end_id], np.uint16), zstandard.ZstdCompressor(level=1)
+        e, counts, squeeze = encoder(vocabulary), np.zeros(1 << 16, np.int64), zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            for a in range(0, batch.num_rows, 512):
-                part = batch.slice(a, 512)
-                ids = [np.concatenate([x, end]) for x in e.encode(part["text"].to_pylist())]
-                counts += np.bincount(np.concatenate(ids), minlength=1 << 16)
-                yield pa.RecordBatch.from_arrays([part["doc_id"].cast(pa.int64()), pa.array([squeeze.compress(x.tobytes()) for x in ids], pa.binary()), pa.array([False] * len(ids))], names=["doc_id", "ids", "is_count"])
+            for a, b, ids, sizes in e.encode(batch["text"]):
+                ids = np.insert(ids, np.cumsum(sizes), np.uint16(end_id))
+                counts += np.bincount(ids, minlength=1 << 16)
+                raw, ends = memoryview(ids.tobytes()), (2 * np.cumsum(sizes + 1)).tolist()
+                packed = [squeeze.compress(raw[i:j]) for i, j in zip([0, *ends], ends)]
+                yield pa.RecordBatch.from_arrays([batch["doc_id"].cast(pa.int64()).slice(a, b - a), pa.array(packed, pa.binary()), pa.array([False] * (b - a))], names=["doc_id", "ids", "is_count"])
         yield pa.RecordBatch.from_pydict({"doc_id": pa.array([None], pa.int64()), "ids": [counts.tobytes()], "is_count": [True]})
 
     path = common.scratch(spark, "token-rows")

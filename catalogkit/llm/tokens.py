@@ -1,26 +1,36 @@
 """Token ids by the tokenizers library, with the library asked once for each distinct piece of text.
 
 Both vocabularies split a text into pretokens before any merge, and no pretoken reaches across white space but for
-one leading space. So a text cut at those places gives the same ids piece by piece as a whole. Each worker keeps
-the ids of the pieces that it has met, up to a bound. New pieces of Latin-1 letters, which most are, are cut into the
-pretokens of the vocabulary here, and the library's model gets each distinct pretoken once; other new pieces go
-through the whole library.
+one leading space. So a text cut at those places gives the same ids piece by piece as a whole. Arrow cuts a block of
+texts at spaces and finds its distinct parts; only these are looked up, and their ids are dealt to all places at once.
+Each worker keeps the ids of the parts that it has met, up to a bound. New pieces of Latin-1 letters, which most are,
+are cut into the pretokens of the vocabulary here, and the library's model gets each distinct pretoken once; other new
+pieces go through the whole library.
 """
 
 from __future__ import annotations
 
 import re
 from array import array
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer, pre_tokenizers
 
+from . import common
+
 #: White space for Python but not for the tokenizers: texts with it are encoded whole.
 _ODD = re.compile("[\x1c-\x1f\x85᠎﻿]")
 _PIECE = re.compile(r" ?\S+|\s+(?!\S)|\s+")
+#: Bytes of text of one vectorised step.
+STEP_BYTES = 4 << 20
 #: Printable Latin-1 is in normal form, and Python and the tokenizers agree on its classes and lower case.
 _LATIN = re.compile("[\x20-\x7e\xa1-\xff]*[\x21-\x7e\xa1-\xff]")
+#: A single pretoken of either vocabulary.
+_WORD = re.compile(" ?[A-Za-z]+")
 _LETTER, _NUMBER = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾"
 _ENDINGS = "'s|'t|'re|'ve|'m|'ll|'d"
 #: How the two kinds of vocabulary cut a piece into pretokens.
@@ -34,7 +44,7 @@ class Vocabulary:
 
     path: str
     spaced: bool
-    most_pieces: int = 400_000
+    most_pieces: int = 250_000
 
 
 class Encoder(dict):
@@ -42,6 +52,7 @@ class Encoder(dict):
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
+        self.older: dict[str, bytes] = {}  # what was met before the last time that there were too many pieces
         self.v = vocabulary
         self.tokenizer = Tokenizer.from_file(vocabulary.path)
         self.model = self.tokenizer.model
@@ -53,30 +64,92 @@ class Encoder(dict):
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def __missing__(self, piece: str) -> bytes:
-        if not _LATIN.fullmatch(piece):
-            ids = self._whole(piece)
-        elif self.cut(low := piece if self.v.spaced else piece.lower()) == [low]:
-            ids = array("H", [t.id for t in self.model.tokenize(low.translate(self.spelling))]).tobytes()
-        else:  # a pretoken has the same ids when it is a piece
-            ids = b"".join([self[q] for q in self.cut(low)])
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = self._new(piece)
         self[piece] = ids
         return ids
 
+    def _new(self, piece: str) -> bytes:
+        low = piece if self.v.spaced else piece.lower()
+        if _WORD.fullmatch(low):
+            return self._pretoken(low.replace(" ", self.spelling[0x20]))
+        if not _LATIN.fullmatch(piece):
+            pieces = self.split(piece)  # a part that ends at a space may hold other white space
+            return self._whole(piece) if pieces == [piece] else b"".join(map(self.__getitem__, pieces))
+        cut = self.cut(low)  # a pretoken has the same ids when it is a piece
+        return self._pretoken(low.translate(self.spelling)) if cut == [low] else b"".join(map(self.__getitem__, cut))
+
+    def _pretoken(self, spelled: str) -> bytes:
+        return array("H", [t.id for t in self.model.tokenize(spelled)]).tobytes()
+
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint16).tobytes()
 
-    def _text(self, text: str | None) -> bytes:
-        if not text:
-            return b""
+    def _text(self, text: str) -> np.ndarray:
+        """A text as a whole if it has a letter that the two sides see differently, else piece by piece."""
         if _ODD.search(text) or any(s in text for s in self.special):
-            return self._whole(text)
+            return np.frombuffer(self._whole(text), np.uint16)
+        return np.frombuffer(b"".join(map(self.__getitem__, self.split(text))), np.uint16)
+
+    def _block(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a block of texts, and how many each has."""
+        alone = pc.match_substring_regex(texts, _ODD.pattern)
+        for s in self.special:
+            alone = pc.or_(alone, pc.match_substring(texts, s))
+        # in front of a space that white space does not follow a piece always begins
+        parts = pc.split_pattern(texts, " ") if self.v.spaced else pc.ascii_split_whitespace(texts)
+        ends = parts.offsets.to_numpy().astype(np.int64)
+        coded = parts.flatten().dictionary_encode()
+        which, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        if self.v.spaced:
+            first = ends[:-1]  # the first part of a text has no space before it
+            odd = np.array([not w or w[0].isspace() for w in words], bool)[which]
+            odd[first] = False
+            alone = alone.to_numpy(zero_copy_only=False) | (np.diff(np.concatenate([[0], np.cumsum(odd)])[ends]) > 0)
+            heads = [self[words[i]] if words[i] else b"" for i in which[first].tolist()]
+            which[first] = len(words) + np.arange(len(first))
+            raw = [b"" if not w or w[0].isspace() else self[" " + w] for w in words] + heads
+        else:
+            alone = alone.to_numpy(zero_copy_only=False)
+            raw = [self[w] if w else b"" for w in words]
+        size = np.fromiter(map(len, raw), np.int64, len(raw)) // 2
+        known = np.frombuffer(b"".join(raw), np.uint16)
+        n = size[which]
+        upto = np.concatenate([[0], np.cumsum(n)])
+        ids = known[np.repeat((np.cumsum(size) - size)[which] - upto[:-1], n) + np.arange(upto[-1])]
+        counts = np.diff(upto[ends])
+        if alone.any():
+            each = np.split(ids, np.cumsum(counts)[:-1])
+            for i in np.flatnonzero(alone).tolist():
+                each[i] = self._text(texts[i].as_py())
+            ids, counts = np.concatenate(each), np.array([len(x) for x in each], np.int64)
         if len(self) > self.v.most_pieces:
+            self.older = dict(self)
             self.clear()
-        return b"".join(map(self.__getitem__, self.split(text)))
-
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        """Ids of each text as uint16; null is empty."""
-        return [np.frombuffer(self._text(t), np.uint16) for t in texts]
+        return ids, counts
+
+    def _long(self, text: str) -> np.ndarray:
+        """A very long text, a step after the other; each step but the first begins with a space before a word."""
+        out, at = [], 0
+        while at < len(text):
+            end = at + STEP_BYTES // 2
+            cut = re.compile(r" (?=\S)").search(text, end) if end < len(text) else None
+            end = cut.start() if cut else len(text)
+            out.append(self._block(pa.array([text[at:end]], pa.large_string()))[0])
+            at = end
+        return np.concatenate(out)
+
+    def encode(self, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(first row, last row, ids as uint16, ids of each text) of a column, by blocks of rows; null is empty."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        for a, b in common.blocks(common.text_bytes(texts)[1], STEP_BYTES):
+            part = texts.slice(a, b - a)
+            if b - a == 1 and part.nbytes > 2 * STEP_BYTES and not _ODD.search(text := part[0].as_py()) and not any(s in text for s in self.special):
+                ids = self._long(text)
+                yield a, b, ids, np.array([len(ids)])
+            else:
+                yield a, b, *self._block(part)
 
 
 _encoders: dict[tuple, Encoder] = {}
