@@ -22,9 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset, a local session (tests) gets a temporary
+    one; on a cluster that is an error, since executors could not see such a folder."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="catalogkit-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root
@@ -78,8 +81,8 @@ def fold_mod(column: str, modulus: int) -> Column:
 
 # ---------------------------------------------------------------- Arrow text
 
-#: Bytes of text that one vectorised step holds; a longer document is a step of its own.
-BLOCK_BYTES = 2 << 20
+#: Bytes of text that one vectorised step holds; a longer document is a step of its own, hashed in parts of this size.
+BLOCK_BYTES = 1 << 20
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -117,12 +120,15 @@ _powers: dict[str, np.ndarray] = {}
 
 
 def powers(n: int, inverse: bool = False) -> np.ndarray:
-    """Powers of the hash base (or of its inverse), modulo 2**64."""
+    """Powers of the hash base (or of its inverse), modulo 2**64. No more are kept than a step needs."""
     key = "inverse" if inverse else "base"
     if key not in _powers or len(_powers[key]) < n:
         steps = np.full(max(n, BLOCK_BYTES + 1), _UNBASE if inverse else _BASE, np.uint64)
         steps[0] = 1
-        _powers[key] = np.multiply.accumulate(steps)
+        steps = np.multiply.accumulate(steps)
+        if n > BLOCK_BYTES + 1:  # a single word of that length
+            return steps[:n]
+        _powers[key] = steps
     return _powers[key][:n]
 
 
@@ -137,12 +143,16 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def rolled(values: np.ndarray, width: int) -> np.ndarray:
     """Hash of every run of ``width`` consecutive 64-bit values."""
-    n = len(values)
-    if n < width:
+    n = len(values) - width + 1
+    if n < 1:
         return np.empty(0, np.uint64)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(values * powers(n), out=total[1:])
-    return mix((total[width:] - total[:-width]) * powers(n - width + 1, inverse=True))
+    out, step = np.empty(n, np.uint64), max(1, BLOCK_BYTES - width)
+    for at in range(0, n, step):
+        part = values[at : at + step + width - 1]
+        total = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(part * powers(len(part)), out=total[1:])
+        out[at : at + step] = mix((total[width:] - total[:-width]) * powers(len(part) - width + 1, inverse=True))
+    return out
 
 
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -167,10 +177,17 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.
     if lower:
         data = _LOWER[data]
     start, end, counts = word_spans(data, offsets)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_VALUE[data] * powers(len(data)), out=total[1:])
-    h = (total[end] - total[start]) * powers(len(data) + 1, inverse=True)[start]
-    return mix(h + (end - start).astype(np.uint64)), counts
+    out, i = np.empty(len(start), np.uint64), 0
+    while i < len(start):  # parts of whole words, of about BLOCK_BYTES
+        first = start[i]
+        j = max(i + 1, int(np.searchsorted(end, first + BLOCK_BYTES, "right")))
+        part = data[first : end[j - 1]]
+        total = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(_VALUE[part] * powers(len(part)), out=total[1:])
+        h = (total[end[i:j] - first] - total[start[i:j] - first]) * powers(len(part) + 1, inverse=True)[start[i:j] - first]
+        out[i:j] = mix(h + (end[i:j] - start[i:j]).astype(np.uint64))
+        i = j
+    return out, counts
 
 
 def text_word_hashes(text: str | None, lower: bool) -> np.ndarray:

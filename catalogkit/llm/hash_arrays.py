@@ -21,8 +21,9 @@ PACKED = "bucket int, hashes binary, counts binary"
 
 
 def buckets_for(docs: DataFrame) -> int:
-    """A power of two that follows the size of the input: as many buckets as it has partitions, 16 at least."""
-    return 1 << max(4, min(14, (docs.rdd.getNumPartitions() - 1).bit_length()))
+    """A power of two that follows the size of the input: as many buckets as it has partitions, 16 at least. ``docs`` is
+    a scan, so that counting its partitions runs nothing."""
+    return 1 << max(4, min(18, (docs.rdd.getNumPartitions() - 1).bit_length()))
 
 
 def packed_rows(values: np.ndarray, counts: np.ndarray, n_buckets: int) -> Iterator[pa.RecordBatch]:
@@ -39,7 +40,7 @@ def packed_rows(values: np.ndarray, counts: np.ndarray, n_buckets: int) -> Itera
 class Tally:
     """Counts hashes within a task; memory stays bounded, since what has gathered is handed out when it is too much."""
 
-    def __init__(self, n_buckets: int, most: int = 6_000_000):
+    def __init__(self, n_buckets: int, most: int = 3_000_000):
         self.n_buckets, self.most = n_buckets, most
         self.parts: list[tuple[np.ndarray, np.ndarray]] = []
         self.size = 0
@@ -158,6 +159,7 @@ def opened(record: dict) -> HashArrays:
 def id_set(ids: DataFrame, label: str) -> dict:
     """The distinct non-null values of the one long column of ``ids`` as sorted hash arrays; the hash is a bijection,
     so membership is exact."""
+    ids = common.written(ids, f"{label}-rows")
     n_buckets = buckets_for(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -20,7 +20,7 @@ PASSAGE_WORDS = 50
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score under TOXIC_FROM. The model is learned from all labels of these documents."""
     model = toxicity.fit(docs, common.table(spark, sf_dir, "labels"), held_out_fold=None)
-    return docs.where(toxicity.score_column(model)(F.col("text")) < TOXIC_FROM)
+    return toxicity.below(docs, model, TOXIC_FROM)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

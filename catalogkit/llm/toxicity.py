@@ -15,7 +15,6 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -264,16 +263,15 @@ def _scores(texts: list[str | None], scorer: Scorer, model: dict) -> tuple[np.nd
     return 1 / (1 + np.exp(-np.clip(z, -50, 50))), [a[2] for a in f]
 
 
-def score_column(model: dict):
-    """A function of a text column that gives the score."""
+def below(docs: DataFrame, model: dict, limit: float) -> DataFrame:
+    """The rows of ``docs`` with a score under ``limit``, with all their columns."""
 
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model["lexicon"], model["exceptions"])
-        for texts in batches:
-            yield pd.Series(_scores(texts.tolist(), scorer, model)[0])
+        for batch in batches:
+            yield batch.filter(pa.array(_scores(batch["text"].to_pylist(), scorer, model)[0] < limit))
 
-    return score
+    return docs.mapInArrow(run, docs.schema)
 
 
 _SCHEMA = "doc_id long, score double, n_hits long"
