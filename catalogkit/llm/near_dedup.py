@@ -5,7 +5,9 @@ signatures is counted in bits and corrected for chance collisions. Documents who
 a cluster, in blocks of bounded size, every pair of signatures above a safe estimate is confirmed on the full shingle
 sets, unless the two are linked already. Only links that join something are kept, so a group of copies costs rows in
 proportion to its size. Then all signatures of each bucket are compared, except those in one group by then, and pairs
-above the safe estimate are confirmed too: whatever the clusters are, no pair that shares a bucket is left out.
+above the safe estimate are confirmed too: whatever the clusters are, no pair that shares a bucket is left out. A pair
+that shares several buckets is compared in the first; the estimate is made finer by a second signature, of one
+permutation cut into bins. Pairs never are rows: a task hands on each document with its possible partners.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common, hash_arrays
-from .components import connected_components
+from .components import connected_components, join_one
 from .hash_arrays import groups
 
 #: Minima, bands and rows of a band: two documents with similarity 0.8 share no band once in 2*10**7 pairs.
@@ -27,9 +29,11 @@ MINIMA, BANDS, ROWS = 128, 32, 4
 #: Low bits that stay of each minimum, and the packed signature's 64-bit words.
 LOW_BITS = 4
 SIGNATURE_WORDS = MINIMA * LOW_BITS // 64
-#: Estimates from which buckets join a cluster, and from which a pair is confirmed. The estimate's deviation at 0.8 is
-#: 0.037: 0.65 is four deviations below.
-CLUSTER_FROM, CONFIRM_FROM = 0.5, 0.65
+#: Estimates from which buckets join a cluster, and from which a pair is compared further and confirmed. At 0.8 the
+#: signature's deviation is 0.037, the finer one's 0.019 at most: the bounds are four deviations below.
+CLUSTER_FROM, COMPARE_FROM, CONFIRM_FROM = 0.5, 0.65, 0.72
+#: Bins of the finer signature, of 4 bits each: 0 for an empty bin, else 1 to 15.
+BINS, FINE_WORDS = 512, 32
 #: Documents and shingles that one block holds, and the central documents that every block of a cluster gets.
 BLOCK_DOCS, BLOCK_SHINGLES, CENTRES = 500, 1_000_000, 8
 #: Signatures of a part of a crowded bucket; its parts are compared two by two.
@@ -81,6 +85,29 @@ def estimates(one: np.ndarray, many: np.ndarray) -> np.ndarray:
     return ((1 - differ / MINIMA) - _CHANCE) / (1 - _CHANCE)
 
 
+def fine(shingles: np.ndarray) -> np.ndarray:
+    """The finer signature of a sorted set: the top bits of a hash name its bin, the least hash of a bin stays."""
+    where = (shingles >> np.uint64(55)).astype(np.int64)
+    first = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]])) if len(where) else where
+    out = np.zeros(BINS, np.uint8)
+    out[where[first]] = common.mix(shingles[first]) % np.uint64(15) + np.uint64(1)
+    return (out[::2] | (out[1::2] << 4)).view(np.uint64)
+
+
+def _filled(x: np.ndarray) -> np.ndarray:
+    x = x | (x >> np.uint64(1))
+    return (x | (x >> np.uint64(2))) & np.uint64(_NIBBLE)
+
+
+def fine_estimates(one: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """Collision-corrected similarity of finer signatures, row by row: bins that agree over bins that either fills."""
+    a, b = _filled(one), _filled(many)
+    either = np.bitwise_count(a | b).sum(axis=1, dtype=np.int64)
+    both = np.bitwise_count(a & b).sum(axis=1, dtype=np.int64)
+    differ = np.bitwise_count(_filled(one ^ many) & a & b).sum(axis=1, dtype=np.int64)
+    return (both - differ * (15 / 14)) / np.maximum(either, 1)
+
+
 def estimate_column(a: Column, b: Column) -> Column:
     """The same, of two array<long> columns."""
     differ = F.lit(0)
@@ -122,11 +149,11 @@ class Links:
 
 def link_block(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Links between members that join two groups; the most central members come first."""
-    marks = np.array([signature(minima(s)) for s in sets])
+    marks = np.array([fine(s) for s in sets])
     sizes = np.array([len(s) for s in sets])
     state, found = Links(list(range(len(sets)))), []
     for i in range(len(sets)):
-        fits = (100 * np.minimum(sizes, sizes[i]) >= percent * np.maximum(sizes, sizes[i])) & (estimates(marks[i], marks) >= CONFIRM_FROM)
+        fits = (100 * np.minimum(sizes, sizes[i]) >= percent * np.maximum(sizes, sizes[i])) & (fine_estimates(marks[i : i + 1], marks) >= CONFIRM_FROM)
         for j in np.flatnonzero(fits[:i]).tolist():
             if state.find(i) != state.find(j) and alike(sets[i], sets[j], percent):
                 state.join(i, j)
@@ -141,7 +168,7 @@ def _sketch(width: int):
             for a, b in common.blocks(offsets):
                 h, counts = common.word_hashes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], lower=True)
                 ends = np.concatenate([[0], np.cumsum(counts)]).tolist()
-                n, nodes, marks, bands = [], [], [], []
+                n, nodes, marks, fines, bands, lows = [], [], [], [], [], []
                 for i, j in zip(ends, ends[1:]):
                     s = shingle_set(h[i:j], width)
                     n.append(len(s))
@@ -149,13 +176,17 @@ def _sketch(width: int):
                         least = minima(s)
                         nodes.append(xxhash.xxh3_64_intdigest(s.tobytes()) - 2**63)
                         marks.append(signature(least).view(np.int64))
-                        bands.append(band_keys(least).view(np.int64))
+                        fines.append(fine(s).tobytes())
+                        bands.append((keys := band_keys(least)).view(np.int64))
+                        lows.append(keys.astype(np.uint32).tobytes())
                     else:
                         nodes.append(None)
                         marks.append(None)
+                        fines.append(None)
                         bands.append(None)
+                        lows.append(None)
                 long = pa.list_(pa.int64())
-                yield pa.RecordBatch.from_arrays([batch["doc_id"][a:b].cast(pa.int64()), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), pa.array(marks, long), pa.array(bands, long)], names=["doc_id", "n_shingles", "node", "mark", "bands"])
+                yield pa.RecordBatch.from_arrays([batch["doc_id"][a:b].cast(pa.int64()), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), pa.array(marks, long), pa.array(fines, pa.binary()), pa.array(bands, long), pa.array(lows, pa.binary())], names=["doc_id", "n_shingles", "node", "mark", "fine", "bands", "low_bands"])
 
     return run
 
@@ -179,24 +210,39 @@ def _linker(width: int, percent: int):
 
 
 def _comparer(percent: int):
-    """Rows (key, side, node, label, n_shingles, mark) with equal keys together; pairs (a, b) to be confirmed come out.
-    Rows of one label are not compared, nor those of one side unless it is negative."""
+    """Rows (key, band, side, node, label, n_shingles, mark, fine, low_bands) with equal keys together; each node that may be
+    linked with others comes out once for a key, as (key, node, partners), a pair being with one of its two nodes. Rows
+    of one label are not compared, nor those of one side unless it is negative, nor those that share an earlier band."""
 
     def compare(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        key, side, node, label, size = (rows[c].to_numpy() for c in ("key", "side", "node", "label", "n_shingles"))
+        key, band, side, node, label, size = (rows[c].to_numpy() for c in ("key", "band", "side", "node", "label", "n_shingles"))
+        wide = lambda c, n, t: np.frombuffer(b"".join(rows[c].to_pylist()), t).reshape(-1, n)
         mark = rows["mark"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, SIGNATURE_WORDS)
-        step, at = 1, np.flatnonzero(key[1:] == key[:-1])
+        finer, bands = wide("fine", FINE_WORDS, np.uint64), wide("low_bands", BANDS, np.int32)
+        earlier = np.arange(BANDS)[None, :]
+        step, at, found = 1, np.flatnonzero(key[1:] == key[:-1]), []
         while len(at):
             to = at + step
             fits = (label[at] != label[to]) & ((side[at] != side[to]) | (side[at] < 0)) & (100 * np.minimum(size[at], size[to]) >= percent * np.maximum(size[at], size[to]))
             i, j = at[fits], to[fits]
-            near = estimates(mark[i], mark[j]) >= CONFIRM_FROM
-            if near.any():
-                a, b = node[i[near]], node[j[near]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+            near = estimates(mark[i], mark[j]) >= COMPARE_FROM
+            i, j = i[near], j[near]
+            near = ((bands[i] == bands[j]) & (earlier < band[i][:, None])).any(axis=1)
+            i, j = i[~near], j[~near]
+            near = fine_estimates(finer[i], finer[j]) >= CONFIRM_FROM
+            found.append((i[near], j[near]))
             step += 1
             at = at[at + step < len(key)]
             at = at[key[at] == key[at + step]]
+        i, j = (np.concatenate(x) if found else np.empty(0, np.int64) for x in zip(*found)) if found else (np.empty(0, np.int64),) * 2
+        if len(i):
+            order = np.argsort(i, kind="stable")
+            i, j = i[order], j[order]
+            whose, first = np.unique(i, return_index=True)
+            alone = np.setdiff1d(j, i)
+            ends = np.concatenate([first, np.full(len(alone) + 1, len(i))]).astype(np.int32)
+            who = np.concatenate([whose, alone])
+            yield pa.RecordBatch.from_arrays([pa.array(key[who]), pa.array(node[who]), pa.ListArray.from_arrays(pa.array(ends), pa.array(node[j]))], names=["key", "node", "partners"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -215,26 +261,33 @@ def _comparer(percent: int):
     return run
 
 
-def bucket_pairs(seats: DataFrame, marks: DataFrame, percent: int, bucket_docs: int = BUCKET_DOCS) -> DataFrame:
-    """Pairs (a, b), a < b, that share a bucket, differ in label and are estimated from CONFIRM_FROM on.
+def possible_partners(seats: DataFrame, marks: DataFrame, percent: int, bucket_docs: int = BUCKET_DOCS) -> DataFrame:
+    """(key, node, partners): the nodes that share a bucket, differ in label and are estimated from CONFIRM_FROM on; each
+    pair stands once, in the first bucket that its two nodes share.
 
-    ``seats`` has bucket and node, ``marks`` node, label, n_shingles and mark. The members of a crowded bucket are dealt
-    over parts; those in its largest group are compared with the others only.
+    ``seats`` has bucket, band and node, ``marks`` node, label, n_shingles, mark, fine and low_bands. The members of a
+    crowded bucket are dealt over parts of bounded documents and shingles; those in its largest group are compared with
+    the others only.
     """
-    seated = seats.select("bucket", "node").join(marks.select("node", "label"), "node")
-    most = seated.groupBy("bucket", "label").count().groupBy("bucket").agg(F.sum("count").alias("docs"), F.max(F.struct("count", "label")).alias("most"))
-    most = most.where("docs > most.count").select("bucket", "docs", F.col("most.label").alias("main"), F.ceil((F.col("docs") - F.col("most.count")) / bucket_docs).alias("others"), F.ceil(F.col("most.count") / bucket_docs).alias("mains"))
-    seated = seated.join(most, "bucket").withColumn("other", F.col("label") != F.col("main"))
+    seated = seats.select("bucket", "band", "node").join(marks.select("node", "label", "n_shingles"), "node")
+    most = seated.groupBy("bucket", "label").agg(F.count("*").alias("count"), F.sum("n_shingles").alias("shingles"))
+    most = most.groupBy("bucket").agg(F.sum("count").alias("docs"), F.sum("shingles").alias("shingles"), F.max(F.struct("count", "label", "shingles")).alias("most")).where("docs > most.count")
+    parts = lambda docs, shingles: F.greatest(F.ceil(docs / bucket_docs), F.ceil(shingles / BLOCK_SHINGLES))
+    most = most.select("bucket", F.col("docs").alias("n"), F.col("most.label").alias("main"), parts(F.col("docs") - F.col("most.count"), F.col("shingles") - F.col("most.shingles")).alias("others"), parts(F.col("most.count"), F.col("most.shingles")).alias("mains"), (parts(F.col("docs"), F.col("shingles")) <= 1).alias("small"))
+    most = common.written(most, "open-buckets")
+    total = most.agg(F.sum("n")).first()[0] or 0
+    seated = join_one(seated.drop("n_shingles"), most, "bucket", total).withColumn("other", F.col("label") != F.col("main"))
     seated = seated.withColumn("part", F.pmod(F.xxhash64("node", F.lit(2)), F.when(F.col("other"), F.col("others")).otherwise(F.col("mains"))))
-    zero, small = F.lit(0).cast("long"), F.col("docs") <= bucket_docs
+    zero, small = F.lit(0).cast("long"), F.col("small")
     last = F.when(F.col("other"), F.col("others") + F.col("mains")).otherwise(F.col("others")) - 1
     seated = seated.withColumn("meets", F.explode(F.when(small, F.array(zero)).otherwise(F.sequence(zero, last))))
     # parts 0 to others - 1 are the others', those that follow the largest group's
     own = F.when(F.col("other"), F.col("part")).otherwise(F.col("others") + F.col("part"))
     low, high = F.when(small, zero).otherwise(F.least(own, "meets")), F.when(small, zero).otherwise(F.greatest(own, "meets"))
     side = F.when(small | (own == F.col("meets")), -1).when(own < F.col("meets"), 0).otherwise(1).cast("long")
-    tasks = seated.select(F.xxhash64("bucket", low, high).alias("key"), side.alias("side"), "node", "label").join(marks.select("node", "n_shingles", "mark"), "node")
-    return _dealt(tasks).mapInArrow(_comparer(percent), "a long, b long").distinct()
+    marks = marks.select("node", "n_shingles", "mark", "fine", "low_bands")
+    tasks = seated.select(F.xxhash64("bucket", low, high).alias("key"), F.col("band").cast("long").alias("band"), side.alias("side"), "node", "label").join(marks, "node")
+    return _dealt(tasks).mapInArrow(_comparer(percent), "key long, node long, partners array<long>")
 
 
 def _confirmer(width: int, percent: int):
@@ -263,24 +316,18 @@ def _confirmer(width: int, percent: int):
 
 def in_blocks(cluster: DataFrame, nodes: DataFrame, block_docs: int) -> DataFrame:
     """node, cluster, head, n_shingles, n_blocks, block: the members of each cluster (node, root) dealt over its blocks."""
-    member = cluster.withColumnRenamed("root", "cluster").join(nodes.select("node", "head", "n_shingles"), "node")
-    room = member.groupBy("cluster").agg(F.count("*").alias("docs"), F.sum("n_shingles").alias("shingles"))
-    room = room.select("cluster", F.greatest(F.ceil(F.col("docs") / block_docs), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).alias("n_blocks"))
-    return member.join(room, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), "n_blocks"))
-
-
-def confirmed(pairs: DataFrame, nodes: DataFrame, labels: DataFrame, docs: DataFrame, width: int, percent: int, block_docs: int) -> DataFrame:
-    """Links (a, b) among ``pairs``. A pair is confirmed where the blocks of its two documents meet, so a text is moved at
-    most once for each of its pairs, and for each block of those that its pairs connect it with."""
-    member = common.written(in_blocks(connected_components(pairs, "pair-groups"), nodes, block_docs).join(labels, "node"), "pair-members")
-    at_a = member.select(F.col("node").alias("a"), "cluster", F.col("block").alias("block_a"))
-    at_b = member.select(F.col("node").alias("b"), F.col("block").alias("block_b"))
-    keyed = pairs.join(at_a, "a").join(at_b, "b").select(F.xxhash64("cluster", F.least("block_a", "block_b"), F.greatest("block_a", "block_b")).alias("key"), "a", "b")
-    sides = keyed.select("key", F.col("a").alias("node"), F.col("b").alias("partner")).union(keyed.select("key", "b", F.lit(None).cast("long")))
-    sides = sides.groupBy("key", "node").agg(F.collect_list("partner").alias("partners"))
+    member = common.written(cluster.withColumnRenamed("root", "cluster").join(nodes.select("node", "head", "n_shingles"), "node"), "cluster-members")
+    room = member.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("shingles"))
+    room = room.select("cluster", "n", F.greatest(F.ceil(F.col("n") / block_docs), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).alias("n_blocks"))
+    return join_one(member, room, "cluster", member.count()).withColumn("block", F.pmod(F.xxhash64("node"), "n_blocks"))
+
+
+def confirmed(partners: DataFrame, nodes: DataFrame, labels: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) among ``partners`` (key, node, partners). A text is moved once for each key that it has partners in."""
+    member = common.written(partners.select("node").distinct().join(nodes.select("node", "head"), "node").join(labels, "node"), "pair-members")
     text = docs.where(hash_arrays.member("doc_id", hash_arrays.id_set(member.select("head"), "pair-ids")))
-    member_text = member.select("node", "head", "label").join(text.withColumnRenamed("doc_id", "head"), "head")
-    tasks = sides.join(member_text, "node").select("key", "node", "label", "partners", "text")
+    member_text = member.join(text.withColumnRenamed("doc_id", "head"), "head").select("node", "label", "text")
+    tasks = partners.join(member_text, "node").select("key", "node", "label", "partners", "text")
     return _dealt(tasks).mapInArrow(_confirmer(width, percent), "a long, b long")
 
 
@@ -300,19 +347,20 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     if percent < 80:
         raise ValueError("the bands are made for a similarity of 80 percent or more")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketch = common.written(docs.mapInArrow(_sketch(shingle_words), "doc_id long, n_shingles long, node long, mark array<long>, bands array<long>"), "sketch")
+    sketch = common.written(docs.mapInArrow(_sketch(shingle_words), "doc_id long, n_shingles long, node long, mark array<long>, fine binary, bands array<long>, low_bands binary"), "sketch")
     named = sketch.where("node is not null and doc_id is not null")
     heads = named.groupBy("node").agg(F.min("doc_id").alias("head"))
     # one row of each node: that of its head; equal rows of the same head fall together
     nodes = named.join(heads, [named["node"] == heads["node"], named["doc_id"] == heads["head"]], "left_semi")
-    nodes = common.written(nodes.groupBy("node").agg(F.min("doc_id").alias("head"), F.first("n_shingles").alias("n_shingles"), F.first("mark").alias("mark"), F.first("bands").alias("bands")), "nodes")
+    nodes = common.written(nodes.groupBy("node").agg(F.min("doc_id").alias("head"), F.first("n_shingles").alias("n_shingles"), F.first("mark").alias("mark"), F.first("fine").alias("fine"), F.first("bands").alias("bands"), F.first("low_bands").alias("low_bands")), "nodes")
 
-    banded = nodes.select("node", F.explode("bands").alias("bucket"))
-    crowded = banded.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    seats = common.written(banded.join(crowded, "bucket"), "seats")
+    banded = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
+    crowded = common.written(banded.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "crowded")
+    total = crowded.agg(F.sum("size")).first()[0] or 0
+    seats = common.written(join_one(banded, crowded.withColumn("n", F.col("size")), "bucket", total), "seats")
     rank = seats.groupBy("node").agg(F.sum("size").alias("rank"))  # the more company, the more central
-    centre = seats.join(rank, "node").groupBy("bucket").agg(F.max(F.struct("rank", "node")).alias("top")).select("bucket", F.col("top.node").alias("centre"))
-    pairs = seats.join(centre, "bucket").where("node <> centre").select("node", "centre").distinct()
+    centre = seats.join(rank, "node").groupBy("bucket").agg(F.max(F.struct("rank", "node")).alias("top"), F.count("*").alias("n")).select("bucket", "n", F.col("top.node").alias("centre"))
+    pairs = join_one(seats, common.written(centre, "centres"), "bucket", total).where("node <> centre").select("node", "centre").distinct()
     pairs = pairs.join(nodes.select("node", F.col("mark").alias("mark_a")), "node").join(nodes.select(F.col("node").alias("centre"), F.col("mark").alias("mark_b")), "centre")
     near = pairs.where(estimate_column(F.col("mark_a"), F.col("mark_b")) >= CLUSTER_FROM).select(F.col("node").alias("a"), F.col("centre").alias("b"))
     cluster = connected_components(near, "clusters")
@@ -330,10 +378,10 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     linked = common.written(_dealt(first).mapInArrow(_linker(shingle_words, percent), "a long, b long"), "links")
 
     root = connected_components(linked, "first-groups")
-    marks = nodes.select("node", "n_shingles", "mark").join(root, "node", "left").withColumn("label", F.coalesce("root", "node"))
-    left = common.written(bucket_pairs(seats, marks, percent, bucket_docs), "bucket-pairs")
+    marks = nodes.select("node", "n_shingles", "mark", "fine", "low_bands").join(root, "node", "left").withColumn("label", F.coalesce("root", "node"))
+    left = common.written(possible_partners(seats, marks, percent, bucket_docs), "partners")
     if left.limit(1).count():
-        more = common.written(confirmed(left, nodes, marks.select("node", "label"), docs, shingle_words, percent, block_docs), "bucket-links")
+        more = common.written(confirmed(left, nodes, marks.select("node", "label"), docs, shingle_words, percent), "bucket-links")
         root = connected_components(root.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more), "groups")
     component = nodes.select("node", "head").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = component.groupBy("root").agg(F.min("head").alias("component_id"))
