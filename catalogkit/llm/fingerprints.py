@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -58,35 +59,29 @@ def chunk_ends(data: np.ndarray) -> list[int]:
     return ends
 
 
-def chunk_set(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct chunk digests in order, with the bytes of each. The empty text has no chunk."""
+def chunk_set(text: str) -> np.ndarray:
+    """The distinct chunks in order, each a number: the high 6 bytes of its digest and 2 bytes of size. The empty text
+    has no chunk."""
     raw = text.encode("utf-8", "surrogatepass")
     ends = chunk_ends(np.frombuffer(raw, np.uint8))
-    digest, begin, view = xxhash.xxh3_64_intdigest, 0, memoryview(raw)
-    found = {}
-    for end in ends:
-        found[digest(view[begin:end])] = end - begin
-        begin = end
-    digests = np.fromiter(found, np.uint64, len(found))
-    sizes = np.fromiter(found.values(), np.uint16, len(found))
-    order = np.argsort(digests)
-    return digests[order], sizes[order]
+    digest, view = xxhash.xxh3_64_intdigest, memoryview(raw)
+    begins = [0, *ends[:-1]]
+    digests = np.fromiter((digest(view[i:j]) for i, j in zip(begins, ends)), np.uint64, len(ends))
+    return np.unique((digests & np.uint64(0xFFFFFFFFFFFF0000)) | (np.array(ends, np.uint64) - np.array(begins, np.uint64)))
 
 
-def encode(chunks: tuple[np.ndarray, np.ndarray]) -> str:
-    """A fingerprint as text: base64 of the high 6 bytes of each digest and 2 bytes of size."""
-    packed = (chunks[0] & np.uint64(0xFFFFFFFFFFFF0000)) | chunks[1].astype(np.uint64)
-    return base64.b64encode(packed.astype(">u8").tobytes()).decode()
+def encode(chunks: np.ndarray) -> str:
+    """A fingerprint as text: base64 of its numbers, high bytes first."""
+    return base64.b64encode(chunks.astype(">u8").tobytes()).decode()
 
 
-def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
+def likeness(a: np.ndarray, b: np.ndarray) -> float:
     """Bytes in common chunks over the bytes of the smaller chunk set (containment); two empty sets are alike, and
     an empty and a full one are not."""
-    if not len(a[0]) or not len(b[0]):
-        return float(len(a[0]) == len(b[0]))
-    at = np.minimum(np.searchsorted(b[0], a[0]), len(b[0]) - 1)
-    common = a[1][b[0][at] == a[0]].sum(dtype=np.int64)
-    return float(common / min(a[1].sum(dtype=np.int64), b[1].sum(dtype=np.int64)))
+    if not len(a) or not len(b):
+        return float(len(a) == len(b))
+    size = lambda x: int((x & np.uint64(0xFFFF)).sum())
+    return size(np.intersect1d(a, b, assume_unique=True)) / min(size(a), size(b))
 
 
 def edited(text: str, following: str) -> str:
@@ -98,20 +93,23 @@ def edited(text: str, following: str) -> str:
 _SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
-def fingerprint_documents(docs: DataFrame, rows_per_bucket: int = 1000, max_buckets: int = 20_000) -> DataFrame:
-    """Fingerprint every row of ``docs`` (doc_id, text) and its edited text, which ends as the next row begins.
+def fingerprint_documents(docs: DataFrame, rows_per_bucket: int = 20_000, most_cuts: int = 20_000) -> DataFrame:
+    """Fingerprint every row of ``docs`` (doc_id, text; other columns are ignored) and its edited text, which ends as the
+    next row begins.
 
     Rows follow each other in ascending doc_id; rows with equal doc_id in the order of their texts (null first), so
     that repeated rows have a defined order. The next of the last row is the first; a single row follows itself. A
-    null text is empty, and an empty text has an empty fingerprint. A null doc_id sorts first. An empty table gives an empty result.
+    null text is empty, and an empty text has an empty fingerprint. A null doc_id sorts first. Texts of any length are
+    read whole. An empty table gives an empty result.
 
     Neighbours meet without a global window: quantiles of doc_id cut the rows into ranges (equal ids always share one),
-    and the first row of each range also goes to the range before it. Only the cuts and the range heads (one id each)
-    pass through the driver.
+    and the first row of each range also goes to the range before it. A range is sorted by Spark and read in a stream,
+    two rows at a time, so its length does not matter; ``most_cuts`` bounds what passes through the driver: the cuts
+    and the range heads (one id each).
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     n, low = docs.agg(F.count("*"), F.min("doc_id")).first()
-    buckets = int(min(max_buckets, max(1, n // rows_per_bucket)))
+    buckets = int(min(most_cuts, max(1, n // rows_per_bucket, docs.rdd.getNumPartitions() if n >= rows_per_bucket else 1)))
     cuts = []
     if buckets > 1 and low is not None:
         q = docs.agg(F.percentile_approx("doc_id", [i / buckets for i in range(1, buckets)], buckets * 20)).first()[0]
@@ -125,30 +123,41 @@ def fingerprint_documents(docs: DataFrame, rows_per_bucket: int = 1000, max_buck
         at[known] = np.searchsorted(bounds, ids[known].astype("int64").to_numpy(), "right")
         return pd.Series(at)
 
+    lowest = F.coalesce("doc_id", F.lit(-(2**63)))
     placed = docs.withColumn("bucket", bucket_of("doc_id"))
-    heads = sorted((r["bucket"], r["head"]) for r in placed.groupBy("bucket").agg(F.min(F.coalesce("doc_id", F.lit(-(2**63)))).alias("head")).collect())
+    heads = sorted((r["bucket"], r["head"]) for r in placed.groupBy("bucket").agg(F.min(lowest).alias("head")).collect())
     before = {head: heads[i - 1][0] for i, (_, head) in enumerate(heads)}  # the head of the first goes to the last
-    guest = F.lit(None).cast("int")
+    previous = F.lit(None).cast("int")
     if before:
         lookup = placed.sparkSession.createDataFrame(list(before.items()), "head long, previous int")
-        placed = placed.join(F.broadcast(lookup), F.coalesce("doc_id", F.lit(-(2**63))) == F.col("head"), "left")  # at most max_buckets rows
-        guest = F.col("previous")
-    seats = F.array_compact(F.array(F.struct(F.col("bucket").alias("b"), F.lit(False).alias("guest")), F.when(guest.isNotNull(), F.struct(guest.alias("b"), F.lit(True).alias("guest")))))
+        placed = placed.join(F.broadcast(lookup), lowest == F.col("head"), "left")  # at most most_cuts rows
+        previous = F.col("previous")
+    seats = F.array_compact(F.array(F.struct(F.col("bucket").alias("b"), F.lit(False).alias("guest")), F.when(previous.isNotNull(), F.struct(previous.alias("b"), F.lit(True).alias("guest")))))
     seated = placed.select("doc_id", "text", F.explode(seats).alias("seat")).select("doc_id", "text", "seat.b", "seat.guest")
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["guest", "doc_id", "text"], na_position="first", kind="stable").reset_index(drop=True)
-        own = int((~group["guest"]).sum())
-        texts = group["text"].tolist()
-        prints = [chunk_set(t) for t in texts[: own + 1]]
-        rows = []
-        for i in range(own):
-            follow = i + 1 if i + 1 < len(texts) else 0
-            new = edited(texts[i], texts[follow])
-            new_print = chunk_set(new)
-            rows.append((len(texts[i]), hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest(), encode(prints[i]), encode(new_print), likeness(prints[i], new_print), likeness(prints[i], prints[follow])))
-        out = pd.DataFrame(rows, columns=["n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
-        out.insert(0, "doc_id", group["doc_id"][:own].astype("Int64"))
-        return out
-
-    return seated.groupBy("b").applyInPandas(run, _SCHEMA)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, out = None, []
+        for batch in batches:
+            for doc_id, text, b, guest in zip(*(batch[c].to_pylist() for c in ("doc_id", "text", "b", "guest"))):
+                chunks = None
+                if last is not None and last[2] == b and not last[4]:
+                    old, old_text, _, old_chunks, _ = last
+                    chunks, new = chunk_set(text), edited(old_text, text)
+                    new_chunks = chunk_set(new)
+                    out.append((old, len(old_text), hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest(), encode(old_chunks), encode(new_chunks), likeness(old_chunks, new_chunks), likeness(old_chunks, chunks)))
+                    if len(out) == 500:
+                        yield _batch(out)
+                        out = []
+                # of several guests (rows equal in doc_id with the head) the first is the next row
+                last = doc_id, text, b, (chunk_set(text) if chunks is None and not guest else chunks), guest
+        if out:
+            yield _batch(out)
+
+    order = ["b", "guest", F.asc_nulls_first("doc_id"), "text"]
+    return seated.repartition(len(heads) or 1, "b").sortWithinPartitions(*order).mapInArrow(run, _SCHEMA)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
+    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)

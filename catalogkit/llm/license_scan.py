@@ -11,6 +11,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -42,12 +43,22 @@ class Notice:
     def __post_init__(self):
         self.exact = f" {self.phrase} ".encode()
         self.edits = len(self.phrase) // self.chars_per_edit if len(self.phrase) >= 2 * self.chars_per_edit else 0
+        #: Short words and numbers other than articles tell one license from another: a variant must have them unchanged.
+        self.fixed = [w for w in self.phrase.split() if len(w) <= 3 and w not in ARTICLES]
+        #: A phrase of such words alone may differ in one space.
+        self.spaces_only = self.fixed == self.phrase.split()
+        self.edits = max(self.edits, int(self.spaces_only))
         raw, n = self.phrase.encode(), self.edits + 1
         cuts = [len(raw) * i // n for i in range(n + 1)]
         self.seeds = [(raw[a:b], a) for a, b in zip(cuts, cuts[1:])]
         self.pattern = regex.compile(rf"(?be)(?<=\ )(?:{regex.escape(self.phrase)}){{e<={self.edits}}}(?=\ )".encode())
-        #: Short words and numbers other than articles tell one license from another: a variant must have them unchanged.
-        self.fixed = [w for w in self.phrase.split() if len(w) <= 3 and w not in ARTICLES]
+
+    def tells(self, found: bytes) -> bool:
+        """Whether a variant has the words that tell the license, in order."""
+        if self.spaces_only:
+            return found.replace(b" ", b"") == self.phrase.replace(" ", "").encode()
+        it = iter(found.decode("utf-8", "replace").split())
+        return all(w in it for w in self.fixed)
 
     def places(self, text: bytes) -> list[int]:
         """Byte positions of the first word of each exact place, overlapping ones too."""
@@ -58,52 +69,47 @@ class Notice:
         return found
 
     def variants(self, text: bytes) -> list[tuple[int, int, int]]:
-        """(start, end, edits) in bytes of the verified variants, exact ones too, without overlaps."""
-        near: list[list[int]] = []
+        """(start, end, edits) in bytes of the verified variants, exact ones too, without overlaps. Each candidate place
+        is verified in a span of its own, of bounded length; of variants that overlap the one with fewer edits stays."""
+        near: set[int] = set()
         for seed, offset in self.seeds:
             at = text.find(seed)
             while at >= 0:
-                near.append([max(0, at - offset - self.edits - 1), at - offset + len(self.phrase) + self.edits + 1])
+                near.add(at - offset)
                 at = text.find(seed, at + 1)
-        near.sort()
-        merged: list[list[int]] = []
-        for a, b in near:
-            if merged and a <= merged[-1][1]:
-                merged[-1][1] = max(b, merged[-1][1])
-            else:
-                merged.append([a, b])
-        found = []
-        # one letter more on both sides, so that the borders of words are seen
-        todo = [(a, min(len(text), b + 1)) for a, b in merged]
-        while todo:
-            a, b = todo.pop()
-            m = self.pattern.search(text, a, b) if b - a >= len(self.phrase) - self.edits else None
-            if m:
-                todo += [(a, m.start()), (m.end(), b)]  # the best match comes first, not the leftmost
-                it = iter(m.group().decode("utf-8", "replace").split())
-                if all(w in it for w in self.fixed):
-                    found.append((m.start(), m.end(), sum(m.fuzzy_counts)))
-        found.sort()
-        return found
+        found = set()
+        for at in sorted(near):
+            # one letter more on both sides, so that the borders of words are seen
+            m = self.pattern.search(text, max(0, at - self.edits - 1), min(len(text), at + len(self.phrase) + self.edits + 2))
+            if m and self.tells(m.group()):
+                found.add((sum(m.fuzzy_counts), m.start(), m.end()))
+        taken, kept = np.zeros(len(text) if found else 0, bool), []
+        for edits, start, end in sorted(found):
+            if not taken[start:end].any():
+                taken[start:end] = True
+                kept.append((start, end, edits))
+        return sorted(kept)
 
 
 def scan(text: str | None, notices: list[Notice]) -> dict:
     words = normal(text)
     base, labels, best, spans = [], set(), 0.0, []
-    base_labels = set()
+    base_labels, spaces = set(), None
     for n in notices:
         places = n.places(words)
+        near = n.variants(words) if n.edits and any(seed in words for seed, _ in n.seeds) else []
+        if spaces is None and (places or near):
+            spaces = np.flatnonzero(np.frombuffer(words, np.uint8) == 32)
         if places:
             base_labels.add(n.label)
-            base += [words.count(b" ", 0, at) - 1 for at in places]
+            base += [int(np.searchsorted(spaces, at)) - 1 for at in places]
             best = 1.0
-        if n.edits and any(seed in words for seed, _ in n.seeds):
-            for start, end, edits in n.variants(words):
-                labels.add(n.label)
-                first = words.count(b" ", 0, start) - 1
-                spans.append({"label": n.label, "first_word": first, "n_words": words.count(b" ", start, end) + 1, "edits": edits})
-                best = max(best, 1.0 - edits / len(n.phrase))
-        spans += [{"label": n.label, "first_word": words.count(b" ", 0, at) - 1, "n_words": n.phrase.count(" ") + 1, "edits": 0} for at in places if not n.edits]
+        for start, end, edits in near:
+            labels.add(n.label)
+            first, after = np.searchsorted(spaces, (start, end)).tolist()
+            spans.append({"label": n.label, "first_word": first - 1, "n_words": after - first + 1, "edits": edits})
+            best = max(best, 1.0 - edits / len(n.phrase))
+        spans += [{"label": n.label, "first_word": int(np.searchsorted(spaces, at)) - 1, "n_words": n.phrase.count(" ") + 1, "edits": 0} for at in places if not n.edits]
     return {
         "n_words": words.count(b" ") - 1,
         "n_base": len(base),

@@ -3,7 +3,8 @@
 Each partition packs its pieces best-fit decreasing. Dual-feasible functions bound from below how many bins its
 pieces need; a partition that needs no more than its bound is certified. Partitions with a gap give the documents
 of their badly filled bins, certified ones those of their least filled bin, to an exchange: other, fewer partitions,
-which pack and certify them again, until one partition is left or no bin could be saved.
+which pack and certify them again, until all are certified, one partition has all that is left, or an exchange has saved
+no bin.
 """
 
 from __future__ import annotations
@@ -113,32 +114,32 @@ def _packer(k: int, last: bool, size: int):
     return run
 
 
-def pack(docs: DataFrame, vocabulary: Vocabulary, end_id: int = 2, size: int = 1024, pieces_per_partition: int = 20_000, rounds: int = 6) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset, certified for each piece of ``docs`` (doc_id, text).
+def pack(docs: DataFrame, vocabulary: Vocabulary, end_id: int = 2, size: int = 1024, pieces_per_partition: int = 20_000) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset, certified for each piece of ``docs`` (doc_id, text;
+    other columns are ignored).
 
-    A null text is empty and has the end id alone. Repeated rows are packed each. A null doc_id is kept. An empty table
-    gives an empty result. Pieces of the full size are sequences of their own; the others are dealt over partitions by a
-    hash of the piece, so no key or source can fill one. ``certified`` tells whether the partition that packed the piece
-    last met its lower bound.
+    A null text is empty and has the end id alone. Very long texts are encoded a step after the other. Repeated rows are
+    packed each. A null doc_id is kept. An empty table gives an empty result. Pieces of the full size are sequences of
+    their own; the others are dealt over partitions of about ``pieces_per_partition`` by a hash of the piece, so no key
+    or source can fill one. ``certified`` tells whether the partition that packed the piece last met its lower bound.
+    An exchange that does not save a bin is not taken, and ends the work.
     """
     pieces = common.written(cut(docs, vocabulary, end_id, size), "pieces")
     full = pieces.where(F.col("length") == size).withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long")).withColumn("certified", F.lit(True))
-    open_ = pieces.where(F.col("length") < size)
-    done = [full]
-    waiting = open_.count()
-    for k in range(rounds):
-        if not waiting:
+    waiting = pieces.where(F.col("length") < size)
+    n, bins, held, done, k = waiting.count(), None, None, [full], 0
+    while n:
+        groups = -(-n // pieces_per_partition)
+        key = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "start", F.lit(k)), F.lit(groups)).cast("int")
+        out = common.written(waiting.withColumn("group", key).groupBy("group").applyInPandas(_packer(k, groups == 1, size), f"{_PIECE}, sequence_id long, offset long, certified boolean, released boolean"), f"packed-{k}")
+        # each bin has one piece at offset 0
+        used, again, n = out.agg(F.count_if(F.col("offset") == 0), F.count_if((F.col("offset") == 0) & F.col("released")), F.count_if(F.col("released"))).first()
+        if bins is not None and used >= bins:
+            done.append(held)
             break
-        groups = max(1, -(-waiting // pieces_per_partition))
-        last = k == rounds - 1 or groups == 1
-
-        key = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(k)), F.lit(groups)).cast("int")
-        out = common.written(open_.withColumn("group", key).groupBy("group").applyInPandas(_packer(k, last, size), f"{_PIECE}, sequence_id long, offset long, certified boolean, released boolean"), f"packed-{k}")
         done.append(out.where("not released").drop("released"))
-        open_ = out.where("released").select("doc_id", "piece", "start", "length", "ids_crc32")
-        if last:
-            break
-        waiting, pieces_per_partition = open_.count(), 2 * pieces_per_partition
+        held, bins, k = out.where("released").drop("released"), again, k + 1
+        waiting = held.select("doc_id", "piece", "start", "length", "ids_crc32")
     result = done[0]
     for d in done[1:]:
         result = result.unionByName(d)

@@ -334,27 +334,45 @@ def bm25_hits(rows: list[tuple], items: list[tuple]) -> set:
             tf = w.count(x)
             impact[i, x] = np.log(1 + (n - df[x] + 0.5) / (df[x] + 0.5)) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * len(w) / average))
     own = {i: sum(impact[i, x] for x in set(w)) for i, w in words.items()}
-    stride = max([8, *map(len, words.values())])
     found = set()
     for d, t in rows:
         w = decontamination.text_terms(t).tolist()
-        for k in range(-(-len(w) // stride)):
-            here = set(w[k * stride : (k + 2) * stride])
-            for i, mine in words.items():
+        for i, mine in words.items():
+            stride = 8
+            while stride < len(mine):
+                stride *= 2
+            for k in range(-(-len(w) // stride)):
+                here = set(w[k * stride : (k + 2) * stride])
                 if sum(impact[i, x] for x in set(mine) & here) / own[i] >= decontamination.THRESHOLD:
                     found.add((d, i, k))
     return found
 
 
-def test_wand_finds_all_that_full_scores_find(spark, documents):
-    items = [tuple(r) for r in common.table(spark, SF, "benchmark").select("item_id", "text").collect()]
-    arrays, meta = decontamination.Index.build(items)
-    index = decontamination.Index(arrays, meta)
-    rows = documents[:30]
+def retrieved(rows: list[tuple], items: list[tuple]) -> set:
     terms = [decontamination.text_terms(t) for _, t in rows]
-    got = {(rows[d][0], items[i][0], p) for d, p, i, _ in index.retrieve(np.concatenate(terms), np.array([len(t) for t in terms]))}
+    parts = [decontamination.Part(*x) for x in decontamination.build(items)]
+    counts = np.array([len(t) for t in terms])
+    return {(rows[d][0], int(p.item_id[i]), k) for p in parts for d, k, i, _ in p.retrieve(np.concatenate(terms), counts)}
+
+
+def test_wand_finds_all_that_full_scores_find(spark):
+    items = [tuple(r) for r in common.table(spark, SF, "benchmark").select("item_id", "text").collect()]
+    texts = [tuple(r) for r in common.table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text").orderBy("doc_id").collect()]
+    held = [r for r in texts if any(t in (r[1] or "") for _, t in items)]
+    rows = held[:12] + [r for r in texts[:40] if len(r[1] or "") < 4000] + [(-1, items[0][1] + " and more"), (-2, " ".join(items[1][1].split()[:-2]))]
+    want = bm25_hits(rows, items)
+    assert want and {-1, -2} <= {d for d, *_ in want}
+    assert retrieved(rows, items) == want
+
+
+def test_wand_with_ties_lengths_and_frequent_terms():
+    rng = random.Random(77)
+    some = [f"w{i}" for i in range(40)]
+    items = [(i, " ".join(rng.choice(some if rng.random() < 0.6 else [f"own{i}x{k}" for k in range(5)]) for _ in range(rng.choice((1, 5, 9, 20, 70, 300))))) for i in range(150)]
+    items += [(1000 + i, items[i][1]) for i in range(10)]
+    rows = [(d, " ".join([rng.choice(some) for _ in range(rng.randrange(200))] + rng.choice(items)[1].split()[: rng.choice((3, 30, 400))] + [rng.choice(some) for _ in range(30)])) for d in range(40)]
     want = bm25_hits(rows, items)
-    assert got == want and want
+    assert len(want) > 40 and retrieved(rows, items) == want
 
 
 def test_contaminated_documents(spark, awkward, no_docs):
