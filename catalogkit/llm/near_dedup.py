@@ -37,7 +37,7 @@ BINS, FINE_WORDS = 512, 32
 #: Documents and shingles that one block holds, and the central documents that every block of a cluster gets.
 BLOCK_DOCS, BLOCK_SHINGLES, CENTRES = 500, 1_000_000, 8
 #: Signatures of a part of a crowded bucket; its parts are compared two by two.
-BUCKET_DOCS = 1000
+BUCKET_DOCS = 500
 _CHANCE = 2.0**-LOW_BITS
 _rng = np.random.default_rng(0xB17)
 _A = _rng.integers(0, 2**32, MINIMA, dtype=np.uint32) | np.uint32(1)

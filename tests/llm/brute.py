@@ -75,6 +75,10 @@ def remove_repeats(rows: list[tuple], window: int) -> list[tuple]:
 # ---------------------------------------------------------------- licenses
 
 
+def license_words(text: str | None) -> list[bytes]:
+    return [w.encode() for w in _PLAIN.findall(lower(text))]
+
+
 def licenses(text: str | None, phrases: dict[str, str]) -> tuple:
     """(n_words, n_base, first_word, last_word, base_labels)."""
     w = _PLAIN.findall(lower(text))
