@@ -7,7 +7,17 @@ from pyspark.sql import functions as F
 
 SPACE = r"[\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+"
 #: Named character references and what they stand for; the ampersand comes last.
-ENTITIES = {"nbsp": " ", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "mdash": "—", "ndash": "–", "hellip": "…", "copy": "©", "reg": "®", "amp": "&"}
+ENTITIES = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "ldquo": "“", "rdquo": "”", "mdash": "—", "ndash": "–", "hellip": "…", "amp": "&"}
+#: Words of a text by which one can tell that something can be applied for.
+APPLY_SIGNALS = [
+    "征集", "征稿", "投稿", "申请", "报名", "递交", "提交", "招募", "参赛", "应征", "甄选", "遴选", "申报", "招生",
+    "徵集", "徵稿", "徵件", "徵選", "申請", "報名", "遞交", "應徵", "甄選", "遴選", "申報", "參賽",
+    "open call", "call for", "apply", "application", "submission", "submit", "entries", "entry form",
+    "register", "registration", "enroll", "enrol", "nomination", "nominate", "proposal",
+    "応募", "募集", "公募", "공모", "지원",
+    "candidature", "postuler", "appel à", "bewerbung", "ausschreibung", "einreich",
+    "convocatoria", "postulación", "bando", "candidatura", "inscri", "aanmeld", "inzending",
+]
 
 
 def squeeze(x: Column) -> Column:
@@ -25,32 +35,45 @@ def key_text(x: Column) -> Column:
     return F.regexp_replace(F.lower(F.coalesce(x, F.lit(""))), r"[\s\x{3000}\x{00A0}·:：()（）《》\"'“”\-]", "")
 
 
-def decode_entities(x: Column) -> Column:
-    """Numeric references up to the basic plane, then named ones; unknown ones stay."""
-    pieces = F.regexp_extract_all(x, F.lit(r"(?s)(&#[xX]?[0-9a-fA-F]{1,6};|&|[^&]+)"), F.lit(1))
+def _numeric(x: Column, pattern: str, base: int) -> Column:
+    """Numeric references as their letters; a number that is no letter gives nothing."""
+    pieces = F.regexp_extract_all(x, F.lit(rf"(?s)(&#{pattern};|&|[^&]+)"), F.lit(1))
 
     def one(p: Column) -> Column:
-        hexa, deci = F.regexp_extract(p, r"^&#[xX]([0-9a-fA-F]{1,6});$", 1), F.regexp_extract(p, r"^&#([0-9]{1,6});$", 1)
-        code = F.when(hexa != "", F.conv(hexa, 16, 10)).when(deci != "", deci).try_cast("int")
-        safe = F.when(code.between(1, 0xD7FF) | code.between(0xE000, 0xFFFD), code)
-        utf = F.decode(F.unhex(F.lpad(F.hex(safe.cast("long")), 4, "0")), "UTF-16BE")
-        return F.when((hexa != "") | (deci != ""), F.coalesce(utf, F.lit(""))).otherwise(p)
+        digits = F.regexp_replace(F.regexp_extract(p, rf"^&#{pattern};$", 1), "^[xX]?0*", "")
+        code = F.when(F.length(digits).between(1, 7), F.conv(digits, base, 10).try_cast("long"))
+        safe = F.when((code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)), code)
+        letter = F.decode(F.unhex(F.lpad(F.hex(safe), 8, "0")), "UTF-32")
+        return F.when(p.rlike(rf"^&#{pattern};$"), F.coalesce(letter, F.lit(""))).otherwise(p)
+
+    return F.when(F.contains(x, F.lit("&#")), F.array_join(F.transform(pieces, one), "")).otherwise(x)
+
 
-    x = F.when(F.contains(x, F.lit("&#")), F.array_join(F.transform(pieces, one), "")).otherwise(x)
+def decode_entities(x: Column) -> Column:
+    """Hexadecimal references, then decimal ones, then named ones in any case; unknown ones stay."""
+    x = _numeric(_numeric(x, "([xX][0-9a-fA-F]+)", 16), "([0-9]+)", 10)
     for name, char in ENTITIES.items():
-        x = F.replace(x, F.lit(f"&{name};"), F.lit(char))
+        x = F.regexp_replace(x, f"(?i)&{name};", char)
     return x
 
 
 def html_to_text(html: Column) -> Column:
-    """Visible text: comments and code go, block ends break lines, tags become spaces, entities are decoded."""
-    x = F.regexp_replace(html, r"(?s)<!--.*?-->", " ")
+    """Visible text: comments and code go, block ends break lines, tags become spaces, entities are decoded, and of
+    several blank lines one stays before lines are trimmed. Null is empty."""
+    x = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?s)<!--.*?-->", " ")
     for tag in ("script", "style", "noscript", "svg"):
-        x = F.regexp_replace(x, rf"(?is)<{tag}[^>]*>.*?</{tag}>", " ")
-    x = F.regexp_replace(x, r"(?i)</(?:p|div|li|tr|h[1-6]|section|article|ul|ol|table)>|<br[^>]*>", "\n")
+        x = F.regexp_replace(x, rf"(?is)<{tag}.*?</{tag}>", " ")
+    x = F.regexp_replace(x, r"(?i)</(?:p|div|li|tr|h[1-6]|br|section|article)>|<br\s*/?>", "\n")
     x = decode_entities(F.regexp_replace(x, r"(?s)<[^>]+>", " "))
-    x = F.regexp_replace(x, r"[ \t\r\f\x0B\x{00A0}]+", " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(x, r" *\n *", "\n"), r"\n{2,}", "\n"))
+    x = F.regexp_replace(x, r"[ \t\x{00A0}]+", " ")
+    x = F.regexp_replace(x, rf"\n{SPACE[:-1]}*\n{SPACE[:-1]}*\n+", "\n\n")
+    x = F.regexp_replace(x, r"[ \t]*\n[ \t]*", "\n")
+    return F.regexp_replace(x, rf"^{SPACE}|{SPACE}$", "")
+
+
+def apply_signal(x: Column) -> Column:
+    """Whether a text has a word by which one can apply for something."""
+    return F.coalesce(x, F.lit("")).rlike("(?iu)" + "|".join(APPLY_SIGNALS))
 
 
 def slug(x: Column, default: str = "item") -> Column:

@@ -44,8 +44,40 @@ def url_date(url: Column, as_of: str) -> Column:
     return F.when(day <= F.to_date(F.lit(as_of)), day)
 
 
+def without_dots(path: Column) -> Column:
+    """A path with its ``.`` and ``..`` parts taken away; what would lead above the root stays at the root."""
+    parts = F.split(path, "/")
+    last = F.element_at(parts, -1)
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda acc, p: F.when(p == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(1)))).when(p == ".", acc).otherwise(F.concat(acc, F.array(p))))
+    return F.when(path.rlike(r"(?:^|/)\.\.?(?:/|$)"), F.concat(F.array_join(kept, "/"), F.when(last.isin(".", ".."), F.lit("/")).otherwise(F.lit("")))).otherwise(path)
+
+
 def resolve(href: Column, base: Column) -> Column:
-    """An absolute url for a link without ``..``."""
+    """An absolute url for a link."""
     scheme, origin = F.regexp_extract(base, r"^(https?:)", 1), F.regexp_extract(base, r"^(https?://[^/?#]+)", 1)
-    folder = F.regexp_replace(F.regexp_replace(base, r"[?#].*$", ""), r"(^https?://[^/]+)$|/[^/]*$", "$1/")
-    return F.when(href.rlike("^https?://"), href).when(F.startswith(href, F.lit("//")), F.concat(scheme, href)).when(F.startswith(href, F.lit("/")), F.concat(origin, href)).otherwise(F.concat(folder, href))
+    bare = F.regexp_replace(base, r"[?#].*$", "")
+    folder = F.regexp_replace(bare, r"(^https?://[^/]+)$|/[^/]*$", "$1/")
+    full = F.when(href.rlike("^https?://"), href).when(F.startswith(href, F.lit("//")), F.concat(scheme, href)).when(F.startswith(href, F.lit("/")), F.concat(origin, href))
+    full = full.when(F.startswith(href, F.lit("?")), F.concat(bare, href)).when(F.startswith(href, F.lit("#")), F.concat(F.regexp_replace(base, "#.*$", ""), href)).otherwise(F.concat(folder, href))
+    host, tail = F.regexp_extract(full, r"^(https?://[^/?#]*)", 1), F.regexp_extract(full, r"([?#].*)$", 1)
+    path = F.substr(full, F.length(host) + 1, F.length(full) - F.length(host) - F.length(tail))
+    return F.concat(host, without_dots(path), tail)
+
+
+#: Hosts that are no sources, by any part of the address.
+BLOCKED = (
+    r"(?i)weixin\.qq|mp\.weixin|zhihu\.com|xiaohongshu|xhslink|weibo\.|douban\.com|bilibili|baike\.baidu|baidu\.com|bing\.com|duckduckgo|zhipin|liepin|58\.com|facebook\.|instagram\.|youtube\.|twitter\.|t\.me"
+    r"|tiktok|douyin|1688\.|taobao|jd\.com|csdn|jianshu|sohu\.com|163\.com/|qq\.com/a/|sina\.com|1zj\.com|wjx\.cn|zhengjifuwu|opencallradar|saikr\.com|gfbzb|征兵|cpta\.com\.cn|activity\.tencent|meishujia\.cn"
+    r"|zcool\.com\.cn/work|nipic|huitu\.com|quanjing"
+)
+
+
+def is_blocked(url: Column) -> Column:
+    return url.rlike(BLOCKED)
+
+
+def is_unsafe(authority: Column) -> Column:
+    """Whether a host is empty, local, or a bare address."""
+    h = F.lower(F.coalesce(authority, F.lit("")))
+    h = F.regexp_extract(F.regexp_replace(h, r"^\[|\]$", ""), r"^([^:]*)", 1)
+    return (h == "") | (h == "localhost") | h.rlike(r"\.(?:local|internal|lan|home)$") | h.rlike(r"^[0-9]{1,3}(?:\.[0-9]{1,3}){3}$")

@@ -7,6 +7,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scratch import fixed
+
 
 @dataclass
 class CatalogQuery:
@@ -42,9 +44,10 @@ def keyword(columns: list[str], text: str) -> Column:
     return F.contains(F.lower(F.concat_ws(" ", *(F.nullif(F.col(c), F.lit("")) for c in columns))), F.lit(text.lower()))
 
 
-def deadline_rank(days: Column) -> Column:
-    """Open ones by days left, rolling ones after them, past ones last and oldest first."""
-    return F.when(days.isNull(), F.lit(500_000_000)).when(days >= 0, days).otherwise(F.lit(2_000_000_000) + days).cast("long")
+def deadline_rank(state: Column, days: Column) -> Column:
+    """Open ones by days left, rolling ones after them, upcoming ones, past ones last and oldest first."""
+    n = F.coalesce(days, F.lit(0)).cast("long")
+    return F.when(state == "open", F.when(days.isNull(), F.lit(500_000_000)).otherwise(n)).when(state == "upcoming", F.lit(1_000_000_000) + n).otherwise(F.lit(2_000_000_000) + n).cast("long")
 
 
 def page(df: DataFrame, order: list, number: int, size: int = 30) -> DataFrame:
@@ -53,17 +56,19 @@ def page(df: DataFrame, order: list, number: int, size: int = 30) -> DataFrame:
 
 
 def tags(text: Column, dictionary: list[tuple[str, list[str], list[str]]]) -> Column:
-    """Labels whose substring terms stand anywhere or whose word terms stand as whole ASCII words."""
-    t = F.lower(F.coalesce(text, F.lit("")))
+    """Labels whose substring terms stand anywhere or whose word terms stand as whole ASCII words, in any case. The text
+    is lower-cased once, and each label is one alternation."""
     found = []
     for label, anywhere, words in dictionary:
-        cond = F.lit(False)
-        for a in anywhere:
-            cond = cond | F.contains(t, F.lit(a))
+        parts = ["|".join(map(_literal, anywhere))] if anywhere else []
         if words:
-            cond = cond | t.rlike(r"(?:^|[^a-z0-9_])(?:" + "|".join(words) + r")(?:[^a-z0-9_]|$)")
-        found.append(F.when(cond, F.lit(label)))
-    return F.array_compact(F.array(*found))
+            parts.append(r"(?:^|[^a-z0-9_])(?:" + "|".join(map(_literal, words)).replace(" ", "[ -]") + r")(?:[^a-z0-9_]|$)")
+        found.append((label, "|".join(parts)))
+    return F.transform(F.array(F.lower(F.coalesce(text, F.lit("")))), lambda t: F.array_compact(F.array(*(F.when(t.rlike(p), F.lit(label)) for label, p in found))))[0]
+
+
+def _literal(term: str) -> str:
+    return "".join("\\" + c if c in ".^$*+?()[]{}|\\" else c for c in term)
 
 
 def tag_counts(df: DataFrame, column: str) -> DataFrame:
@@ -71,9 +76,10 @@ def tag_counts(df: DataFrame, column: str) -> DataFrame:
 
 
 def numbered(df: DataFrame, order: list, size: int) -> DataFrame:
-    """Each row's page. The position is counted in two steps, per range and then over ranges, so no task sorts all."""
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
-    within = ranged.withColumn("_rn", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
+    """Each row's page. The position is counted in two steps, per range and then over ranges, so no task sorts all. The
+    ranges are fixed once, in the checkpoint folder: planned twice, they need not be the same."""
+    ranged = fixed(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id()))
+    within = ranged.withColumn("_p", F.shiftright("_m", 33)).withColumn("_rn", F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_m")
     sizes = within.groupBy("_p").agg(F.count("*").alias("_n"))
     before = sizes.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_before"))  # a row per partition
     return within.join(F.broadcast(before), "_p").withColumn("position", F.col("_rn") + F.col("_before")).withColumn("page", F.ceil(F.col("position") / size)).drop("_p", "_rn", "_before")

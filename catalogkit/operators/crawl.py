@@ -45,11 +45,33 @@ def source_tier(polls: DataFrame, key: str, at: list, added: Column, high: int =
 
 
 def trusted_lastmod(pages: DataFrame, site: str, lastmod: str, as_of: str, since: str, fresh_days: int = 90) -> DataFrame:
-    """Pages changed since a day, where the site's newest lastmod is fresh enough to be believed; else all pages."""
-    newest = F.max(lastmod).over(Window.partitionBy(site))
-    return pages.withColumn("trusted", F.datediff(F.to_date(F.lit(as_of)), newest) <= fresh_days).where(~F.col("trusted") | (F.col(lastmod) >= F.to_date(F.lit(since))))
+    """Pages changed since a day, where the site's newest lastmod is fresh enough to be believed; else all pages. A page
+    without a lastmod stays. The newest day is an aggregate with partial sums; only sites that are believed and have
+    changed pages can lose any, so a large site fills no task."""
+    trust = pages.groupBy(site).agg((F.datediff(F.to_date(F.lit(as_of)), F.max(lastmod)) <= fresh_days).alias("trusted"))
+    return pages.join(trust, pages[site].eqNullSafe(trust[site])).drop(trust[site]).withColumn("trusted", F.coalesce("trusted", F.lit(False))).where(~F.col("trusted") | F.col(lastmod).isNull() | (F.col(lastmod) >= F.to_date(F.lit(since))))
 
 
 def unchanged(pages: DataFrame, state: DataFrame, key: str) -> DataFrame:
     """Pages with whether they answered 304 or hash as before; a page without state has changed."""
     return pages.join(state.select(key, F.col("hash").alias("before")), key, "left").withColumn("unchanged", F.coalesce(F.col("status") == 304, F.lit(False)) | (F.col("before").isNotNull() & F.col("hash").eqNullSafe(F.col("before")))).drop("before")
+
+
+def polled_today(sources: DataFrame, as_of: str) -> DataFrame:
+    """Sources to be asked on a day: those not known to be out of reach; low-yield ones on every third day of a month."""
+    rest = (F.col("tier") == "low") & (F.dayofmonth(F.to_date(F.lit(as_of))) % 3 != 0)
+    return sources.where(F.coalesce("reachable", F.lit(True)) & ~F.coalesce(rest, F.lit(False)))
+
+
+def extracted(pages: DataFrame, extractions: DataFrame, key: str) -> DataFrame:
+    """Pages with what was extracted from them beforehand. A page without an extraction is an error of the row."""
+    missing = F.raise_error(F.concat(F.lit("no extraction for "), F.col(key).cast("string")))
+    return pages.join(extractions.withColumn("_found", F.lit(True)), key, "left").where(F.when(F.col("_found").isNull(), missing.cast("boolean")).otherwise(F.lit(True))).drop("_found")
+
+
+def early_stop(candidates: DataFrame, query: str, order: list, added: Column, target: int, most: int = 16) -> DataFrame:
+    """The candidates of a query that are probed: the first ``most`` in order, until ``target`` have been added."""
+    w = Window.partitionBy(query).orderBy(*order)
+    c = candidates.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= most)
+    before = F.coalesce(F.sum(added.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return c.withColumn("_before", before).where(F.col("_before") < target).drop("_rn", "_before")

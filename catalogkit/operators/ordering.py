@@ -16,16 +16,17 @@ def top(df: DataFrame, keys: list, order: list, n: int = 1) -> DataFrame:
 
 
 def keep_best(df: DataFrame, key: str, score: str, ord_: str) -> DataFrame:
-    """The row with the highest score of each key, the earliest of equals, at the key's first position (``at``)."""
-    w = Window.partitionBy(key)
-    best = df.withColumn("at", F.min(ord_).over(w)).withColumn("_rn", F.row_number().over(w.orderBy(F.desc(score), F.asc(ord_))))
-    return best.where("_rn = 1").drop("_rn")
+    """The row with the highest score of each key, the earliest of equals, at the key's first position (``at``). Both
+    are aggregates with partial results, so a key of very many rows fills no task."""
+    rest = [c for c in df.columns if c not in (key, score, ord_)]
+    best = df.groupBy(key).agg(F.max_by(F.struct(score, ord_, *rest), F.struct(F.col(score), -F.col(ord_))).alias("_best"), F.min(ord_).alias("at"))
+    return best.select(key, *(F.col(f"_best.{c}").alias(c) for c in (score, ord_, *rest)), "at")
 
 
 def clusters(df: DataFrame, key: str, ord_: str) -> DataFrame:
-    """Keys with two rows or more: size, first row, the others in order."""
-    g = df.groupBy(key).agg(F.count("*").alias("size"), F.min(ord_).alias("keep"), F.sort_array(F.collect_list(ord_)).alias("members")).where("size > 1")
-    return g.withColumn("dropped", F.slice("members", 2, F.size("members"))).drop("members")
+    """A row for each row of a key that has two or more: the key, its size, the row kept, and the row's own position."""
+    g = df.groupBy(key).agg(F.count("*").alias("size"), F.min(ord_).alias("keep")).where("size > 1")
+    return df.select(key, ord_).join(g, key)
 
 
 def shared(df: DataFrame, key: str, by: str) -> DataFrame:
@@ -35,6 +36,7 @@ def shared(df: DataFrame, key: str, by: str) -> DataFrame:
 
 
 def interleave(df: DataFrame, side: Column, order: list, limit: int) -> DataFrame:
-    """Take turns between streams: the first of each, then the second of each; ``side`` orders the streams."""
+    """Take turns between streams: the first of each, then the second of each; ``side`` orders the streams. No stream
+    gives more than ``limit`` rows, and Spark keeps no more of each in a partition before they meet."""
     d = df.withColumn("side", side)
-    return ranked(d, ["side"], order, "turn").orderBy("turn", "side").limit(limit)
+    return ranked(d, ["side"], order, "turn").where(F.col("turn") <= limit).orderBy("turn", "side").limit(limit)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,3 +34,14 @@ def values(data: list[tuple]) -> str:
     """The same as SQL."""
     one = lambda v: "NULL" if v is None else str(v) if not isinstance(v, str) else "'" + v.replace("'", "''") + "'"
     return "(VALUES " + ", ".join("(" + ", ".join(map(one, r)) + ")" for r in data) + ")"
+
+
+def derived(t, sql: str) -> DataFrame:
+    """A table made from the loaded ones by SQL that Spark and DuckDB read alike; ``{name}`` stands for a table."""
+    names = set(re.findall(r"\{(\w+)\}", sql))
+    return t("region").sparkSession.sql(sql, **{n: t(n) for n in names})
+
+
+def plain(sql: str) -> str:
+    """The same SQL for DuckDB."""
+    return re.sub(r"\{(\w+)\}", r"\1", sql)

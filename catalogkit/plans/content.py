@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import dates, hashing, text, urls
-from ..operators import catalog, crawl, evidence, geo, merge, ordering
+from ..functions import text, urls
+from ..operators import catalog, crawl, evidence, geo, ordering, social
 from ..sources import html
 from .base import query, rows, values
 
@@ -47,11 +47,10 @@ def fingerprint_keep_best(t):
     return ordering.keep_best(d, "fp", "score", "doc_id").select("doc_id", "fp", "score", "at")
 
 
-@query(f"""SELECT fp, count(*) AS size, min(doc_id) AS keep, array_to_string(list(doc_id ORDER BY doc_id)[2:], ',') AS dropped
-FROM (SELECT doc_id, md5({_n("text")}) AS fp FROM documents) GROUP BY fp HAVING count(*) > 1""")
+@query(f"""SELECT fp, doc_id, size, keep FROM (SELECT doc_id, md5({_n("text")}) AS fp, count(*) OVER (PARTITION BY md5({_n("text")})) AS size, min(doc_id) OVER (PARTITION BY md5({_n("text")})) AS keep FROM documents) WHERE size > 1""")
 def duplicate_clusters(t):
     d = t("documents").select("doc_id", F.md5(text.squeeze(F.col("text"))).alias("fp"))
-    return ordering.clusters(d, "fp", "doc_id").withColumn("dropped", F.array_join(F.col("dropped").cast("array<string>"), ","))
+    return ordering.clusters(d, "fp", "doc_id").select("fp", "doc_id", "size", "keep")
 
 
 @query("""SELECT doc_id, source, h, n AS rows, s AS sources FROM (SELECT doc_id, source, md5(text) AS h FROM documents) JOIN
@@ -60,18 +59,40 @@ def shared_value_audit(t):
     return ordering.shared(t("documents").select("doc_id", "source", F.md5("text").alias("h")), "h", "source")
 
 
-@query(r"""WITH a AS (SELECT page_id, regexp_replace(html, '(?s)<!--.*?-->', ' ', 'g') AS x FROM pages),
-b AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '(?is)<script[^>]*>.*?</script>', ' ', 'g'), '(?is)<style[^>]*>.*?</style>', ' ', 'g'), '(?is)<noscript[^>]*>.*?</noscript>', ' ', 'g'), '(?is)<svg[^>]*>.*?</svg>', ' ', 'g') AS x FROM a),
-c AS (SELECT page_id, regexp_replace(regexp_replace(x, '(?i)</(?:p|div|li|tr|h[1-6]|section|article|ul|ol|table)>|<br[^>]*>', chr(10), 'g'), '(?s)<[^>]+>', ' ', 'g') AS x FROM b),
-d AS (SELECT page_id, replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(x, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', ''''), '&mdash;', '—'), '&ndash;', '–'), '&hellip;', '…'), '&copy;', '©'), '&reg;', '®'), '&amp;', '&') AS x FROM c)
-SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(x, '[ \t\r\f\x0B\x{00A0}]+', ' ', 'g'), ' *\n *', chr(10), 'g'), '\n{2,}', chr(10), 'g')) AS t FROM d""")
+_RAW = [(-1, "<p>a &#128512;&#x1F600; &LDQUO;b&rdquo; &copy;</p>"), (-2, "one<BR/>two</li>\n \n\n<br>three&#0065;&#x26;#65;&#xD800;&#99999999;"), (-3, "<svg><p>no</p></SVG >x</svg><!-- c -->\u3000&amp;lt;&nbsp;y"), (-4, ""), (-5, None)]
+
+
+def _numeric_sql(x: str, pattern: str, value: str) -> str:
+    """The numeric references of a text decoded in DuckDB: pieces, each a reference or not."""
+    digits = f"ltrim(regexp_replace(regexp_extract(p, '^&#({pattern});$', 1), '^[xX]', ''), '0')"
+    code = value.format(d=digits)
+    return f"""array_to_string(list_transform(regexp_extract_all({x}, '(?s)(?:&#{pattern};|&|[^&]+)'), lambda p: CASE WHEN NOT regexp_matches(p, '^&#{pattern};$') THEN p
+WHEN length({digits}) BETWEEN 1 AND 7 AND ({code} BETWEEN 1 AND 55295 OR {code} BETWEEN 57344 AND 1114111) THEN chr(({code})::INTEGER) ELSE '' END), '')"""
+
+
+_HEX = "list_reduce(list_transform(string_split(lower({d}), ''), lambda c: (strpos('0123456789abcdef', c) - 1)::BIGINT), lambda a, b: a * 16 + b)"
+_NAMED = "x"
+for _name, _char in list(text.ENTITIES.items()):
+    _NAMED = f"regexp_replace({_NAMED}, '(?i)&{_name};', '" + _char.replace("'", "''") + "', 'g')"
+_SP = r"[\s\x{000B}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+
+
+@query(rf"""WITH p AS (SELECT page_id, html FROM pages UNION ALL SELECT * FROM {values(_RAW)} v(page_id, html)),
+a AS (SELECT page_id, regexp_replace(coalesce(html, ''), '(?s)<!--.*?-->', ' ', 'g') AS x FROM p),
+b AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '(?is)<script.*?</script>', ' ', 'g'), '(?is)<style.*?</style>', ' ', 'g'), '(?is)<noscript.*?</noscript>', ' ', 'g'), '(?is)<svg.*?</svg>', ' ', 'g') AS x FROM a),
+c AS (SELECT page_id, regexp_replace(regexp_replace(x, '(?i)</(?:p|div|li|tr|h[1-6]|br|section|article)>|<br\s*/?>', chr(10), 'g'), '(?s)<[^>]+>', ' ', 'g') AS x FROM b),
+h AS (SELECT page_id, CASE WHEN contains(x, '&#') THEN {_numeric_sql("x", "[xX][0-9a-fA-F]+", _HEX)} ELSE x END AS x FROM c),
+n AS (SELECT page_id, CASE WHEN contains(x, '&#') THEN {_numeric_sql("x", "[0-9]+", "({d})::BIGINT")} ELSE x END AS x FROM h),
+d AS (SELECT page_id, {_NAMED} AS x FROM n)
+SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '[ \t\x{{00A0}}]+', ' ', 'g'), '\n{_SP}*\n{_SP}*\n+', chr(10) || chr(10), 'g'), '[ \t]*\n[ \t]*', chr(10), 'g'), '^{_SP}+|{_SP}+$', '', 'g') AS t FROM d""")
 def html_to_text(t):
-    return t("pages").select("page_id", text.html_to_text(F.col("html")).alias("t"))
+    p = t("pages").select("page_id", "html").unionByName(rows(t, _RAW, "page_id long, html string"))
+    return p.select("page_id", text.html_to_text(F.col("html")).alias("t"))
 
 
 _A = r"""SELECT page_id, pos - 1 AS pos, regexp_extract_all(html, '(?is)<a\s[^>]*?href\s*=\s*(?:"[^"]*"|''[^'']*''|[^\s>"'']+)[^>]*>.*?</a>')[pos] AS a
 FROM (SELECT page_id, html, unnest(range(1, len(regexp_extract_all(html, '(?is)<a\s[^>]*?href\s*=\s*(?:"[^"]*"|''[^'']*''|[^\s>"'']+)[^>]*>.*?</a>')) + 1)) AS pos FROM pages)"""
-_H = r"""coalesce(nullif(regexp_extract(a, '(?is)^<a\s[^>]*?href\s*=\s*"([^"]*)"', 1), ''), nullif(regexp_extract(a, '(?is)^<a\s[^>]*?href\s*=\s*''([^'']*)''', 1), ''), nullif(regexp_extract(a, '(?is)^<a\s[^>]*?href\s*=\s*([^\s>"'']+)', 1), ''))"""
+_H = r"""coalesce(nullif(trim(regexp_extract(a, '(?is)^<a\s[^>]*?href\s*=\s*"([^"]*)"', 1)), ''), nullif(trim(regexp_extract(a, '(?is)^<a\s[^>]*?href\s*=\s*''([^'']*)''', 1)), ''), nullif(regexp_extract(a, '(?is)^<a\s[^>]*?href\s*=\s*([^\s>"'']+)', 1), ''))"""
 
 
 @query(rf"""SELECT page_id, pos::BIGINT AS pos, {_H} AS href, {_n("regexp_replace(regexp_extract(a, '(?is)^<a[^>]*>(.*)</a>$', 1), '(?s)<[^>]+>', ' ', 'g')")} AS label FROM ({_A}) WHERE {_H} IS NOT NULL""")
@@ -79,19 +100,23 @@ def anchors(t):
     return html.anchors(t("pages"), "page_id").select("page_id", F.col("pos").cast("long").alias("pos"), "href", F.col("text").alias("label"))
 
 
-@query(rf"""WITH l AS (SELECT page_id, pos, {_H} AS href FROM ({_A}) WHERE {_H} IS NOT NULL),
-r AS (SELECT page_id, pos, CASE WHEN regexp_matches(href, '^https?://') THEN href WHEN starts_with(href, '//') THEN regexp_extract(url, '^(https?:)', 1) || href
- WHEN starts_with(href, '/') THEN regexp_extract(url, '^(https?://[^/?#]+)', 1) || href
- ELSE regexp_replace(regexp_replace(url, '[?#].*$', '', 'g'), '(^https?://[^/]+)$|/[^/]*$', '\1/', 'g') || href END AS u FROM l JOIN pages USING (page_id))
-SELECT page_id, u, min(pos)::BIGINT AS pos FROM (SELECT page_id, regexp_replace(u, '#.*$', '') AS u, pos FROM r)
-WHERE regexp_matches(u, '{html.DETAIL}') AND NOT regexp_matches(u, '{html.NOT_CONTENT}') GROUP BY ALL""")
+_HOST = r"nullif(regexp_replace(regexp_extract(lower(url), '^https?://(?:[^/?#@]*@)?([^/?#:]+)', 1), '^www\.', ''), '')"
+_PATH = "CASE WHEN starts_with(regexp_replace(regexp_replace({u}, '#.*$', ''), '^https?://[^/?#]*', ''), '/') THEN regexp_replace(regexp_replace({u}, '#.*$', ''), '^https?://[^/?#]*', '') ELSE '/' || regexp_replace(regexp_replace({u}, '#.*$', ''), '^https?://[^/?#]*', '') END"
+
+
+@query(rf"""WITH l AS (SELECT page_id, pos, {_H} AS href, {_n("regexp_replace(regexp_extract(a, '(?is)^<a[^>]*>(.*)</a>$', 1), '(?s)<[^>]+>', ' ', 'g')")} AS label FROM ({_A}) WHERE {_H} IS NOT NULL),
+r AS (SELECT page_id, pos, label, url AS base, CASE WHEN regexp_matches(href, '^https?://') THEN href WHEN starts_with(href, '//') THEN regexp_extract(url, '^(https?:)', 1) || href
+ WHEN starts_with(href, '/') THEN regexp_extract(url, '^(https?://[^/?#]+)', 1) || href WHEN starts_with(href, '?') THEN regexp_replace(url, '[?#].*$', '') || href
+ ELSE regexp_replace(regexp_replace(url, '[?#].*$', '', 'g'), '(^https?://[^/]+)$|/[^/]*$', '\1/', 'g') || href END AS u FROM l JOIN pages USING (page_id)
+ WHERE NOT regexp_matches(href, '(?i)^(?:javascript:|mailto:|tel:|#)') AND NOT (regexp_matches(label, '{html.NAV_NOISE}') AND length(label) < 8)),
+s AS (SELECT *, {_HOST.replace("url", "u")} AS host, {_HOST.replace("url", "base")} AS bhost, {_PATH.format(u="u")} AS path FROM r),
+k AS (SELECT page_id, regexp_replace(u, '#.*$', '') AS u, pos, label FROM s WHERE (host = bhost OR ends_with(host, '.' || bhost)) AND u <> base
+ AND (regexp_matches(path, '{html.DETAIL}') OR (length(label) >= 8 AND regexp_matches(label, '{html.CALL_TITLE}') AND regexp_matches(regexp_extract(path, '^([^?]*)', 1), '/[^/]'))))
+SELECT page_id, u, min(pos)::BIGINT AS pos, arg_min(label, pos) AS label FROM k GROUP BY page_id, u""")
 def detail_links(t):
-    a = html.anchors(t("pages"), "page_id").join(t("pages").select("page_id", "url"), "page_id")
-    u = F.regexp_replace(urls.resolve(F.col("href"), F.col("url")), "#.*$", "")
-    return a.withColumn("u", u).where(html.is_detail(F.col("u"))).groupBy("page_id", "u").agg(F.min("pos").cast("long").alias("pos"))
+    return html.detail_links(t("pages"), "page_id").select("page_id", "u", "pos", F.col("text").alias("label"))
 
 
-_HOST = r"nullif(regexp_replace(regexp_extract(lower(url), '^https?://(?:[^/?#@]*@)?([^/?#:]+)', 1), '^www\.', ''), '')"
 _CLASSES = [("example.com", "trusted"), ("example.net", "third_party"), ("blog.example.org", "third_party")]
 
 
@@ -221,11 +246,13 @@ def verify_waterfall(t):
     return d.select("doc_id", evidence.waterfall(steps).alias("drop_reason"))
 
 
-@query("SELECT conv_id, turn, coalesce(p.grand, c.parent) AS parent FROM (SELECT conv_id, turn, turn // 2 AS parent FROM conversations) c LEFT JOIN (SELECT conv_id, turn AS pt, turn // 2 AS grand FROM conversations) p USING (conv_id) WHERE p.pt = c.parent")
+@query("""SELECT c.conv_id, c.turn, coalesce(p.parent, c.parent) AS parent FROM (SELECT conv_id, turn, CASE WHEN turn > 0 THEN turn // 2 END AS parent FROM conversations) c
+LEFT JOIN (SELECT conv_id, turn, CASE WHEN turn > 0 THEN turn // 2 END AS parent FROM conversations) p ON p.conv_id = c.conv_id AND p.turn = c.parent""")
 def thread_flatten(t):
-    c = t("conversations").select("conv_id", "turn", F.floor(F.col("turn") / 2).alias("parent"))
-    p = c.select("conv_id", F.col("turn").alias("parent"), F.col("parent").alias("grand"))
-    return c.join(p, ["conv_id", "parent"]).select("conv_id", "turn", F.coalesce("grand", "parent").alias("parent"))
+    name = lambda x: F.concat_ws(":", "conv_id", x)
+    c = t("conversations").withColumn("up", F.when(F.col("turn") > 0, F.floor(F.col("turn") / 2)))
+    c = c.select("conv_id", "turn", name(F.col("turn")).alias("id"), F.when(F.col("up").isNotNull(), name(F.col("up"))).alias("parent"))
+    return social.flatten_threads(c).select("conv_id", "turn", F.substring_index("parent", ":", -1).cast("long").alias("parent"))
 
 
 @query(f"""SELECT doc_id, source, md5(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')) AS slug_md5, n_chars FROM documents WHERE lang = 'en' AND contains(lower(text || ' ' || source), 'that')""")

@@ -100,12 +100,13 @@ _DAYS = "date_diff('day', DATE '1998-06-01', o_orderdate::DATE)"
 
 
 @query(f"""SELECT o_orderkey, pinned, rank, row_number() OVER (ORDER BY pinned DESC, rank, o_orderkey) AS position FROM (
-SELECT o_orderkey, o_orderkey IN (1, 2, 3, 7) AS pinned, CASE WHEN o_orderpriority = '1-URGENT' THEN 500000000 WHEN {_DAYS} >= 0 THEN {_DAYS} ELSE 2000000000 + {_DAYS} END::BIGINT AS rank
+SELECT o_orderkey, o_orderkey IN (1, 2, 3, 7) AS pinned, CASE WHEN o_orderpriority = '1-URGENT' THEN 500000000 WHEN {_DAYS} >= 0 THEN {_DAYS} WHEN o_orderkey % 3 = 0 THEN 1000000000 + {_DAYS} ELSE 2000000000 + {_DAYS} END::BIGINT AS rank
 FROM orders WHERE o_totalprice > 1000 AND (o_orderstatus IN ('O', 'P') OR o_orderkey IN (1, 2, 3, 7)))""")
 def browse_filter_sort(t):
     o = t("orders").withColumn("days", F.when(F.col("o_orderpriority") != "1-URGENT", F.datediff(F.to_date("o_orderdate"), F.lit("1998-06-01").cast("date"))))
+    o = o.withColumn("state", dates.item_state(F.lit("open"), F.col("days"), F.when(F.col("o_orderkey") % 3 == 0, 2)))
     q = catalog.CatalogQuery(visible=F.col("o_totalprice") > 1000, any={"o_orderstatus": ["O", "P"]}, pinned=[1, 2, 3, 7], id="o_orderkey").apply(o)
-    q = q.select("o_orderkey", "pinned", catalog.deadline_rank(F.col("days")).alias("rank"))
+    q = q.select("o_orderkey", "pinned", catalog.deadline_rank(F.col("state"), F.col("days")).alias("rank"))
     return catalog.numbered(q, [F.desc("pinned"), F.asc("rank"), F.asc("o_orderkey")], 30).select("o_orderkey", "pinned", "rank", F.col("position").cast("long").alias("position"))
 
 

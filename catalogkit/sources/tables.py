@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,17 +35,37 @@ def read_words(spark: SparkSession, path: str) -> DataFrame:
 
 
 def replace_table(df: DataFrame, root: str) -> str:
-    """Write a new version of a table beside the old ones and point to it; readers never see a half-written table."""
-    version = uuid.uuid4().hex
+    """Write a new version of a table beside the old ones, then append a pointer to it. A pointer is never overwritten and
+    appears by the rename of a finished file, so a reader sees the old version or the new one, whole."""
+    spark, version = df.sparkSession, uuid.uuid4().hex
     df.write.parquet(f"{root}/v-{version}")
-    df.sparkSession.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").json(f"{root}/current")
+    turn = (_latest(spark, root) or {"turn": 0})["turn"] + 1
+    spark.createDataFrame([(turn, version)], "turn long, version string").coalesce(1).write.mode("append").json(f"{root}/current")
     return version
 
 
-def read_table(spark: SparkSession, root: str) -> DataFrame:
-    version = spark.read.schema("version string").json(f"{root}/current").first()["version"]
-    return spark.read.parquet(f"{root}/v-{version}")
+def _latest(spark: SparkSession, root: str) -> dict | None:
+    try:
+        row = spark.read.schema("turn long, version string").json(f"{root}/current").orderBy(F.desc("turn"), "version").first()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    return row.asDict() if row else None
+
+
+def read_table(spark: SparkSession, root: str) -> DataFrame | None:
+    """The newest version; None if there is none yet."""
+    at = _latest(spark, root)
+    return spark.read.parquet(f"{root}/v-{at['version']}") if at else None
 
 
 def append_events(df: DataFrame, path: str) -> None:
     df.write.mode("append").partitionBy("day").json(path)
+
+
+def snapshot(df: DataFrame, root: str, name: str) -> str:
+    """A copy of a table before a write that destroys it."""
+    path = f"{root}/snapshots/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return path

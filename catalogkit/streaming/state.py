@@ -74,18 +74,36 @@ def counters(events: DataFrame, ts: str, every: str = "1 hour", late: str = "10
 
 
 def latest_state(path: str):
-    """A foreachBatch function that keeps the latest row of each (key) in a versioned table."""
+    """A foreachBatch function that keeps the latest row of each (key) in a versioned table. A batch that comes twice
+    changes nothing, since the latest of equal rows is the same row."""
     from ..operators.ordering import top
     from ..sources.tables import read_table, replace_table
 
     def merge(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        try:
-            old = read_table(spark, path)
-        except Exception as e:  # no version has been written yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            old = batch.limit(0)
-        replace_table(top(old.unionByName(batch), ["key"], [F.desc("at")]), path)
+        old = read_table(batch.sparkSession, path)
+        both = batch if old is None else old.unionByName(batch)
+        replace_table(top(both, ["key"], [F.desc("at"), *(c for c in batch.columns if c not in ("key", "at"))]), path)
 
     return merge
+
+
+def suppressed(searches: DataFrame, key: str, ts: str, ok: str, minutes: int = 8) -> DataFrame:
+    """Whether each search repeats one that succeeded within ``minutes`` before it. Suppressed searches don't run, so they
+    don't count as successes: like the limiter, a key's searches are walked in order, with one time held."""
+    schema = f"{key} string, id long, suppressed boolean"
+    rows = searches.select(key, "id", ok, F.unix_micros(F.col(ts).cast("timestamp")).alias("t")).repartition(key).sortWithinPartitions(key, "t", "id")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, last = None, None
+        for b in batches:
+            out = []
+            for k, good, t in zip(b[key].tolist(), b[ok].tolist(), b["t"].tolist()):
+                if k != at:
+                    at, last = k, None
+                again = last is not None and t - last < minutes * 60_000_000
+                out.append(again)
+                if good and not again:
+                    last = t
+            yield pd.DataFrame({key: b[key], "id": b["id"], "suppressed": out})
+
+    return rows.mapInPandas(run, schema)
