@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,3 +46,45 @@ def sessions(events: DataFrame, key: str, ts: str, gap_seconds: int) -> DataFram
 
 def share(df: DataFrame, key: str, cond: Column, name: str) -> DataFrame:
     return df.groupBy(key).agg(F.count("*").alias("n"), F.round(100.0 * F.count_if(cond) / F.count("*"), 1).alias(name))
+
+
+def prefix_counts(df: DataFrame, column: str, classes: dict[str, list[str]]) -> DataFrame:
+    """One row: for each class the rows whose text begins with one of its prefixes, and all rows (``total``)."""
+    hit = lambda ps: reduce(Column.__or__, (F.startswith(column, F.lit(p)) for p in ps))
+    return df.agg(*(F.count_if(hit(ps)).alias(name) for name, ps in classes.items()), F.count("*").alias("total"))
+
+
+def sent_stats(sends: DataFrame, issue: str) -> DataFrame:
+    """Successful and all sends of each issue, and how many addresses it reached."""
+    return sends.groupBy(issue).agg(F.coalesce(F.sum("ok"), F.lit(0)).alias("ok"), F.count("*").alias("total"), F.count_distinct(F.when(F.col("ok") == 1, F.col("address"))).alias("reached"))
+
+
+def budget_use(calls: DataFrame, day: str, source: str, who: str, cached: str) -> DataFrame:
+    """Paid calls of each day and source, in all and by caller, and calls answered from a cache."""
+    n = calls.groupBy(day, source, F.coalesce(who, F.lit("other")).alias("_who")).agg(F.count_if(~F.col(cached)).alias("_n"), F.count_if(F.col(cached)).alias("_hits"))
+    by = F.map_from_entries(F.sort_array(F.collect_list(F.when(F.col("_n") > 0, F.struct(F.col("_who"), F.col("_n"))))))
+    return n.groupBy(day, source).agg(F.sum("_n").alias("used"), F.sum("_hits").alias("hits"), by.alias("by"))
+
+
+def score_cards(shifts: DataFrame, key: str, order: Column, last: int = 12) -> DataFrame:
+    """Shifts, probes, finds and failures of each manager, and the last shifts, newest first; these are limited in each
+    partition before they meet."""
+    from .ordering import top
+
+    total = shifts.groupBy(key).agg(F.count("*").alias("shifts"), F.sum("probed").alias("probed"), F.sum("added").alias("added"), F.count_if(~F.col("ok")).alias("fails"))
+    recent = top(shifts, [key], [order.desc()], last).groupBy(key).agg(F.array_sort(F.collect_list(F.struct((-order).alias("_o"), F.col("id")))).alias("_r"))
+    return total.join(recent, key).select(key, "shifts", "probed", "added", "fails", F.transform("_r", lambda s: s["id"]).alias("recent"))
+
+
+def declared_and_actual(declared: DataFrame, actual: DataFrame, key: str) -> DataFrame:
+    """For each channel the count it states and the one it has, and whether they agree."""
+    n = actual.groupBy(key).agg(F.count("*").alias("actual"))
+    return declared.join(n, key, "left").withColumn("actual", F.coalesce("actual", F.lit(0))).withColumn("agrees", F.col("declared") == F.col("actual"))
+
+
+def recent_hits(cache: DataFrame, key: str, ts: str, as_of: str, days: int = 7, most: int = 600) -> DataFrame:
+    """Cached answers that still hold: the latest of each query, not older than ``days``, the ``most`` newest."""
+    from .ordering import top
+
+    fresh = cache.where(F.col(ts) > F.to_timestamp(F.lit(as_of)) - F.make_dt_interval(F.lit(days)))
+    return top(fresh, [key], [F.desc(ts), F.desc("id")]).orderBy(F.desc(ts), F.desc("id")).limit(most)

@@ -83,3 +83,40 @@ def numbered(df: DataFrame, order: list, size: int) -> DataFrame:
     sizes = within.groupBy("_p").agg(F.count("*").alias("_n"))
     before = sizes.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_before"))  # a row per partition
     return within.join(F.broadcast(before), "_p").withColumn("position", F.col("_rn") + F.col("_before")).withColumn("page", F.ceil(F.col("position") / size)).drop("_p", "_rn", "_before")
+
+
+def official_url(df_url: str, df_official: str, third_party: list[str], trusted: list[str]) -> Column:
+    """Where a record leads: its official url, then its own, if the organiser's; then either on a trusted platform."""
+    from ..functions.urls import host_of, suffixes
+
+    def within(url: Column, domains: list[str]) -> Column:
+        return F.coalesce(F.arrays_overlap(suffixes(host_of(url)), F.array(*map(F.lit, domains))), F.lit(False))
+
+    official, own = F.nullif(F.col(df_official), F.lit("")), F.nullif(F.col(df_url), F.lit(""))
+    foreign = lambda u: within(u, [*third_party, *trusted])
+    return F.coalesce(F.when(~foreign(official), official), F.when(~foreign(own), own), F.when(within(official, trusted), official), F.when(within(own, trusted), own))
+
+
+def fully_free(apply_free: Column, fee_required: Column) -> Column:
+    """Applying costs nothing, and taking part is known to cost nothing."""
+    return F.coalesce(apply_free & ~fee_required, F.lit(False))
+
+
+def badges(conditions: list[tuple[str, Column]]) -> Column:
+    """The names whose condition is known to hold, in order."""
+    return F.array_compact(F.array(*(F.when(c, F.lit(n)) for n, c in conditions)))
+
+
+def search_text(columns: list[str]) -> Column:
+    return F.lower(F.concat_ws(" ", *(F.nullif(F.col(c).cast("string"), F.lit("")) for c in columns)))
+
+
+def suggestions(df: DataFrame, title: list[str], text: str, order: list, n: int = 5) -> DataFrame:
+    """The first records, in order, whose title (the first that is not empty) holds the text."""
+    shown = F.coalesce(*(F.nullif(F.col(c), F.lit("")) for c in title), F.lit(""))
+    return df.withColumn("shown", shown).where(F.contains(F.lower("shown"), F.lit(text.lower()))).orderBy(*order).limit(n)
+
+
+def provenance(via: Column, trust: Column, platform: Column) -> Column:
+    """Where a record comes from: user, search, platform or official."""
+    return F.when((F.coalesce(via, F.lit("")) == "submit") | (F.coalesce(trust, F.lit("")) == "user"), "user").when(via == "search", "search").when(platform.isNotNull(), "platform").otherwise("official")

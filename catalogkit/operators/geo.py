@@ -46,6 +46,23 @@ def ipv4(x: Column) -> Column:
     return F.when(ok, p[0].cast("long") * 16777216 + p[1].cast("long") * 65536 + p[2].cast("long") * 256 + p[3].cast("long"))
 
 
+#: Places by which a record's region is told, the first that fits.
+REGIONS = [
+    ("asia", "日本|韩国|新加坡|印度|泰国|越南|马来|菲律宾|印尼|蒙古|哈萨克"),
+    ("europe", "法国|德国|荷兰|英国|意大利|西班牙|瑞士|比利时|奥地利|斯洛文尼亚|瑞典|挪威|芬兰|丹麦|波兰|葡萄牙|捷克|匈牙利|希腊|爱尔兰|冰岛|克罗地亚"),
+    ("namerica", "美国|加拿大|墨西哥"),
+]
+
+
+def region(country: Column, city: Column) -> Column:
+    """One of six regions."""
+    c, t = F.coalesce(country, F.lit("")), F.coalesce(city, F.lit(""))
+    out = F.when(c.rlike("香港|澳门|台湾|台北|高雄") | t.rlike("香港|澳门|台北|高雄|台中|台南"), "hktw").when(c == "中国", "cn")
+    for name, places in REGIONS:
+        out = out.when(c.rlike(places), name)
+    return out.otherwise("other")
+
+
 def range_join(points: DataFrame, value: str, ranges: DataFrame, low: str, high: str, bits: int = 16, how: str = "left") -> DataFrame:
     """Join values with the ranges that hold them by an equality on their high bits; a range goes to each bucket it
     touches. Ranges must not overlap."""

@@ -68,6 +68,64 @@ def split_archive(df: DataFrame, reason: Column) -> DataFrame:
     return df.withColumn("reason", reason).withColumn("archived", F.col("reason").isNotNull())
 
 
+def archive(df: DataFrame, key: str, reason: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows that stay, those that go to the recycle bin with their reason, and the tombstones (key) of these."""
+    marked = split_archive(df, reason)
+    gone = marked.where("archived")
+    return marked.where("not archived").drop("reason", "archived"), gone.drop("archived"), gone.select(key)
+
+
+def restore(live: DataFrame, bin_: DataFrame, tombs: DataFrame, key: str, which: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows of the bin come back to the live ones, unless these have the key again; their tombstones go."""
+    back = bin_.where(which)
+    return live.unionByName(minus(back.drop("reason"), live, key), allowMissingColumns=True), bin_.where(~F.coalesce(which, F.lit(False))), minus(tombs, back, key)
+
+
+def purge(bin_: DataFrame, tombs: DataFrame, which: Column) -> tuple[DataFrame, DataFrame]:
+    """Rows of the bin go for good; their tombstones stay, so that no copy brings them back."""
+    return bin_.where(~F.coalesce(which, F.lit(False))), tombs
+
+
+def append_new(base: DataFrame, new: DataFrame, key: str, url: str) -> DataFrame:
+    """New rows whose key and url the base does not have; a null or empty url matches none. Rows of one batch are not
+    compared with each other."""
+    fresh = minus(new, base, key)
+    with_url = base.where(F.coalesce(F.col(url), F.lit("")) != "")
+    return fresh.join(with_url.select(url).distinct(), url, "left_anti").select(new.columns)
+
+
+def tombstone_union(sides: list[DataFrame], key: list[str], at: str) -> DataFrame:
+    """Tombstones of all sides; of a key that several have, the last side's time."""
+    marked = [s.select(*key, at).withColumn("_side", F.lit(i)) for i, s in enumerate(sides)]
+    both = marked[0]
+    for m in marked[1:]:
+        both = both.unionByName(m)
+    return both.groupBy(*key).agg(F.max_by(at, F.col("_side")).alias(at))
+
+
+def unseen(streams: list[DataFrame], key: str, ord_: str, seen: DataFrame) -> DataFrame:
+    """Keys of several streams, one after the other, each at its first place, without those seen before."""
+    marked = [s.select(key, F.col(ord_).cast("long").alias(ord_)).withColumn("_side", F.lit(i)) for i, s in enumerate(streams)]
+    both = marked[0]
+    for m in marked[1:]:
+        both = both.unionByName(m)
+    first = both.groupBy(key).agg(F.min(F.struct("_side", ord_)).alias("_at"))
+    return minus(first, seen, key).select(key, F.col("_at._side").alias("stream"), F.col(f"_at.{ord_}").alias(ord_))
+
+
+def last_action(df: DataFrame, keys: list[str], order: str, action: str) -> DataFrame:
+    """The last action of each pair, by an aggregate."""
+    return df.groupBy(*keys).agg(F.max_by(action, F.col(order)).alias(action), F.max(order).alias(order))
+
+
+def follows_after_blocks(follows: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Follows (follower, followee, at) without those that a later block (blocker, blocked, at) of either side has ended."""
+    b = blocks.select(F.col("blocker").alias("follower"), F.col("blocked").alias("followee"), F.col("at").alias("_at"))
+    both = b.unionByName(b.select(F.col("followee").alias("follower"), F.col("follower").alias("followee"), "_at"))
+    last = both.groupBy("follower", "followee").agg(F.max("_at").alias("_at"))
+    return follows.join(last, ["follower", "followee"], "left").where(F.col("_at").isNull() | (F.col("_at") < F.col("at"))).drop("_at")
+
+
 def running(df: DataFrame, keys: list, order: list, value: Column, name: str) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumn(name, F.sum(value).over(w))

@@ -39,6 +39,8 @@ def values(data: list[tuple]) -> str:
 def derived(t, sql: str) -> DataFrame:
     """A table made from the loaded ones by SQL that Spark and DuckDB read alike; ``{name}`` stands for a table."""
     names = set(re.findall(r"\{(\w+)\}", sql))
+    sql = re.sub(r"\{(\w+)\}", r"<<\1>>", sql).replace("{", "{{").replace("}", "}}")  # other braces are text
+    sql = re.sub(r"<<(\w+)>>", r"{\1}", sql)
     return t("region").sparkSession.sql(sql, **{n: t(n) for n in names})
 
 

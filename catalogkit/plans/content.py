@@ -104,17 +104,25 @@ _HOST = r"nullif(regexp_replace(regexp_extract(lower(url), '^https?://(?:[^/?#@]
 _PATH = "CASE WHEN starts_with(regexp_replace(regexp_replace({u}, '#.*$', ''), '^https?://[^/?#]*', ''), '/') THEN regexp_replace(regexp_replace({u}, '#.*$', ''), '^https?://[^/?#]*', '') ELSE '/' || regexp_replace(regexp_replace({u}, '#.*$', ''), '^https?://[^/?#]*', '') END"
 
 
-@query(rf"""WITH l AS (SELECT page_id, pos, {_H} AS href, {_n("regexp_replace(regexp_extract(a, '(?is)^<a[^>]*>(.*)</a>$', 1), '(?s)<[^>]+>', ' ', 'g')")} AS label FROM ({_A}) WHERE {_H} IS NOT NULL),
+_LINKED = [
+    (-1, "https://www.a.example.org/list/index.html", '<a href="/2026/05/x.html">one</a> <a href="view.aspx?NewsID=12">two</a> <a href="https://sub.a.example.org/art/77#top">three</a> <a href="/art/77">four</a> <a href="https://b.org/art/1">five</a>'),
+    (-2, "https://a.example.org/", '<a href="/more/open-calls/summer">more</a> <a href="/open-call/summer-show">Open call for artists</a> <a href="mailto:x@y.z">Open call for artists</a> <a href="/plain/page">征集作品公告第一号二</a> <a href="#a">x</a> <a href="/t20260324_1">更多列表</a>'),
+]
+
+
+@query(rf"""WITH p AS (SELECT page_id, url, html FROM pages UNION ALL SELECT * FROM {values(_LINKED)} v(page_id, url, html)),
+l AS (SELECT page_id, pos, {_H} AS href, {_n("regexp_replace(regexp_extract(a, '(?is)^<a[^>]*>(.*)</a>$', 1), '(?s)<[^>]+>', ' ', 'g')")} AS label FROM ({_A.replace('FROM pages', 'FROM p')}) WHERE {_H} IS NOT NULL),
 r AS (SELECT page_id, pos, label, url AS base, CASE WHEN regexp_matches(href, '^https?://') THEN href WHEN starts_with(href, '//') THEN regexp_extract(url, '^(https?:)', 1) || href
  WHEN starts_with(href, '/') THEN regexp_extract(url, '^(https?://[^/?#]+)', 1) || href WHEN starts_with(href, '?') THEN regexp_replace(url, '[?#].*$', '') || href
- ELSE regexp_replace(regexp_replace(url, '[?#].*$', '', 'g'), '(^https?://[^/]+)$|/[^/]*$', '\1/', 'g') || href END AS u FROM l JOIN pages USING (page_id)
+ ELSE regexp_replace(regexp_replace(url, '[?#].*$', '', 'g'), '(^https?://[^/]+)$|/[^/]*$', '\1/', 'g') || href END AS u FROM l JOIN p USING (page_id)
  WHERE NOT regexp_matches(href, '(?i)^(?:javascript:|mailto:|tel:|#)') AND NOT (regexp_matches(label, '{html.NAV_NOISE}') AND length(label) < 8)),
 s AS (SELECT *, {_HOST.replace("url", "u")} AS host, {_HOST.replace("url", "base")} AS bhost, {_PATH.format(u="u")} AS path FROM r),
 k AS (SELECT page_id, regexp_replace(u, '#.*$', '') AS u, pos, label FROM s WHERE (host = bhost OR ends_with(host, '.' || bhost)) AND u <> base
  AND (regexp_matches(path, '{html.DETAIL}') OR (length(label) >= 8 AND regexp_matches(label, '{html.CALL_TITLE}') AND regexp_matches(regexp_extract(path, '^([^?]*)', 1), '/[^/]'))))
 SELECT page_id, u, min(pos)::BIGINT AS pos, arg_min(label, pos) AS label FROM k GROUP BY page_id, u""")
 def detail_links(t):
-    return html.detail_links(t("pages"), "page_id").select("page_id", "u", "pos", F.col("text").alias("label"))
+    p = t("pages").select("page_id", "url", "html").unionByName(rows(t, _LINKED, "page_id long, url string, html string"))
+    return html.detail_links(p, "page_id").select("page_id", "u", "pos", F.col("text").alias("label"))
 
 
 _CLASSES = [("example.com", "trusted"), ("example.net", "third_party"), ("blog.example.org", "third_party")]
