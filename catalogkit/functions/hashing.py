@@ -22,6 +22,12 @@ def completeness(fields: list[Column], verified: Column, items: Column | None =
     return score + F.when(F.coalesce(verified, F.lit(False)), 100).otherwise(0)
 
 
+def djb2(x: Column) -> Column:
+    """The 32-bit hash h * 33 ^ c over a text's letters, from 5381."""
+    codes = F.transform(F.filter(F.split(x, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long"))
+    return F.aggregate(codes, F.lit(5381).cast("long"), lambda h, c: F.pmod(h * 33, F.lit(4294967296)).bitwiseXOR(c))
+
+
 def short_id(x: Column) -> Column:
     """Six base-36 digits of the first ten hex digits of the sha1."""
     return F.substring(F.lower(F.conv(F.substring(F.sha1(x), 1, 10), 16, 36)), 1, 6)

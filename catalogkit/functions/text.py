@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPACE = r"[\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+"
@@ -92,3 +92,44 @@ def strip_site_suffix(title: Column, sites: Column, rounds: int = 4) -> Column:
 
 def has_cjk(x: Column) -> Column:
     return x.rlike("[㐀-鿿]")
+
+
+def mask_phone(x: Column) -> Column:
+    return F.concat(F.substring(x, 1, 3), F.lit("****"), F.substr(x, F.lit(8)))
+
+
+def tolerant_json(x: Column) -> Column:
+    """The JSON from the first to the last brace of a text, as a variant; null where there is none that is whole."""
+    return F.try_parse_json(F.nullif(F.regexp_extract(x, r"(?s)(\{.*\})", 1), F.lit("")))
+
+
+def reference_marks(df: DataFrame, key: str, column: str) -> DataFrame:
+    """(key, pos, n, label) of the marks ``[[n:label]]`` of a text; a mark without a number or a label is none."""
+    marks = F.regexp_extract_all(column, F.lit(r"\[\[\s*([0-9]+\s*:[^\[\]]*[^\[\]\s][^\[\]]*)\]\]"), F.lit(1))
+    x = df.select(key, F.posexplode(marks).alias("pos", "m"))
+    return x.select(key, "pos", F.trim(F.substring_index("m", ":", 1)).cast("int").alias("n"), F.trim(F.regexp_replace("m", "^[^:]*:", "")).alias("label"))
+
+
+def english_name(name: Column, known: Column) -> Column:
+    """The known English name; else what stands in brackets in Latin letters; else the Latin words; else the name."""
+    inner = F.regexp_extract(name, r"[(（]\s*([A-Za-z][^)）]*?)\s*[)）]", 1)
+    latin = F.array_join(F.regexp_extract_all(name, F.lit(r"([A-Za-z][A-Za-z'.&-]*)"), F.lit(1)), " ")
+    return F.coalesce(present(known), present(inner), present(latin), name)
+
+
+#: Where a page names its picture, in order.
+_COVERS = [
+    r"(?is)<meta[^>]+property=[\"']og:image(?::secure_url|:url)?[\"'][^>]+content=[\"']([^\"']+)", r"(?is)<meta[^>]+content=[\"']([^\"']+)[\"'][^>]+property=[\"']og:image[\"']",
+    r"(?is)<meta[^>]+name=[\"']twitter:image(?::src)?[\"'][^>]+content=[\"']([^\"']+)", r"(?is)<meta[^>]+content=[\"']([^\"']+)[\"'][^>]+name=[\"']twitter:image[\"']",
+    r"(?is)<link[^>]+rel=[\"']image_src[\"'][^>]+href=[\"']([^\"']+)", r"(?is)<img[^>]+src=[\"']([^\"']+)",
+]
+
+
+def cover(html: Column) -> Column:
+    """The picture that a page names first; null if it has none."""
+    return F.coalesce(*(present(F.regexp_extract(html, p, 1)) for p in _COVERS))
+
+
+def aligned(other: Column, own: Column) -> Column:
+    """A list that goes beside another, only if it is as long and has no empty item; else null."""
+    return F.when((F.size(other) == F.size(own)) & F.forall(other, lambda x: F.coalesce(x, F.lit("")) != ""), other)

@@ -46,6 +46,21 @@ def ipv4(x: Column) -> Column:
     return F.when(ok, p[0].cast("long") * 16777216 + p[1].cast("long") * 65536 + p[2].cast("long") * 256 + p[3].cast("long"))
 
 
+def is_reserved(ip: Column) -> Column:
+    """Whether an address is of a private, local or reserved range."""
+    blocks = [(0, 8), (10, 8), (100 * 256 + 64, 10), (127, 8), (169 * 256 + 254, 16), (172 * 256 + 16, 12), (192 * 256 + 168, 16)]
+    starts = [(a << 24 if a < 256 else a << 16, n) for a, n in blocks]
+    out = ip >= (224 << 24)
+    for a, n in starts:
+        out = out | ip.between(a, a + (1 << (32 - n)) - 1)
+    return out
+
+
+def fill_stats(df: DataFrame, method: str, missing: Column, still: Column) -> DataFrame:
+    """For each method the rows, those unknown before and after it, and the share of the latter."""
+    return df.groupBy(method).agg(F.count("*").alias("n"), F.count_if(missing).alias("unknown_before"), F.count_if(still).alias("unknown_after"), F.round(100.0 * F.count_if(still) / F.count("*"), 1).alias("pct"))
+
+
 #: Places by which a record's region is told, the first that fits.
 REGIONS = [
     ("asia", "日本|韩国|新加坡|印度|泰国|越南|马来|菲律宾|印尼|蒙古|哈萨克"),

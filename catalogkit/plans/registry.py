@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import content, feeds, people, records, tables, verification  # noqa: F401
+from . import content, feeds, people, records, scalars, tables, verification  # noqa: F401
 from .base import QUERIES, SQL
 
 
