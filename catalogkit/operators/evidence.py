@@ -48,7 +48,8 @@ def evidence_pairs(evidence: DataFrame, docs: DataFrame, words: int = 3) -> Data
             found.append(hits.join(d, "doc_id").where(F.contains("t", F.col("e"))))
     if n_short and n_short <= FEW_STATEMENTS:
         all_short = short.agg(F.collect_list(F.struct("item_id", "e"))).scalar()
-        found.append(d.select("doc_id", F.explode(F.filter(all_short, lambda s: F.contains(F.col("t"), s["e"]))).alias("s")).select("doc_id", "s.item_id"))
+        here = d.withColumn("short", all_short)
+        found.append(here.select("doc_id", F.explode(F.filter("short", lambda s: F.contains(F.col("t"), s["e"]))).alias("s")).select("doc_id", "s.item_id"))
     elif n_short:
         for size in range(1, 5):  # letters that stand for it: four, or all of shorter evidence
             part = short.withColumn("key", F.substring("e", 1, size)).where(F.length("e") == size if size < 4 else F.length("e") >= size)
