@@ -98,14 +98,21 @@ def tokens(text: str | None) -> list[str]:
     return [*words(lower(text)), "</s>"]
 
 
-def kneser_ney(train: list[str | None]):
-    """log10 probability of a text under an interpolated modified Kneser-Ney bigram model of ``train``."""
-    unigrams, bigrams = Counter(), Counter()
+def kneser_ney(train: list[str | None], order: int = 3, least: int = 2):
+    """log10 probability of a text under an interpolated modified Kneser-Ney model of ``train``, word by word; n-grams of
+    two words or more that are met less than ``least`` times leave their share to the lower order."""
+    unigrams, bigrams, trigrams = Counter(), Counter(), Counter()
     for t in train:
         toks = tokens(t)
         unigrams.update(toks)
         bigrams.update(zip(["<s>", *toks], toks))
+        trigrams.update(zip(["<s>", *toks], toks, toks[1:]))
     before = Counter(b for _, b in bigrams)
+    if order == 3:
+        behind = Counter((b, c) for _, b, c in trigrams)
+        middle = Counter({(a, b): n if a == "<s>" else behind[a, b] for (a, b), n in bigrams.items()})
+    else:
+        middle = bigrams
 
     def cuts(counts):
         n = [sum(c == k for c in counts.values()) for k in (1, 2, 3, 4)]
@@ -115,26 +122,28 @@ def kneser_ney(train: list[str | None]):
         d = [1 - 2 * y * n[1] / n[0], 2 - 3 * y * n[2] / n[1], 3 - 4 * y * n[3] / n[2] if n[2] else 1.5]
         return [min(max(x, 0.05), k + 0.95) for k, x in enumerate(d)]
 
-    high, low = cuts(bigrams), cuts(before)
+    low = cuts(before)
     less = lambda c, d: max(0.0, c - d[min(c, 3) - 1]) if c else 0.0
-    context, spare = Counter(), Counter()
-    for (a, _), c in bigrams.items():
-        context[a] += c
-        spare[a] += high[min(c, 3) - 1]
     types = max(1, len(bigrams))
     left = sum(low[min(c, 3) - 1] for c in before.values()) if bigrams else 1.0
 
-    def base(b):
-        return less(before[b], low) / types + left / types / (len(unigrams) + 1)
+    def level(counts):
+        d, total, spared = cuts(counts), Counter(), Counter()
+        for (*context, _), c in counts.items():
+            total[tuple(context)] += c
+            spared[tuple(context)] += less(c, d) if c >= least else 0.0
+        return lambda context, word, p: p if not total[context] else (less(c, d) if (c := counts[(*context, word)]) >= least else 0.0) / total[context] + (1 - spared[context] / total[context]) * p
 
-    def p(a, b):
-        if not context[a]:
-            return base(b)
-        return less(bigrams[a, b], high) / context[a] + spare[a] / context[a] * base(b)
+    two, three = level(middle), level(trigrams)
+
+    def p(context, word):
+        base = less(before[word], low) / types + left / types / (len(unigrams) + 1)
+        base = two(context[-1:], word, base)
+        return three(context, word, base) if order == 3 and len(context) == 2 else base
 
     def score(text):
-        toks = tokens(text)
-        return sum(math.log10(p(a, b)) for a, b in zip(["<s>", *toks], toks))
+        toks = ["<s>", *tokens(text)]
+        return sum(math.log10(p(tuple(toks[max(0, i - 2) : i]), toks[i])) for i in range(1, len(toks)))
 
     return score, p, unigrams
 

@@ -110,16 +110,18 @@ def test_chunks_survive_a_shift():
 # ---------------------------------------------------------------- 2 language model
 
 
-def test_model_is_the_brute_force_model(spark, awkward):
+@pytest.mark.parametrize("order", [2, 3])
+def test_model_is_the_brute_force_model(spark, awkward, order):
     rows = pairs(awkward)
     train = [t for d, t in rows if d is None or d % 2]
-    got = ngram_lm.score(awkward, ngram_lm.fit(awkward.where("doc_id is null or doc_id % 2 = 1")))
-    score, p, known = brute.kneser_ney(train)
+    got = ngram_lm.score(awkward, ngram_lm.fit(awkward.where("doc_id is null or doc_id % 2 = 1"), order))
+    score, p, known = brute.kneser_ney(train, order)
     n = sum(known.values())
     want = sorted(((d, len(brute.tokens(t)), sum(x in known for x in brute.tokens(t)), n, round(score(t), 6)) for d, t in rows), key=repr)
     assert sorted(((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.score, 6)) for r in got.collect()), key=repr) == want
-    for a in ("one", "<s>", "never seen"):
-        assert abs(sum(p(a, b) for b in [*known, "unknown"]) - 1) < 1e-9
+    w = brute.tokens(rows[0][1])
+    for context in (("one",), ("<s>",), ("never seen",), ("<s>", "one"), (w[3], w[4]), ("x", w[4])):
+        assert abs(sum(p(context, b) for b in [*known, "unknown"]) - 1) < 1e-9
 
 
 def test_language_model_query(spark, documents):
