@@ -110,6 +110,7 @@ def blocks(offsets: np.ndarray, limit: int = BLOCK_BYTES) -> Iterator[tuple[int,
 
 _rng = np.random.default_rng(0x5EED)
 _VALUE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_OTHER_VALUE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _UNBASE = np.uint64(pow(int(_BASE), -1, 2**64))
 _SPACE = np.zeros(256, bool)
@@ -169,9 +170,10 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return start, end, np.diff(np.searchsorted(start, offsets))
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool, other: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash for each word and the words per document, in numpy throughout. The hash is a polynomial
-    in random values of the bytes; equal words have equal hashes, and collisions are of the order n**2/2**64."""
+    in random values of the bytes; equal words have equal hashes, and collisions are of the order n**2/2**64. ``other``
+    gives a second, independent hash."""
     if not len(data):
         return np.empty(0, np.uint64), np.zeros(len(offsets) - 1, np.int64)
     if lower:
@@ -183,7 +185,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.
         j = max(i + 1, int(np.searchsorted(end, first + BLOCK_BYTES, "right")))
         part = data[first : end[j - 1]]
         total = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum(_VALUE[part] * powers(len(part)), out=total[1:])
+        np.cumsum((_OTHER_VALUE if other else _VALUE)[part] * powers(len(part)), out=total[1:])
         h = (total[end[i:j] - first] - total[start[i:j] - first]) * powers(len(part) + 1, inverse=True)[start[i:j] - first]
         out[i:j] = mix(h + (end[i:j] - start[i:j]).astype(np.uint64))
         i = j

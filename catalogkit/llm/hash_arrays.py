@@ -65,6 +65,45 @@ class Tally:
         self.parts, self.size = [], 0
 
 
+PAIRS = "bucket int, keys binary, beside binary, counts binary"
+
+
+def counted_pairs(keys: np.ndarray, beside: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (key, value beside it) in order with their sums of ``n``."""
+    order = np.lexsort((beside, keys))
+    keys, beside, n = keys[order], beside[order], n[order]
+    new = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (beside[1:] != beside[:-1])])) if len(keys) else np.empty(0, np.int64)
+    return keys[new], beside[new], np.add.reduceat(n, new) if len(new) else n
+
+
+class PairTally:
+    """Counts pairs of a key and a value within a task; what has gathered is handed out when it is too much."""
+
+    def __init__(self, n_buckets: int, most: int = 2_500_000):
+        self.n_buckets, self.most, self.parts, self.size = n_buckets, most, [], 0
+
+    def add(self, keys: np.ndarray, beside: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.parts.append(counted_pairs(keys, beside.astype(np.uint64), np.ones(len(keys), np.int64)))
+        self.size += len(self.parts[-1][0])
+        if self.size > self.most:
+            yield from self.finish()
+
+    def finish(self) -> Iterator[pa.RecordBatch]:
+        if self.size:
+            keys, beside, n = counted_pairs(*(np.concatenate(x) for x in zip(*self.parts)))
+            bits = self.n_buckets.bit_length() - 1
+            cuts = np.append(np.searchsorted(keys, np.arange(self.n_buckets, dtype=np.uint64) << np.uint64(64 - bits)), len(keys)).tolist()
+            rows = [(b, common.pack(keys[i:j], True), common.pack(beside[i:j]), common.pack(n[i:j])) for b, (i, j) in enumerate(zip(cuts, cuts[1:])) if j > i]
+            types = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["bucket", "keys", "beside", "counts"])
+        self.parts, self.size = [], 0
+
+
+def merged_pairs(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    keys, beside, n = counted_pairs(*(np.concatenate([common.unpack(r[x], x == "keys") for r in rows]) for x in ("keys", "beside", "counts")))
+    return keys, beside, n.astype(np.int64)
+
+
 def groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[object, list[dict]]]:
     """Rows of each key, from batches in which equal keys follow each other."""
     held, at = [], None
@@ -114,6 +153,32 @@ def store(packed: DataFrame, n_buckets: int, label: str, keep: Callable[[np.ndar
     return {"uri": uri, "n_buckets": n_buckets, "shards": shards, "size": first, "total": sum(s["total"] for s in shards)}
 
 
+def store_repeated(pairs: DataFrame, n_buckets: int, label: str) -> dict:
+    """The pairs of two hashes that were met twice or more: a record as that of ``store``, with the second hash in place
+    of a count. Where repeated pairs differ in the second hash only, those after the first are in the record itself."""
+    uri = common.scratch(pairs.sparkSession, label)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, rows in groups(batches, "bucket"):
+            keys, second, n = merged_pairs(rows)
+            keys, second = keys[n > 1], second[n > 1]
+            if len(keys):
+                again = np.concatenate([[False], keys[1:] == keys[:-1]])
+                ties = [[int(k), int(x)] for k, x in zip(keys[again].view(np.int64), second[again].view(np.int64))]
+                keys, second = keys[~again], second[~again]
+                yield pa.RecordBatch.from_pydict({
+                    "bucket": pa.array([bucket], pa.int32()), "size": pa.array([len(keys)], pa.int64()), "hashes": [common.put_array(uri, "hashes", keys)],
+                    "counts": [common.put_array(uri, "second", second)], "ties": pa.array([ties], pa.list_(pa.list_(pa.int64()))),
+                })
+
+    found = pairs.repartition(n_buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(write, "bucket int, size long, hashes string, counts string, ties array<array<long>>").collect()
+    shards = sorted((r.asDict() for r in found), key=lambda r: r["bucket"])
+    first = 0
+    for s in shards:
+        s["first"], first = first, first + s["size"]
+    return {"uri": uri, "n_buckets": n_buckets, "shards": shards, "size": first, "ties": {tuple(x) for s in shards for x in s.pop("ties")}}
+
+
 class HashArrays:
     """The stored arrays, mapped."""
 

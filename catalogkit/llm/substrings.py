@@ -1,9 +1,11 @@
 """Exact repeated passages by fixed-block anchors.
 
 Every full block of ceil(window/2) words at a multiple of its length is indexed by its hash; a window always holds one
-such block whole. All rolling blocks probe the index. Windows around a hit that is not just the block itself are hashed
-whole and counted; windows met twice or more, anywhere, are repeats, and runs of consecutive repeated windows are the
-maximal exact repeats. Index and repeats are sorted hash arrays in the shared folder; texts are never moved.
+such block whole. All rolling blocks probe the index. A hit that is not just the block itself is extended to all windows
+around it, which are counted by two independent 64-bit hashes of their words; windows met twice or more, anywhere, are
+repeats, and runs of consecutive repeated windows are the maximal exact repeats. At 10**13 windows two different ones
+have both hashes in common with a chance of one in 10**12. Index and repeats are sorted hash arrays in the shared
+folder, of which a worker touches what it looks up; texts are never moved.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ class _Words:
     """Word hashes of a run of documents, with the place and the words left of each word in its document."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        self.data, self.offsets = data, offsets
         self.hashes, self.counts = common.word_hashes(data, offsets, lower=False)
         self.ends = np.cumsum(self.counts)
         begins = self.ends - self.counts
@@ -35,6 +38,11 @@ class _Words:
         return h, (self.left[:n] >= width) & (self.place[:n] + self.left[:n] >= longer_than)
 
 
+    def second(self, width: int, at: np.ndarray) -> np.ndarray:
+        """The second hash of the runs of ``width`` words at these places."""
+        return common.rolled(common.word_hashes(self.data, self.offsets, lower=False, other=True)[0], width)[at] if len(at) else np.empty(0, np.uint64)
+
+
 def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int, int, _Words]]:
     for batch in batches:
         data, offsets = common.text_bytes(batch["text"])
@@ -58,7 +66,7 @@ def find_repeats(docs: DataFrame, window: int) -> dict:
     index = hash_arrays.store(texts.mapInArrow(anchors, hash_arrays.PACKED), n_buckets, "anchors")
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stored, tally = hash_arrays.opened(index), hash_arrays.Tally(n_buckets)
+        stored, tally = hash_arrays.opened(index), hash_arrays.PairTally(n_buckets)
         for _, _, _, words in _each(batches):
             h, whole = words.runs(block, window)
             at = np.flatnonzero(whole)
@@ -68,10 +76,11 @@ def find_repeats(docs: DataFrame, window: int) -> dict:
             met = np.cumsum(hit) - hit  # hits before each place
             full, fits = words.runs(window, window)
             reach = np.minimum(np.arange(len(full)) + window - block + 1, len(h))
-            yield from tally.add(full[fits & (met[reach] > met[: len(full)])])
+            around = np.flatnonzero(fits & (met[reach] > met[: len(full)]))
+            yield from tally.add(full[around], words.second(window, around))
         yield from tally.finish()
 
-    return hash_arrays.store(texts.mapInArrow(probe, hash_arrays.PACKED), n_buckets, "repeats", keep=lambda counts: counts > 1)
+    return hash_arrays.store_repeated(texts.mapInArrow(probe, hash_arrays.PAIRS), n_buckets, "repeats")
 
 
 def judged(batches: Iterator[pa.RecordBatch], repeats: dict, window: int) -> Iterator[tuple]:
@@ -80,9 +89,14 @@ def judged(batches: Iterator[pa.RecordBatch], repeats: dict, window: int) -> Ite
     for batch, a, b, words in _each(batches):
         full, fits = words.runs(window, window)
         at = np.flatnonzero(fits)
-        _, count = stored.lookup(full[at])
+        place, second = stored.lookup(full[at])
+        at, second = at[place >= 0], second[place >= 0]
+        own = words.second(window, at).view(np.int64)
+        same = own == second
+        if repeats["ties"]:
+            same |= np.array([(int(k), int(x)) in repeats["ties"] for k, x in zip(full[at].view(np.int64), own)], bool)
         step = np.zeros(len(words.hashes) + 1, np.int64)
-        start = at[count > 0]
+        start = at[same]
         step[start] += 1
         step[start + window] -= 1
         gone = np.cumsum(step)[:-1] > 0
@@ -103,12 +117,13 @@ def judged(batches: Iterator[pa.RecordBatch], repeats: dict, window: int) -> Ite
 
 
 def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_text, spans for each row of ``docs`` (doc_id, text; other columns are ignored).
+    """doc_id, n_words, n_removed, kept_text, spans for each row of ``docs`` (doc_id, text; other columns, whatever their
+    names, are ignored).
 
     A word goes if a window of ``window`` consecutive words over it starts anywhere else too, in the same document or
     another; all windows are judged on the input. Words are runs of bytes other than 0x20 and 0x09-0x0D, unchanged.
     kept_text joins the words that stay by one space; spans are the removed runs (first word, words). A null or empty
-    text has no words; texts shorter than a window stay whole. Repeated rows repeat each other. An empty table gives an
+    text has no words; texts shorter than a window stay whole; very long ones are read whole. Repeated rows repeat each other. An empty table gives an
     empty result.
     """
     repeats = find_repeats(docs, window)

@@ -12,7 +12,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 import regex
-from catalogkit.llm import common, components, decontamination, fingerprints, license_scan, near_dedup, ngram_lm, packing, queries, substrings, token_files, tokens, toxicity, url_filter
+from catalogkit.llm import common, components, decontamination, fingerprints, hash_arrays, license_scan, near_dedup, ngram_lm, packing, queries, substrings, token_files, tokens, toxicity, url_filter
 from catalogkit.llm.tokens import Encoder, Vocabulary, encoder
 from tokenizers import Tokenizer
 
@@ -389,6 +389,18 @@ def test_repeats_against_brute_force(spark, awkward, no_docs, documents):
     assert rows_of(queries.op6_substring_dedup(spark, SF), "doc_id", "n_words", "n_removed", "kept_sha256") == want
 
 
+def test_windows_with_equal_first_hashes_are_told_apart(spark):
+    key, n = 1 << 60, 16
+    tally, batches = hash_arrays.PairTally(n), []
+    for second in (7, 7, 9, 9, 11):
+        batches += list(tally.add(np.array([key], np.uint64), np.array([second], np.uint64)))
+    batches += list(tally.finish())
+    rows = [(r["bucket"], r["keys"], r["beside"], r["counts"]) for b in batches for r in b.to_pylist()]
+    record = hash_arrays.store_repeated(spark.createDataFrame(rows, hash_arrays.PAIRS), n, "told")
+    place, second = hash_arrays.HashArrays(record).lookup(np.array([key, key + 1], np.uint64))
+    assert place.tolist() == [0, -1] and second[0] == 7 and record["ties"] == {(key, 9)}
+
+
 # ---------------------------------------------------------------- 7 urls
 
 
