@@ -16,10 +16,12 @@ URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/"
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Content-defined chunk sets of all documents, of their edited texts and of the next documents."""
     return fingerprints.fingerprint_documents(common.table(spark, sf_dir, "documents"))
 
 
 def op2_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kneser-Ney scores of all documents, learned from those outside fold 0 of ten."""
     docs = common.table(spark, sf_dir, "documents")
     held_out = common.fold_mod("doc_id", 10) == 0
     scored = ngram_lm.score(docs, ngram_lm.fit(docs.where(~held_out)))
@@ -27,6 +29,7 @@ def op2_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents, learned from labelled ones outside fold 2 of four."""
     docs = common.table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, common.table(spark, sf_dir, "labels"), held_out_fold=2, folds=4)
     scored = toxicity.score_documents(docs, model)
@@ -34,35 +37,42 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices in all documents, exact and misspelled ones."""
     found = license_scan.scan_licenses(common.table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of near-duplicates among all documents, by shingles of four words."""
     return near_dedup.near_duplicates(common.table(spark, sf_dir, "documents"), shingle_words=4, percent=80)
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the words of windows of 35 words that occur twice or more."""
     found = substrings.remove_repeats(common.table(spark, sf_dir, "documents"), window=35)
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict of the longest fitting rule on all pages."""
     index = url_filter.build_index(spark.createDataFrame(URL_RULES, "rule string, verdict string"))
     return url_filter.apply(common.table(spark, sf_dir, "pages"), index)
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items of the benchmark found in all documents."""
     items = decontamination.index_items(common.table(spark, sf_dir, "benchmark"))
     return decontamination.find_contaminated(common.table(spark, sf_dir, "documents"), items)
 
 
 def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents, read back from the files that they were written to."""
     vocabulary = Vocabulary(public_tokenizers.path("word_bpe_49k.json"), spaced=False)
     return token_files.read_documents(spark, token_files.write_tokens(common.table(spark, sf_dir, "documents"), vocabulary, end_id=2))
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 1024 tokens."""
     vocabulary = Vocabulary(public_tokenizers.path("byte_bpe_50k.json"), spaced=True)
     packed = packing.pack(common.table(spark, sf_dir, "documents"), vocabulary, end_id=2, size=1024)
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

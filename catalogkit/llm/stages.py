@@ -1,4 +1,8 @@
-"""Stages of the corpus pipeline: (spark, docs, sf_dir) -> documents, each by one operator."""
+"""Stages of the corpus pipeline: (spark, docs, sf_dir) -> documents, each by one operator.
+
+All keep the columns that they are given, whatever their names, and read texts of any length whole. An empty table gives
+an empty one.
+"""
 
 from __future__ import annotations
 
@@ -18,14 +22,16 @@ PASSAGE_WORDS = 50
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a toxicity score under TOXIC_FROM. The model is learned from all labels of these documents."""
+    """Documents with a toxicity score under TOXIC_FROM. The model is learned from all labels of these documents. A null
+    text is scored as the empty one, equal texts alike, so repeated rows stay or go together; without a toxic or a clean
+    label the score is the share of toxic labels, and a score of exactly TOXIC_FROM goes."""
     model = toxicity.fit(docs, common.table(spark, sf_dir, "labels"), held_out_fold=None)
     return toxicity.below(docs, model, TOXIC_FROM)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-copies: that with the smallest doc_id. A null doc_id is never dropped; of
-    rows with equal doc_id all stay or go."""
+    rows with equal doc_id all stay or go. Null and empty texts are near-copies of nothing and stay."""
     found = near_dedup.near_duplicates(docs, shingle_words=5, percent=80)
     dropped = hash_arrays.id_set(found.where("not kept").select("doc_id"), "near-copies")
     return docs.where(~hash_arrays.member("doc_id", dropped))
@@ -33,7 +39,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the words of repeated passages. A document keeps its text unless it loses words; then the
-    words left are joined by one space, n_chars follows, and it goes if no word is left."""
+    words left are joined by one space, n_chars (if there is such a column) follows, and it goes if no word is left. Null
+    and empty texts have no words to lose and stay as they are. Rows that repeat each other, or tie in all their windows,
+    lose the same words."""
     repeats = substrings.find_repeats(docs, PASSAGE_WORDS)
     columns = docs.columns
 
@@ -53,11 +61,13 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no item of the benchmark."""
+    """Documents that hold no item of the benchmark. Null and wordless texts hold none; repeated rows stay or go together;
+    without items all stay."""
     return decontamination.without_contaminated(docs, decontamination.index_items(common.table(spark, sf_dir, "benchmark")))
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The packed pieces of the documents."""
+    """The packed pieces of the documents: each row's, repeated ones too; a null text is its end id alone, and a null
+    doc_id is kept. Pieces of equal length are placed in the order of doc_id, piece, start and checksum."""
     packed = packing.pack(docs, Vocabulary(public_tokenizers.path("byte_bpe_50k.json"), spaced=True), end_id=2, size=1024)
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

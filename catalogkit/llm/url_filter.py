@@ -34,8 +34,8 @@ def split_url(url: str | None) -> tuple[str, str]:
 def build_index(rules: DataFrame) -> list[dict]:
     """Write sorted shards of (digest, rule, verdict) to the shared folder; one small record per shard comes back.
 
-    rules: columns rule, verdict. Null rules are dropped; of a rule given twice the verdict ``block`` stays
-    (the smaller string, so any order of rows gives the same index). An empty table gives no shards.
+    rules: columns rule, verdict. Null rules are dropped; of a rule given with both verdicts ``block`` stays (the larger
+    string), so any order of rows gives the same index. An empty table gives no shards.
     """
     spark = rules.sparkSession
     uri = common.scratch(spark, "url-index")
@@ -85,7 +85,7 @@ def apply(pages: DataFrame, index: list[dict], default: str = "allow") -> DataFr
 
     A rule fits its host and all its subdomains where the url's path starts with the rule's path; the longest
     fitting rule wins. Without one, rule is null and the verdict is ``default``. A null url, or one without
-    ``://``, has an empty host and path. Repeated rows are judged each; an empty table gives an empty result.
+    ``://``, has an empty host and path; urls of any length are read whole. Repeated rows are judged each; an empty table gives an empty result.
     """
     lengths = sorted({n for s in index for n in s["lengths"]})
 

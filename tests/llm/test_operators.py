@@ -173,7 +173,7 @@ def test_toxicity_query_on_whole_table(spark):
 
 def test_toxicity_of_awkward_rows(spark, awkward, no_docs):
     labels = spark.createDataFrame([(1, 0), (2, 0), (3, 1), (None, 1), (4, None)], "doc_id long, toxic int")
-    model = toxicity.fit(awkward.drop("toxic"), labels)
+    model = toxicity.fit(awkward, labels)
     assert toxicity.score_documents(awkward, model).where("score between 0 and 1").count() == awkward.count()
     assert toxicity.score_documents(no_docs, toxicity.fit(no_docs, labels)).count() == 0
 
