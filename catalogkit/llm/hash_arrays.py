@@ -26,6 +26,14 @@ def buckets_for(docs: DataFrame) -> int:
     return 1 << max(4, min(18, (docs.rdd.getNumPartitions() - 1).bit_length()))
 
 
+def finer_buckets(docs: DataFrame, n_buckets: int, text_bytes: int = 4 << 20) -> int:
+    """A larger power of two, so that a bucket holds what about ``text_bytes`` of text give, however large partitions are."""
+    size = docs.sparkSession.conf.get("spark.sql.files.maxPartitionBytes").lower().rstrip("b")
+    units = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
+    most = int(size[:-1]) * units[size[-1]] if size[-1] in units else int(size)
+    return min(1 << 18, n_buckets << max(0, (-(-most // text_bytes) - 1).bit_length()))
+
+
 def packed_rows(values: np.ndarray, counts: np.ndarray, n_buckets: int) -> Iterator[pa.RecordBatch]:
     """Distinct ascending hashes and their counts as rows of the shuffle."""
     if not len(values):
@@ -79,7 +87,7 @@ def counted_pairs(keys: np.ndarray, beside: np.ndarray, n: np.ndarray) -> tuple[
 class PairTally:
     """Counts pairs of a key and a value within a task; what has gathered is handed out when it is too much."""
 
-    def __init__(self, n_buckets: int, most: int = 2_500_000):
+    def __init__(self, n_buckets: int, most: int = 1_200_000):
         self.n_buckets, self.most, self.parts, self.size = n_buckets, most, [], 0
 
     def add(self, keys: np.ndarray, beside: np.ndarray) -> Iterator[pa.RecordBatch]:
