@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +47,28 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of an Arrow batch: a worker holds a batch of texts several times over.
+BATCH_ROWS = 1000
+
+
+def in_small_batches(f: Callable) -> Callable:
+    """What ``f`` runs at once gets batches of BATCH_ROWS rows at most; the session's own setting comes back after it."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+    @functools.wraps(f)
+    def run(first: DataFrame | SparkSession, *args, **kw):
+        conf = (first.sparkSession if isinstance(first, DataFrame) else first).conf
+        old = conf.get(key)
+        try:
+            if not 0 < int(old) <= BATCH_ROWS:
+                conf.set(key, str(BATCH_ROWS))
+            return f(first, *args, **kw)
+        finally:
+            conf.set(key, old)
+
+    return run
+
+
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else os.path.abspath(uri))
 

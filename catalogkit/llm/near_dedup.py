@@ -331,6 +331,7 @@ def confirmed(partners: DataFrame, nodes: DataFrame, labels: DataFrame, docs: Da
     return _dealt(tasks).mapInArrow(_confirmer(width, percent), "a long, b long")
 
 
+@common.in_small_batches
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, block_docs: int = BLOCK_DOCS, bucket_docs: int = BUCKET_DOCS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of ``docs`` (doc_id, text; other columns are ignored).
 

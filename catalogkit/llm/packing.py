@@ -114,6 +114,7 @@ def _packer(k: int, last: bool, size: int):
     return run
 
 
+@common.in_small_batches
 def pack(docs: DataFrame, vocabulary: Vocabulary, end_id: int = 2, size: int = 1024, pieces_per_partition: int = 20_000) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset, certified for each piece of ``docs`` (doc_id, text;
     other columns are ignored).

@@ -50,6 +50,7 @@ def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, i
             yield batch, a, b, _Words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
 
 
+@common.in_small_batches
 def find_repeats(docs: DataFrame, window: int) -> dict:
     """The windows that start at two places or more, as a record of sorted hash arrays."""
     block = (window + 1) // 2

@@ -155,6 +155,7 @@ def read_blocks(uri: str, name: str, coder: Coder) -> Iterator[tuple[dict, np.nd
 NULL_ID = -(2**63)
 
 
+@common.in_small_batches
 def write_tokens(docs: DataFrame, vocabulary: Vocabulary, end_id: int) -> dict:
     """Encode ``docs`` (doc_id, text; others are ignored) into files of the shared folder; a small record of them comes back.
 
