@@ -46,7 +46,7 @@ def _verified(t):
 
 
 @query(f"WITH {_VERIFIED} SELECT id, drop_reason, d2 AS deadline, fee1 AS fee, array_to_string(nulled, ',') AS nulled, has_deadline, any_fail FROM r")
-def opportunity_verify(t):
+def verified_opportunities(t):
     return _verified(t).select("id", "drop_reason", "deadline", "fee", F.array_join("nulled", ",").alias("nulled"), "has_deadline", "any_fail")
 
 
