@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import os
 import tempfile
@@ -12,9 +13,28 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# ---------------------------------------------------------------- workers' memory
+
+
+def _return_freed_memory() -> None:
+    """Make arrays of a megabyte or more go back to the system when they are freed. By default glibc keeps freed blocks of
+    up to 32 MB, and Arrow's own pool keeps some more, so that every worker stays as large as its largest step."""
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+        libc.mallopt(-1, 4 << 20)  # M_TRIM_THRESHOLD
+    except (OSError, AttributeError):  # another C library
+        pass
+    pa.set_memory_pool(pa.system_memory_pool())
+
+
+if TaskContext.get() is not None:  # in a worker
+    _return_freed_memory()
+
 # ---------------------------------------------------------------- tables and scratch space
 
 

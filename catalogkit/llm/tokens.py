@@ -44,7 +44,7 @@ class Vocabulary:
 
     path: str
     spaced: bool
-    most_pieces: int = 250_000
+    most_pieces: int = 120_000
 
 
 class Encoder(dict):
