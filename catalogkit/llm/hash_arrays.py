@@ -221,10 +221,10 @@ _open: OrderedDict[str, HashArrays] = OrderedDict()
 
 
 def opened(record: dict) -> HashArrays:
-    """The worker's mapping of a record; the last few stay open from task to task."""
+    """The worker's mapping of a record; the last two stay open from task to task."""
     if record["uri"] not in _open:
         _open[record["uri"]] = HashArrays(record)
-        while len(_open) > 4:
+        while len(_open) > 2:
             _open.popitem(last=False)
     return _open[record["uri"]]
 
