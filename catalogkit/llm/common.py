@@ -71,22 +71,38 @@ def written(df: DataFrame, label: str) -> DataFrame:
 BATCH_ROWS = 1000
 
 
-def in_small_batches(f: Callable) -> Callable:
-    """What ``f`` runs at once gets batches of BATCH_ROWS rows at most; the session's own setting comes back after it."""
+def in_batches_of(rows: int) -> Callable:
+    """What the decorated function runs at once gets Arrow batches of ``rows`` rows at most; the session's own setting
+    comes back after it."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
-    @functools.wraps(f)
-    def run(first: DataFrame | SparkSession, *args, **kw):
-        conf = (first.sparkSession if isinstance(first, DataFrame) else first).conf
-        old = conf.get(key)
-        try:
-            if not 0 < int(old) <= BATCH_ROWS:
-                conf.set(key, str(BATCH_ROWS))
-            return f(first, *args, **kw)
-        finally:
-            conf.set(key, old)
-
-    return run
+    def decorate(f: Callable) -> Callable:
+        @functools.wraps(f)
+        def run(first: DataFrame | SparkSession, *args, **kw):
+            conf = (first.sparkSession if isinstance(first, DataFrame) else first).conf
+            old = conf.get(key)
+            try:
+                if not 0 < int(old) <= rows:
+                    conf.set(key, str(rows))
+                return f(first, *args, **kw)
+            finally:
+                conf.set(key, old)
+
+        return run
+
+    return decorate
+
+
+in_small_batches = in_batches_of(BATCH_ROWS)
+
+
+def dropped(df: DataFrame) -> None:
+    """Delete the files of a table that ``written`` gave and that nothing reads any more."""
+    spark = df.sparkSession
+    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        if "/catalogkit/" in path:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontamination, fingerprints, license_scan, near_dedup, ngram_lm, packing, substrings, token_files, toxicity, url_filter
+from . import alignment, common, decontamination, fingerprints, license_scan, near_dedup, ngram_lm, packing, simhash, substrings, token_files, toxicity, url_filter, vector_codes
 from .tokens import Vocabulary
 
 #: The rules of the URL query.
@@ -78,8 +78,24 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents whose 64-bit fingerprints differ in three bits or fewer, by shingles of three words."""
+    return simhash.near_duplicates(common.table(spark, sf_dir, "documents"), shingle_words=3, radius=3)
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings as codes of eight entries, with codebooks of 16 learned in six rounds."""
+    return vector_codes.encode_vectors(common.table(spark, sf_dir, "embeddings"), parts=8, entries=16, rounds=6)
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tokens of two public tokenizers aligned in all documents."""
+    pair = alignment.Pair(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return alignment.align(common.table(spark, sf_dir, "documents"), pair)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_fingerprints, op2_ngram_lm, op3_toxicity, op4_license_scan, op5_near_dedup, op6_substring_dedup, op7_url_filter, op8_decontamination, op9_token_ids, op10_best_fit_packing)
+    found = (op1_fingerprints, op2_ngram_lm, op3_toxicity, op4_license_scan, op5_near_dedup, op6_substring_dedup, op7_url_filter, op8_decontamination, op9_token_ids, op10_best_fit_packing, op11_simhash, op12_vector_codes, op13_alignment)
     return {f.__name__: f for f in found}
 
 
@@ -135,5 +151,40 @@ FROM documents d LEFT JOIN totals USING (doc_id)
 """
 
 
+def _codes_sql(rounds: int = 6) -> str:
+    """k-means round by round; an entry's index rides in the low digits of a distance, so that ties go to the lower one."""
+    steps = [
+        """
+WITH kept AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+part AS MATERIALIZED (SELECT vec_id, k AS part, v[k * len(v) // 8 + 1 : (k + 1) * len(v) // 8] AS x FROM kept, range(8) t(k)),
+book0 AS MATERIALIZED (
+  SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, x FROM part
+  WHERE vec_id IN (SELECT vec_id FROM kept ORDER BY vec_id LIMIT 16))"""
+    ]
+    for r in range(rounds + 1):
+        steps.append(f"""
+near{r} AS MATERIALIZED (
+  SELECT vec_id, p.part, any_value(p.x) AS x, min(16 * list_sum(list_transform(list_zip(p.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT + entry) AS m
+  FROM part p JOIN book{r} b ON b.part = p.part GROUP BY vec_id, p.part)""")
+        if r < rounds:
+            steps.append(f"""
+sum{r} AS (
+  SELECT part, m % 16 AS entry, i, sum(x[i])::BIGINT AS s, count(*) AS n FROM (SELECT part, m, x, unnest(range(1, len(x) + 1)) AS i FROM near{r}) GROUP BY ALL),
+mean{r} AS (SELECT part, entry, list((s - ((s % n) + n) % n) // n ORDER BY i) AS x FROM sum{r} GROUP BY ALL),
+book{r + 1} AS MATERIALIZED (SELECT b.part, b.entry, coalesce(m.x, b.x) AS x FROM book{r} b LEFT JOIN mean{r} m ON m.part = b.part AND m.entry = b.entry)""")
+    return (
+        ",".join(steps)
+        + f""",
+coded AS MATERIALIZED (
+  SELECT vec_id, string_agg(printf('%02x', m % 16), '' ORDER BY part) AS code, sum(m // 16)::BIGINT AS error FROM near{rounds} GROUP BY vec_id),
+digest AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) AS d FROM book{rounds})
+SELECT c.vec_id, c.code, c.error, sum(c.error) OVER (PARTITION BY k.label)::BIGINT AS label_error, (SELECT d FROM digest) AS codebooks_sha256
+FROM coded c JOIN kept k USING (vec_id)
+"""
+    )
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_near_dedup": _NEAR_SQL, "op6_substring_dedup": _REPEATS_SQL, "op7_url_filter": _URL_SQL}
+    return {"op5_near_dedup": _NEAR_SQL, "op6_substring_dedup": _REPEATS_SQL, "op7_url_filter": _URL_SQL, "op12_vector_codes": _codes_sql()}

@@ -8,6 +8,8 @@ import re
 import zlib
 from collections import Counter
 
+import xxhash
+
 _AZ = str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})
 _WORD = re.compile("[^\x20\x09-\x0d]+")
 _PLAIN = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -176,3 +178,89 @@ def fold(value, modulus: int) -> int:
 
 def ids_crc(ids: list[int]) -> int:
     return zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids))
+
+
+# ---------------------------------------------------------------- bit fingerprints
+
+
+def simhash(text: str | None, width: int) -> int:
+    w = words(lower(text))
+    shingles = [" ".join(w[i : i + width]) for i in range(len(w) - width + 1)] or ([" ".join(w)] if w else [])
+    hashes = [xxhash.xxh64_intdigest(s.encode("utf-8", "surrogatepass"), 42) for s in shingles]
+    return sum(1 << k for k in range(64) if 2 * sum(h >> k & 1 for h in hashes) > len(hashes))
+
+
+def simhash_groups(rows: list[tuple], width: int, radius: int) -> list[tuple]:
+    """(doc_id, fingerprint, component_id), sorted."""
+    marks = [simhash(t, width) for _, t in rows]
+    group = list(range(len(rows)))
+    for i, (a, _) in enumerate(rows):
+        for j, (b, _) in enumerate(rows[:i]):
+            if a is not None and b is not None and group[i] != group[j] and (marks[i] ^ marks[j]).bit_count() <= radius:
+                old, new = group[i], group[j]
+                group = [new if g == old else g for g in group]
+    least: dict[int, int] = {}
+    for (a, _), g in zip(rows, group):
+        if a is not None:
+            least[g] = min(a, least.get(g, a))
+    return sorted(((a, f"{m:016x}", None if a is None else least[g]) for (a, _), m, g in zip(rows, marks, group)), key=repr)
+
+
+# ---------------------------------------------------------------- vector codes
+
+
+def vector_codes(rows: list[tuple], parts: int, entries: int, rounds: int) -> list[tuple]:
+    """(vec_id, code, error, label_error, codebooks_sha256) of (vec_id, embedding, label) rows, sorted; every distance is
+    computed."""
+    kept = [(i, v, label) for i, v, label in rows if v and all(x is not None and math.isfinite(x) for x in v)]
+    kept.sort(key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    if not kept:
+        return []
+    width = len(kept[0][1]) // parts
+    whole = [[math.floor(4096 * x) for x in v] for _, v, _ in kept]
+    cut = [[v[p * width : (p + 1) * width] for p in range(parts)] for v in whole]
+    books = [[c[p] for c in cut[:entries]] for p in range(parts)]
+
+    def assign():
+        return [[min((sum((a - b) ** 2 for a, b in zip(c[p], e)), k) for k, e in enumerate(books[p])) for p in range(parts)] for c in cut]
+
+    for _ in range(rounds):
+        found = assign()
+        for p in range(parts):
+            for k in range(len(books[p])):
+                mine = [c[p] for c, f in zip(cut, found) if f[p][1] == k]
+                if mine:
+                    books[p][k] = [sum(x) // len(mine) for x in zip(*mine)]
+    found = assign()
+    error = [sum(d for d, _ in f) for f in found]
+    by_label = Counter()
+    for (_, _, label), e in zip(kept, error):
+        by_label[label] += e
+    digest = sha(",".join(str(x) for p in books for e in p for x in e))
+    return sorted(((i, "".join(f"{k:02x}" for _, k in f), e, by_label[label], digest) for (i, _, label), f, e in zip(kept, found, error)), key=repr)
+
+
+# ---------------------------------------------------------------- alignment
+
+
+def alignment(rows: list[tuple], encode_a, encode_b) -> list[tuple]:
+    """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256) of (doc_id, text) rows, sorted. The encoders
+    give (id, bytes) of each token of a whole text; every two tokens are compared."""
+    found, count = [], Counter()
+    for doc_id, text in rows:
+        a, b = (encode_a(text), encode_b(text)) if text else ([], [])
+        want = (" " + (text or "")).encode()
+        if b"".join(x for _, x in a) != want or b"".join(x for _, x in b) != want:
+            a = b = []
+        span = lambda tokens: [(sum(len(x) for _, x in tokens[:i]), sum(len(x) for _, x in tokens[: i + 1])) for i in range(len(tokens))]
+        sa, sb = span(a), span(b)
+        links = [(a[i][0], b[j][0]) for i in range(len(a)) for j in range(len(b)) if sa[i][0] < sb[j][1] and sb[j][0] < sa[i][1]]
+        ends = sorted({e for _, e in sa} & {e for _, e in sb})
+        groups = [",".join(str(t[0]) for t, s in zip(a, sa) if lo < s[1] <= hi) + "|" + ",".join(str(t[0]) for t, s in zip(b, sb) if lo < s[1] <= hi) for lo, hi in zip([0, *ends], ends)]
+        found.append((doc_id, len(a), len(b), links, groups))
+        count.update(set(links))
+    highest = Counter()
+    for (x, _), n in count.items():
+        highest[x] = max(highest[x], n)
+    out = [(d, na, nb, len(groups), len(links), sum(count[k] == highest[k[0]] for k in links), sum(count[k] for k in links), sha(";".join(groups)) if groups else "") for d, na, nb, links, groups in found]
+    return sorted(out, key=repr)
