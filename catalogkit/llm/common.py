@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import mmap
 import os
+import sys
 import tempfile
 import uuid
+from collections import OrderedDict
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -59,11 +62,12 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/catalogkit/{label}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back; cuts lineage and survives lost executors."""
+def written(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder, in a folder for each value of the column ``by`` if it is given, and read it
+    back; cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = scratch(spark, label)
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -122,7 +126,8 @@ def put_array(uri: str, name: str, array: np.ndarray) -> str:
 
 def map_array(uri: str, name: str, dtype) -> np.ndarray:
     """Memory-map an array of the shared folder. A local or mounted folder is mapped in place; from another
-    store the file is first copied into an unlinked temporary file, so nothing stays behind."""
+    store the file is first copied into an unlinked temporary file, so nothing stays behind. For arrays of bounded size;
+    those that grow with the input are read by ``array_part``."""
     fs, path = open_fs(f"{uri}/{name}")
     if isinstance(fs, pafs.LocalFileSystem):
         return np.memmap(path, dtype=dtype, mode="r") if os.path.getsize(path) else np.empty(0, dtype)
@@ -133,6 +138,67 @@ def map_array(uri: str, name: str, dtype) -> np.ndarray:
         return np.memmap(local, dtype=dtype, mode="r") if local.tell() else np.empty(0, dtype)
 
 
+class ArrayFile:
+    """A file of the shared folder to which a task appends its arrays, one after the other. Its name is random, so that a
+    second attempt of a task never disturbs the first."""
+
+    def __init__(self, uri: str, label: str):
+        fs, path = open_fs(uri)
+        fs.create_dir(path, recursive=True)
+        self.name, self.at = f"{label}-{uuid.uuid4().hex[:12]}.bin", 0
+        self.out = fs.open_output_stream(f"{path}/{self.name}")
+
+    def put(self, array: np.ndarray) -> int:
+        """The byte at which the array begins, a multiple of 8."""
+        at, array = self.at, np.ascontiguousarray(array)
+        if array.size:
+            self.out.write(array.data)
+        self.out.write(bytes(-array.nbytes % 8))
+        self.at += array.nbytes + -array.nbytes % 8
+        return at
+
+    def close(self) -> None:
+        self.out.close()
+
+
+#: Files that a worker holds mapped, and bytes of arrays that it holds from a store that cannot be mapped.
+MOST_MAPPED, MOST_READ_BYTES = 256, 64 << 20
+_mapped: OrderedDict[str, np.ndarray] = OrderedDict()
+_read: OrderedDict[tuple, np.ndarray] = OrderedDict()
+
+
+def array_part(uri: str, name: str, at: int, size: int, dtype) -> np.ndarray:
+    """An array of ``size`` items that begins at byte ``at`` of a file. A mounted file is mapped when it is first used,
+    without a file descriptor where Python can do so, and the least recently used ones are let go; from another store
+    only the range is read, into memory."""
+    dtype = np.dtype(dtype)
+    if not size:
+        return np.empty(0, dtype)
+    whole = _mapped.get(f"{uri}/{name}")
+    if whole is not None:
+        _mapped.move_to_end(f"{uri}/{name}")
+        return whole[at : at + size * dtype.itemsize].view(dtype)
+    key = (uri, name, at, size)
+    if key in _read:
+        _read.move_to_end(key)
+        return _read[key].view(dtype)
+    fs, path = open_fs(f"{uri}/{name}")
+    if isinstance(fs, pafs.LocalFileSystem):
+        with open(path, "rb") as f:
+            own = {"trackfd": False} if sys.version_info >= (3, 13) else {}
+            whole = np.frombuffer(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, **own), np.uint8)
+        _mapped[f"{uri}/{name}"] = whole
+        while len(_mapped) > MOST_MAPPED:
+            _mapped.popitem(last=False)
+        return whole[at : at + size * dtype.itemsize].view(dtype)
+    with fs.open_input_file(path) as f:
+        part = np.frombuffer(f.read_at(size * dtype.itemsize, at), np.uint8)
+    _read[key] = part
+    while len(_read) > 1 and sum(x.nbytes for x in _read.values()) > MOST_READ_BYTES:
+        _read.popitem(last=False)
+    return part.view(dtype)
+
+
 def fold_mod(column: str, modulus: int) -> Column:
     """crc32 of the value as text, modulo ``modulus``; a null counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))), F.lit(modulus))

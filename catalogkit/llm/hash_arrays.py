@@ -1,13 +1,14 @@
 """Sorted arrays of 64-bit hashes with counts, built by Spark, kept in the shared folder, memory-mapped by workers.
 
 Tasks emit packed rows (bucket, hashes, counts); the bucket is the top bits of the hash, so buckets are of even size
-whatever the words are, and the sorted shards of all buckets are one sorted array.
+whatever the words are, and the sorted shards of all buckets are one sorted array. A task writes all its shards to one
+file; workers map files when they first need them and hold a bounded number of them.
 """
 
 from __future__ import annotations
 
 from collections import OrderedDict
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -136,29 +137,68 @@ def merged(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
     return common.sorted_counts(values, counts)
 
 
-def store(packed: DataFrame, n_buckets: int, label: str, keep: Callable[[np.ndarray], np.ndarray] | None = None) -> dict:
-    """Merge packed rows and write a shard per bucket. The record that comes back has an entry per shard: file names,
-    size and sum of counts. ``keep`` gets the counts and tells which hashes stay."""
+#: Where a shard is: its bucket, its file's place in the list of files, how many hashes it has and how many the shards
+#: before it have, and the bytes at which its hashes, the values beside them and the large counts begin.
+_SHARD = np.dtype([(x, "<i8") for x in ("bucket", "file", "size", "first", "hashes", "beside", "large", "n_large")])
+_LARGE = 255
+
+
+class Writer:
+    """Writes the sorted shards of a task's buckets to one file."""
+
+    def __init__(self, uri: str, label: str):
+        self.uri, self.label, self.out, self.rows, self.total = uri, label, None, [], 0
+
+    def add(self, bucket: int, hashes: np.ndarray, counts: np.ndarray | None, second: np.ndarray | None = None) -> None:
+        """A count takes a byte; from 255 on, it stands in a list of its own. ``second`` stands in place of counts."""
+        if not len(hashes):
+            return
+        self.out = self.out or common.ArrayFile(self.uri, self.label)
+        large = np.flatnonzero(counts >= _LARGE) if counts is not None else np.empty(0, np.int64)
+        at = [self.out.put(hashes), self.out.put(second if counts is None else np.minimum(counts, _LARGE).astype(np.uint8))]
+        at.append(self.out.put(np.concatenate([large, counts[large]]).astype(np.int64)) if len(large) else 0)
+        self.rows.append((bucket, 0, len(hashes), 0, *at, len(large)))
+        self.total += int(counts.sum()) if counts is not None else 0
+
+    def close(self) -> tuple[str, bytes, int] | None:
+        """The file's name, its shards and the sum of their counts, for ``record``; nothing if there is no shard."""
+        if self.out is None:
+            return None
+        self.out.close()
+        return self.out.name, np.array(self.rows, _SHARD).tobytes(), self.total
+
+
+FILES = "file string, shards binary, total long"
+
+
+def file_batch(closed: tuple[str, bytes, int] | None) -> Iterator[pa.RecordBatch]:
+    if closed:
+        yield pa.RecordBatch.from_arrays([pa.array([closed[0]]), pa.array([closed[1]], pa.binary()), pa.array([closed[2]], pa.int64())], names=["file", "shards", "total"])
+
+
+def record(uri: str, n_buckets: int, files: list[tuple[str, bytes, int]], counted: bool = True) -> dict:
+    """What workers need to find the shards of all files: some bytes for each shard, whatever it holds."""
+    parts = []
+    for i, (_, raw, _) in enumerate(files):
+        parts.append(np.frombuffer(raw, _SHARD).copy())
+        parts[-1]["file"] = i
+    shards = np.concatenate(parts) if parts else np.empty(0, _SHARD)
+    shards = shards[np.argsort(shards["bucket"], kind="stable")]
+    shards["first"] = np.cumsum(shards["size"]) - shards["size"]
+    return {"uri": uri, "n_buckets": n_buckets, "files": [f[0] for f in files], "shards": shards, "counted": counted, "size": int(shards["size"].sum()), "total": sum(f[2] for f in files)}
+
+
+def store(packed: DataFrame, n_buckets: int, label: str) -> dict:
+    """Merge packed rows and write a shard per bucket; the record of all shards comes back."""
     uri = common.scratch(packed.sparkSession, label)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        writer = Writer(uri, label)
         for bucket, rows in groups(batches, "bucket"):
-            values, counts = merged(rows)
-            if keep is not None:
-                stay = keep(counts)
-                values, counts = values[stay], counts[stay]
-            if len(values):
-                yield pa.RecordBatch.from_pydict({
-                    "bucket": pa.array([bucket], pa.int32()), "size": pa.array([len(values)], pa.int64()), "total": pa.array([int(counts.sum())], pa.int64()),
-                    "hashes": [common.put_array(uri, "hashes", values)], "counts": [common.put_array(uri, "counts", counts.astype(np.uint64))],
-                })
-
-    found = by_bucket(packed, n_buckets).mapInArrow(write, "bucket int, size long, total long, hashes string, counts string").collect()
-    shards = sorted((r.asDict() for r in found), key=lambda r: r["bucket"])
-    first = 0
-    for s in shards:
-        s["first"], first = first, first + s["size"]
-    return {"uri": uri, "n_buckets": n_buckets, "shards": shards, "size": first, "total": sum(s["total"] for s in shards)}
+            writer.add(bucket, *merged(rows))
+        yield from file_batch(writer.close())
+
+    return record(uri, n_buckets, [tuple(r) for r in by_bucket(packed, n_buckets).mapInArrow(write, FILES).collect()])
 
 
 def store_repeated(pairs: DataFrame, n_buckets: int, label: str) -> dict:
@@ -167,33 +207,31 @@ def store_repeated(pairs: DataFrame, n_buckets: int, label: str) -> dict:
     uri = common.scratch(pairs.sparkSession, label)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        writer, ties = Writer(uri, label), []
         for bucket, rows in groups(batches, "bucket"):
             keys, second, n = merged_pairs(rows)
             keys, second = keys[n > 1], second[n > 1]
-            if len(keys):
-                again = np.concatenate([[False], keys[1:] == keys[:-1]])
-                ties = [[int(k), int(x)] for k, x in zip(keys[again].view(np.int64), second[again].view(np.int64))]
-                keys, second = keys[~again], second[~again]
-                yield pa.RecordBatch.from_pydict({
-                    "bucket": pa.array([bucket], pa.int32()), "size": pa.array([len(keys)], pa.int64()), "hashes": [common.put_array(uri, "hashes", keys)],
-                    "counts": [common.put_array(uri, "second", second)], "ties": pa.array([ties], pa.list_(pa.list_(pa.int64()))),
-                })
-
-    found = pairs.repartition(n_buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(write, "bucket int, size long, hashes string, counts string, ties array<array<long>>").collect()
-    shards = sorted((r.asDict() for r in found), key=lambda r: r["bucket"])
-    first = 0
-    for s in shards:
-        s["first"], first = first, first + s["size"]
-    return {"uri": uri, "n_buckets": n_buckets, "shards": shards, "size": first, "ties": {tuple(x) for s in shards for x in s.pop("ties")}}
+            again = np.concatenate([[False], keys[1:] == keys[:-1]]) if len(keys) else np.empty(0, bool)
+            ties += zip(keys[again].view(np.int64).tolist(), second[again].view(np.int64).tolist())
+            writer.add(bucket, keys[~again], None, second[~again])
+        for batch in file_batch(writer.close()):
+            yield batch.append_column("ties", pa.array([ties], pa.list_(pa.list_(pa.int64()))))
+
+    found = by_bucket(pairs, n_buckets).mapInArrow(write, f"{FILES}, ties array<array<long>>").collect()
+    return record(uri, n_buckets, [tuple(r)[:3] for r in found], counted=False) | {"ties": {tuple(x) for r in found for x in r.ties}}
 
 
 class HashArrays:
-    """The stored arrays, mapped."""
+    """The stored arrays. A shard is mapped when a hash within its range is first looked up."""
 
     def __init__(self, record: dict):
-        self.record = record
-        self.bits = record["n_buckets"].bit_length() - 1
-        self.maps = [(s["bucket"], s["first"], common.map_array(record["uri"], s["hashes"], np.uint64), common.map_array(record["uri"], s["counts"], np.uint64)) for s in record["shards"]]
+        self.record, self.shards = record, record["shards"]
+        shift = np.uint64(64 - record["n_buckets"].bit_length() + 1)
+        self.lows = self.shards["bucket"].astype(np.uint64) << shift if record["n_buckets"] > 1 else np.zeros(len(self.shards), np.uint64)
+        self.highs = self.lows + ((np.uint64(1) << shift) - np.uint64(1) if record["n_buckets"] > 1 else np.uint64(2**64 - 1))
+
+    def _part(self, shard: np.void, field: str, size: int, dtype) -> np.ndarray:
+        return common.array_part(self.record["uri"], self.record["files"][shard["file"]], int(shard[field]), size, dtype)
 
     def lookup(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Place in the whole sorted array (-1: absent) and count (0: absent) of each hash. The queries are sorted
@@ -201,17 +239,25 @@ class HashArrays:
         order = np.argsort(hashes)
         asked = hashes[order]
         place, count = np.full(len(asked), -1, np.int64), np.zeros(len(asked), np.int64)
-        lows = np.array([b for b, *_ in self.maps], np.uint64) << np.uint64(64 - self.bits)
-        begins = np.searchsorted(asked, lows)
-        for (bucket, first, values, counts), i in zip(self.maps, begins.tolist()):
-            high = (bucket + 1) << (64 - self.bits)
-            j = len(asked) if high >= 1 << 64 else int(np.searchsorted(asked, np.uint64(high)))
-            if j > i:
-                at = np.searchsorted(values, asked[i:j])
-                at[at == len(values)] = 0
-                hit = np.flatnonzero(values[at] == asked[i:j])
-                place[i + hit] = first + at[hit]
-                count[i + hit] = counts[at[hit]]
+        begins, ends = np.searchsorted(asked, self.lows, "left"), np.searchsorted(asked, self.highs, "right")
+        for k in np.flatnonzero(ends > begins).tolist():
+            shard, i, j = self.shards[k], int(begins[k]), int(ends[k])
+            size = int(shard["size"])
+            values = self._part(shard, "hashes", size, np.uint64)
+            at = np.searchsorted(values, asked[i:j])
+            at[at == size] = 0
+            hit = np.flatnonzero(values[at] == asked[i:j])
+            at = at[hit]
+            place[i + hit] = int(shard["first"]) + at
+            if not self.record["counted"]:
+                count[i + hit] = self._part(shard, "beside", size, np.int64)[at]
+                continue
+            n = self._part(shard, "beside", size, np.uint8)[at].astype(np.int64)
+            large = np.flatnonzero(n == _LARGE)
+            if len(large):
+                where, full = self._part(shard, "large", 2 * int(shard["n_large"]), np.int64).reshape(2, -1)
+                n[large] = full[np.searchsorted(where, at[large])]
+            count[i + hit] = n
         out_place, out_count = np.empty_like(place), np.empty_like(count)
         out_place[order], out_count[order] = place, count
         return out_place, out_count
@@ -221,7 +267,7 @@ _open: OrderedDict[str, HashArrays] = OrderedDict()
 
 
 def opened(record: dict) -> HashArrays:
-    """The worker's mapping of a record; the last two stay open from task to task."""
+    """The worker's view of a record; the last two stay from task to task."""
     if record["uri"] not in _open:
         _open[record["uri"]] = HashArrays(record)
         while len(_open) > 2:

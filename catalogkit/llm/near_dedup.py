@@ -161,6 +161,12 @@ def link_block(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     return found
 
 
+def digests(shingles: np.ndarray) -> tuple[int, int]:
+    """Two independent 64-bit digests of a set: the first names its node, unless other sets have it too; then the second does."""
+    raw = shingles.tobytes()
+    return xxhash.xxh3_64_intdigest(raw) - 2**63, xxhash.xxh3_64_intdigest(raw, 0xB17) - 2**63
+
+
 def _sketch(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -168,25 +174,28 @@ def _sketch(width: int):
             for a, b in common.blocks(offsets):
                 h, counts = common.word_hashes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], lower=True)
                 ends = np.concatenate([[0], np.cumsum(counts)]).tolist()
-                n, nodes, marks, fines, bands, lows = [], [], [], [], [], []
+                n, nodes, others, marks, fines, bands, lows = [], [], [], [], [], [], []
                 for i, j in zip(ends, ends[1:]):
                     s = shingle_set(h[i:j], width)
                     n.append(len(s))
                     if len(s):
                         least = minima(s)
-                        nodes.append(xxhash.xxh3_64_intdigest(s.tobytes()) - 2**63)
+                        node, other = digests(s)
+                        nodes.append(node)
+                        others.append(other)
                         marks.append(signature(least).view(np.int64))
                         fines.append(fine(s).tobytes())
                         bands.append((keys := band_keys(least)).view(np.int64))
                         lows.append(keys.astype(np.uint32).tobytes())
                     else:
                         nodes.append(None)
+                        others.append(None)
                         marks.append(None)
                         fines.append(None)
                         bands.append(None)
                         lows.append(None)
                 long = pa.list_(pa.int64())
-                yield pa.RecordBatch.from_arrays([batch["doc_id"][a:b].cast(pa.int64()), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), pa.array(marks, long), pa.array(fines, pa.binary()), pa.array(bands, long), pa.array(lows, pa.binary())], names=["doc_id", "n_shingles", "node", "mark", "fine", "bands", "low_bands"])
+                yield pa.RecordBatch.from_arrays([batch["doc_id"][a:b].cast(pa.int64()), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), pa.array(others, pa.int64()), pa.array(marks, long), pa.array(fines, pa.binary()), pa.array(bands, long), pa.array(lows, pa.binary())], names=["doc_id", "n_shingles", "node", "other", "mark", "fine", "bands", "low_bands"])
 
     return run
 
@@ -199,7 +208,7 @@ def _linker(width: int, percent: int):
             members: dict[int, tuple] = {}
             for r in rows:
                 s = shingle_set(common.text_word_hashes(r["text"], lower=True), width)
-                if len(s) and xxhash.xxh3_64_intdigest(s.tobytes()) - 2**63 == r["node"]:
+                if len(s) and r["node"] in digests(s):
                     members[r["node"]] = (s, (-r["rank"], r["node"]))
             nodes = sorted(members, key=lambda x: members[x][1])
             found = link_block([members[x][0] for x in nodes], percent)
@@ -299,7 +308,7 @@ def _confirmer(width: int, percent: int):
             members: dict[int, tuple] = {}
             for r in rows:
                 s = shingle_set(common.text_word_hashes(r["text"], lower=True), width)
-                if len(s) and xxhash.xxh3_64_intdigest(s.tobytes()) - 2**63 == r["node"]:
+                if len(s) and r["node"] in digests(s):
                     members[r["node"]] = (s, r["label"], r["partners"])
             nodes = list(members)
             place, state, found = {x: i for i, x in enumerate(nodes)}, Links([members[x][1] for x in nodes]), []
@@ -314,6 +323,20 @@ def _confirmer(width: int, percent: int):
     return run
 
 
+def told_apart(sketch: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``sketch`` (doc_id, node, other, n_shingles and more) with a node of its own for every set, and (node, head): the
+    smallest doc_id of each. Where sets that differ in the second digest or in size share a node, which happens to about
+    one pair in 2**64, the second digest becomes their node."""
+    met = sketch.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("head"), F.min("other").alias("low"), F.max("other").alias("high"), F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most"))
+    met = common.written(met, "node-heads")
+    shared = met.where("low <> high or least <> most").select("node", F.lit(True).alias("shared"))
+    if shared.limit(1).count():
+        sketch = sketch.join(shared, "node", "left").withColumn("node", F.when(F.col("shared"), F.col("other")).otherwise(F.col("node")))
+        sketch = common.written(sketch.drop("shared"), "sketch")
+        met = sketch.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("head"))
+    return sketch, met.where("head is not null").select("node", "head")
+
+
 def in_blocks(cluster: DataFrame, nodes: DataFrame, block_docs: int) -> DataFrame:
     """node, cluster, head, n_shingles, n_blocks, block: the members of each cluster (node, root) dealt over its blocks."""
     member = common.written(cluster.withColumnRenamed("root", "cluster").join(nodes.select("node", "head", "n_shingles"), "node"), "cluster-members")
@@ -341,16 +364,17 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     own with that id. A row with a null doc_id is linked with nothing: component_id null, kept true. An empty table
     gives an empty result.
 
-    Equal sets are one node, so exact copies never meet in a bucket. Of a cluster only the most central documents are
+    Equal sets are one node, so exact copies never meet in a bucket; sets count as equal if two digests, 128 bits in all,
+    and their sizes are. Of a cluster only the most central documents are
     compared with all others, block by block. What that leaves in different groups is compared by signatures, bucket by
     bucket, and only the texts of pairs that may be linked are moved again.
     """
     if percent < 80:
         raise ValueError("the bands are made for a similarity of 80 percent or more")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketch = common.written(docs.mapInArrow(_sketch(shingle_words), "doc_id long, n_shingles long, node long, mark array<long>, fine binary, bands array<long>, low_bands binary"), "sketch")
+    sketch = common.written(docs.mapInArrow(_sketch(shingle_words), "doc_id long, n_shingles long, node long, other long, mark array<long>, fine binary, bands array<long>, low_bands binary"), "sketch")
+    sketch, heads = told_apart(sketch)
     named = sketch.where("node is not null and doc_id is not null")
-    heads = named.groupBy("node").agg(F.min("doc_id").alias("head"))
     # one row of each node: that of its head; equal rows of the same head fall together
     nodes = named.join(heads, [named["node"] == heads["node"], named["doc_id"] == heads["head"]], "left_semi")
     nodes = common.written(nodes.groupBy("node").agg(F.min("doc_id").alias("head"), F.first("n_shingles").alias("n_shingles"), F.first("mark").alias("mark"), F.first("fine").alias("fine"), F.first("bands").alias("bands"), F.first("low_bands").alias("low_bands")), "nodes")

@@ -1,14 +1,13 @@
-"""An interpolated modified Kneser-Ney model of word n-grams, order 3 by default, counted in Spark.
+"""An interpolated modified Kneser-Ney model of word n-grams, of order 2 by default or 3, counted in Spark.
 
 Words, bigrams and trigrams are sorted hash arrays in the shared folder, which workers memory-map to score texts. A
 word's id is its place in the sorted word array; a bigram's key is a bijective mix of its two ids, so shards of keys
-are of even size whatever words are frequent, and both ids can be had back from a key. All trigrams are counted, with
-their bigram as the key and the word before it beside it, which gives every count that the model needs in one pass.
+are of even size whatever words are frequent, and both ids can be had back from a key. With order 3, trigrams are
+counted with their bigram as the key and the word before it beside it, which gives every count that the model needs in
+one pass. A key's bucket is that of its shard, so the tasks that count bigrams write their arrays at once.
 
-Bigrams and trigrams met less than LEAST times are counted in all totals and discounts but not stored: their share of a
-context goes to the lower order, as the discounts do, so probabilities still add up to one. Lower orders use
-continuation counts (how many words stand before), but after the beginning of a text, which nothing stands before,
-plain ones.
+All n-grams are stored. Lower orders use continuation counts (how many words stand before), but after the beginning of a
+text, which nothing stands before, plain ones.
 """
 
 from __future__ import annotations
@@ -61,8 +60,6 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
             yield batch, a, b, np.insert(h, np.cumsum(counts), END), counts + 1
 
 
-#: Bigrams and trigrams met less often are not stored.
-LEAST = 2
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -94,14 +91,14 @@ def _lookup(stored: hash_arrays.HashArrays, keys: np.ndarray) -> tuple[np.ndarra
 
 
 @common.in_small_batches
-def fit(docs: DataFrame, order: int = 3) -> dict:
+def fit(docs: DataFrame, order: int = 2) -> dict:
     """Count the model (``order`` 2 or 3) on all rows of ``docs`` (text; a null one is empty). Records of the shards come
     back, with the model's totals; what passes through the driver grows with the number of shards only. More than 2**32
     different words are an error, since an id takes 32 bits."""
     if order not in (2, 3):
         raise ValueError("order is 2 or 3")
     n_buckets = hash_arrays.buckets_for(docs)
-    n_fine = hash_arrays.finer_buckets(docs, n_buckets)  # trigrams are many; a task takes one bucket after the other
+    n_fine = hash_arrays.finer_buckets(docs, n_buckets)  # n-grams are many; a task takes one bucket after the other
     texts, spark = docs.select("text"), docs.sparkSession
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,12 +113,12 @@ def fit(docs: DataFrame, order: int = 3) -> dict:
         raise ValueError("ids of words take 32 bits")
     span = -(-(start + 1) // n_buckets)  # ids that one shard of contexts holds
 
-    def trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def ngrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally, known = hash_arrays.PairTally(n_fine), hash_arrays.opened(vocabulary)
         for *_, tokens, counts in _texts(batches):
             ids = _lookup(known, tokens)[0]
             two, one = _before(ids, counts, start)
-            yield from tally.add(_bigram(one, ids), two)
+            yield from tally.add(_bigram(one, ids), two if order == 3 else np.zeros(len(ids), np.int64))
         yield from tally.finish()
 
     def sums(kind: str, who: np.ndarray, values: list[np.ndarray]) -> Iterator[tuple]:
@@ -135,38 +132,52 @@ def fit(docs: DataFrame, order: int = 3) -> dict:
         for batch in hash_arrays.packed_rows(keys, n, n_buckets):
             yield from ((r["bucket"], kind, r["hashes"], r["counts"]) for r in batch.to_pylist())
 
+    bigrams = common.scratch(spark, "bigrams")
+
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in hash_arrays.groups(batches, "bucket"):
-            k, u, c = hash_arrays.merged_pairs(rows)
+        types, writer = np.zeros((2, 5), np.int64), hash_arrays.Writer(bigrams, "bigrams")
+
+        def rows(out: list[tuple]) -> Iterator[pa.RecordBatch]:
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int32(), pa.string(), pa.binary(), pa.binary()))], names=["bucket", "kind", "hashes", "counts"])
+
+        for bucket, held in hash_arrays.groups(batches, "bucket"):
+            k, u, c = hash_arrays.merged_pairs(held)
             new = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
             keys, raw, behind = k[new], np.add.reduceat(c, new), np.diff(np.append(new, len(k)))
             first, second = (x := unmix(keys)) >> np.uint64(32), x & np.uint64(0xFFFFFFFF)
             n = np.where(first == start, raw, behind) if order == 3 else raw  # what the bigram counts for
-            out = [(-1, "types", np.array([*(int((n == i).sum()) for i in (1, 2, 3, 4)), len(keys)], np.int64).tobytes(), b"")]
+            types[0] += [*(int((n == i).sum()) for i in (1, 2, 3, 4)), len(keys)]
+            writer.add(bucket, keys, n)
             by = np.argsort(first, kind="stable")
             at, m = first[by], n[by]
             edge = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-            out += sums("context", at[edge], [np.add.reduceat(v, edge) for v in (m, (m == 1).astype(np.int64), (m == 2).astype(np.int64), (m > 2).astype(np.int64))])
+            out = [*sums("context", at[edge], [np.add.reduceat(v, edge) for v in (m, (m == 1).astype(np.int64), (m == 2).astype(np.int64), (m > 2).astype(np.int64))])]
             out += sums("follower", *(lambda w, t: (w, [t]))(*common.sorted_counts(second)))
-            out += hashed("bigram", keys[n >= LEAST], n[n >= LEAST])
             if order == 3:
-                inner = np.repeat(first != start, np.diff(np.append(new, len(k))))
-                out.append((-2, "types", np.array([*(int((c[inner] == i).sum()) for i in (1, 2, 3, 4)), 0], np.int64).tobytes(), b""))
-                kept = np.flatnonzero(inner & (c >= LEAST))
-                middle = unmix(k[kept]) >> np.uint64(32)
-                context = _bigram(u[kept], middle)
-                out += hashed("trigram", _trigram(k[kept], u[kept]), c[kept])
-                out += hashed("kept", context, c[kept])
-                out += hashed("kinds", context, np.where(c[kept] == 2, 1, 1 << 32))
-                out += hashed("total", keys[raw >= LEAST], raw[raw >= LEAST])
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int32(), pa.string(), pa.binary(), pa.binary()))], names=["bucket", "kind", "hashes", "counts"])
-
-    shuffled = texts.mapInArrow(trigrams, hash_arrays.PAIRS)
-    partial = common.written(hash_arrays.by_bucket(shuffled, n_buckets).mapInArrow(reduce, "bucket int, kind string, hashes binary, counts binary"), "ngrams")
-    arrays = {k: hash_arrays.store(partial.where(f"kind = '{k}'").select("bucket", "hashes", "counts"), n_buckets, k) for k in (("bigram", "trigram", "kept", "kinds", "total") if order == 3 else ("bigram",))}
+                inner = np.flatnonzero(np.repeat(first != start, np.diff(np.append(new, len(k)))))
+                c, u, k = c[inner], u[inner], k[inner]
+                types[1, :4] += [int((c == i).sum()) for i in (1, 2, 3, 4)]
+                context = _bigram(u, unmix(k) >> np.uint64(32))
+                out += hashed("trigram", _trigram(k, u), c)
+                out += hashed("total", context, c)
+                out += hashed("once", context[c == 1], c[c == 1])
+                out += hashed("more", context[c > 1], np.where(c[c > 1] == 2, 1, 1 << 32))  # met twice, and oftener
+            yield from rows(out)
+        closed = writer.close()
+        out = [(0, "file", closed[0].encode(), closed[1])] if closed else []
+        yield from rows([*out, (0, "types", types.tobytes(), b"")])
+
+    shuffled = texts.mapInArrow(ngrams, hash_arrays.PAIRS)
+    partial = common.written(hash_arrays.by_bucket(shuffled, n_buckets).mapInArrow(reduce, "bucket int, kind string, hashes binary, counts binary"), "ngrams", by="kind")
+    files = [(bytes(r.hashes).decode(), bytes(r.counts), 0) for r in partial.where("kind = 'file'").select("hashes", "counts").collect()]
+    arrays = {"bigram": hash_arrays.record(bigrams, n_fine, files)}
+    if order == 3:
+        arrays |= {k: hash_arrays.store(partial.where(f"kind = '{k}'").select("bucket", "hashes", "counts"), n_buckets, k) for k in ("trigram", "total", "once", "more")}
     uri = common.scratch(spark, "contexts")
 
     def dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file, done, before = None, [], np.zeros(5, np.int64)
         for bucket, rows in hash_arrays.groups(batches, "bucket"):
             out = np.zeros(min(span, start + 1 - bucket * span), _WORD)
             for r in rows:
@@ -176,14 +187,19 @@ def fit(docs: DataFrame, order: int = 3) -> dict:
                     n = int.from_bytes(raw[at : at + 4], "little")
                     out[name][ids] += common.unpack(raw[at + 4 : at + 4 + n]).astype(out[name].dtype)
                     at += 4 + n
-            yield pa.RecordBatch.from_pydict({"bucket": pa.array([bucket], pa.int32()), "name": [common.put_array(uri, "contexts", out)], "before": pa.array([[*(int((out["before"] == k).sum()) for k in (1, 2, 3, 4)), int((out["before"] > 0).sum())]], pa.list_(pa.int64()))})
-
-    rows = hash_arrays.by_bucket(partial.where("kind in ('context', 'follower')"), n_buckets).mapInArrow(dense, "bucket int, name string, before array<long>").collect()
-    types = {k: sum((np.frombuffer(r["hashes"], np.int64) for r in partial.where(f"bucket = {k}").select("hashes").collect()), np.zeros(5, np.int64)) for k in (-1, -2)}
+            file = file or common.ArrayFile(uri, "contexts")
+            done.append((bucket, file.put(out), len(out)))
+            before += [*(int((out["before"] == k).sum()) for k in (1, 2, 3, 4)), int((out["before"] > 0).sum())]
+        if file:
+            file.close()
+            yield pa.RecordBatch.from_arrays([pa.array([file.name]), pa.array([done], pa.list_(pa.list_(pa.int64()))), pa.array([before.tolist()], pa.list_(pa.int64()))], names=["file", "done", "before"])
+
+    rows = hash_arrays.by_bucket(partial.where("kind in ('context', 'follower')"), n_buckets).mapInArrow(dense, "file string, done array<array<long>>, before array<long>").collect()
+    types = sum((np.frombuffer(r["hashes"], np.int64).reshape(2, 5) for r in partial.where("kind = 'types'").select("hashes").collect()), np.zeros((2, 5), np.int64))
     before = sum((np.array(r["before"]) for r in rows), np.zeros(5, np.int64)).tolist()
     return {
-        "order": order, "words": vocabulary, "arrays": arrays, "uri": uri, "span": span, "start": start, "contexts": sorted((r["bucket"], r["name"]) for r in rows),
-        "discounts": {3: discounts(types[-2][:4].tolist()), 2: discounts(types[-1][:4].tolist()), 1: discounts(before[:4])}, "before": before, "types": int(types[-1][4]), "tokens": vocabulary["total"],
+        "order": order, "words": vocabulary, "arrays": arrays, "uri": uri, "span": span, "start": start, "contexts": {b: (r["file"], at, n) for r in rows for b, at, n in r["done"]},
+        "discounts": {3: discounts(types[1, :4].tolist()), 2: discounts(types[0, :4].tolist()), 1: discounts(before[:4])}, "before": before, "types": int(types[0, 4]), "tokens": vocabulary["total"],
     }
 
 
@@ -194,7 +210,6 @@ class Model:
         self.r = record
         self.words = hash_arrays.HashArrays(record["words"])
         self.arrays = {k: hash_arrays.HashArrays(a) for k, a in record["arrays"].items()}
-        self.contexts = dict((b, common.map_array(record["uri"], name, _WORD)) for b, name in record["contexts"])
         d, n = record["discounts"][1], record["before"]
         self.left_over = (d[0] * n[0] + d[1] * n[1] + d[2] * (n[4] - n[0] - n[1])) if record["types"] else 1.0
 
@@ -204,8 +219,8 @@ class Model:
         which = np.where(ids >= 0, ids // self.r["span"], -1)
         for b in np.unique(which[which >= 0]).tolist():
             at = np.flatnonzero(which == b)
-            if b in self.contexts:
-                out[at] = self.contexts[b][ids[at] - b * self.r["span"]]
+            if b in self.r["contexts"]:
+                out[at] = common.array_part(self.r["uri"], *self.r["contexts"][b], _WORD)[ids[at] - b * self.r["span"]]
         return out
 
     def count(self, name: str, keys: np.ndarray, asked: np.ndarray) -> np.ndarray:
@@ -232,7 +247,7 @@ class Model:
         context = self.facts(here)[which]
         total = context["total"].astype(np.float64)
         full = np.maximum(total, 1)
-        spared = total - context["once"] - d[1] * context["twice"] - d[2] * context["more"]  # what stored bigrams keep
+        spared = total - d[0] * context["once"] - d[1] * context["twice"] - d[2] * context["more"]  # what bigrams keep
         keys = _bigram(one, ids)
         asked = (ids >= 0) & (one >= 0)
         n = self.count("bigram", keys, asked)
@@ -242,13 +257,12 @@ class Model:
             inner = np.ones(len(ids), bool)
             inner[np.cumsum(counts) - counts] = False
             before = np.roll(keys, 1)  # the context is the bigram of the token before
-            asked_context = inner & np.roll(asked, 1)
-            total = self.count("total", before, asked_context).astype(np.float64)
+            total = self.count("total", before, inner & np.roll(asked, 1)).astype(np.float64)
             known_context = total > 0
-            kept, kinds = (self.count(k, before, known_context) for k in ("kept", "kinds"))
+            once, more = (self.count(k, before, known_context) for k in ("once", "more"))
             full = np.maximum(total, 1)
-            spared = kept - d[1] * (kinds & 0xFFFFFFFF) - d[2] * (kinds >> 32)
-            n = self.count("trigram", _trigram(keys, two), known_context & (ids >= 0) & (kept > 0))
+            spared = total - d[0] * once - d[1] * (more & 0xFFFFFFFF) - d[2] * (more >> 32)
+            n = self.count("trigram", _trigram(keys, two), known_context & (ids >= 0))
             p = np.maximum(n - discounted(n, d), 0) / full + (1 - spared / full) * p
         return np.log10(p), known
 

@@ -100,9 +100,8 @@ def tokens(text: str | None) -> list[str]:
     return [*words(lower(text)), "</s>"]
 
 
-def kneser_ney(train: list[str | None], order: int = 3, least: int = 2):
-    """log10 probability of a text under an interpolated modified Kneser-Ney model of ``train``, word by word; n-grams of
-    two words or more that are met less than ``least`` times leave their share to the lower order."""
+def kneser_ney(train: list[str | None], order: int = 2):
+    """log10 probability of a text under an interpolated modified Kneser-Ney model of ``train``, word by word."""
     unigrams, bigrams, trigrams = Counter(), Counter(), Counter()
     for t in train:
         toks = tokens(t)
@@ -133,8 +132,8 @@ def kneser_ney(train: list[str | None], order: int = 3, least: int = 2):
         d, total, spared = cuts(counts), Counter(), Counter()
         for (*context, _), c in counts.items():
             total[tuple(context)] += c
-            spared[tuple(context)] += less(c, d) if c >= least else 0.0
-        return lambda context, word, p: p if not total[context] else (less(c, d) if (c := counts[(*context, word)]) >= least else 0.0) / total[context] + (1 - spared[context] / total[context]) * p
+            spared[tuple(context)] += less(c, d)
+        return lambda context, word, p: p if not total[context] else less(counts[(*context, word)], d) / total[context] + (1 - spared[context] / total[context]) * p
 
     two, three = level(middle), level(trigrams)
 

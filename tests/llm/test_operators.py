@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import random
+import resource
 import time
 import zlib
 
@@ -363,6 +364,13 @@ def test_near_duplicates_move_few_texts_of_a_cluster_without_links(spark, monkey
     assert 200 <= sum(moved) < 2000
 
 
+def test_sets_with_one_digest_are_told_apart(spark):
+    rows = [(1, 5, 50, 3), (2, 5, 60, 3), (3, 5, 50, 3), (4, 6, 70, 9), (5, None, None, 0), (None, 6, 70, 9)]
+    sketch, heads = near_dedup.told_apart(spark.createDataFrame(rows, "doc_id long, node long, other long, n_shingles long"))
+    assert rows_of(sketch, "doc_id", "node") == sorted([(1, 50), (2, 60), (3, 50), (4, 6), (5, None), (None, 6)], key=repr)
+    assert rows_of(heads, "node", "head") == [(50, 1), (6, 4), (60, 2)]
+
+
 def test_signature_estimate_is_near_the_truth():
     rng = np.random.default_rng(4)
     for share in (0.2, 0.5, 0.8):
@@ -401,6 +409,42 @@ def test_windows_with_equal_first_hashes_are_told_apart(spark):
     assert place.tolist() == [0, -1] and second[0] == 7 and record["ties"] == {(key, 9)}
 
 
+def test_many_shards_take_few_descriptors(tmp_path):
+    """20,000 shards in as many files, looked up while 1,024 files may be open."""
+    files, bits, rng = [], 15, np.random.default_rng(1)
+    hashes = np.sort(rng.integers(0, 20_000, 60_000).astype(np.uint64) << np.uint64(64 - bits) | rng.integers(0, 2**40, 60_000).astype(np.uint64))
+    hashes = np.unique(hashes)
+    counts = rng.integers(1, 600, len(hashes))
+    bucket = (hashes >> np.uint64(64 - bits)).astype(np.int64)
+    edges = np.flatnonzero(np.diff(bucket, prepend=-1, append=2**bits))
+    for i, j in zip(edges, edges[1:]):
+        writer = hash_arrays.Writer(str(tmp_path), "many")
+        writer.add(int(bucket[i]), hashes[i:j], counts[i:j])
+        files.append(writer.close())
+    soft, hard = resource.getrlimit(resource.RLIMIT_NOFILE)
+    resource.setrlimit(resource.RLIMIT_NOFILE, (1024, hard))
+    try:
+        stored = hash_arrays.HashArrays(hash_arrays.record(str(tmp_path), 1 << bits, files))
+        place, count = stored.lookup(np.concatenate([hashes[::-1], hashes + np.uint64(1)]))
+    finally:
+        resource.setrlimit(resource.RLIMIT_NOFILE, (soft, hard))
+    n = len(hashes)
+    assert len(files) > 18_000 and len(common._mapped) <= common.MOST_MAPPED
+    assert place[:n].tolist() == list(range(n))[::-1] and (count[:n] == counts[::-1]).all()
+    assert ((place[n:] >= 0) == np.isin(hashes + np.uint64(1), hashes)).all()
+
+
+def test_arrays_of_another_store_are_read_by_ranges(tmp_path, monkeypatch):
+    writer = hash_arrays.Writer(str(tmp_path), "far")
+    for b in range(4):
+        writer.add(b, (np.arange(100, dtype=np.uint64) * np.uint64(3)) + (np.uint64(b) << np.uint64(62)), np.arange(100) * 7)
+    record = hash_arrays.record(str(tmp_path), 4, [writer.close()])
+    monkeypatch.setattr(common.pafs, "LocalFileSystem", type("none", (), {}))
+    monkeypatch.setattr(common, "MOST_READ_BYTES", 1000)
+    place, count = hash_arrays.HashArrays(record).lookup(np.array([3, 4, (3 << 62) + 297], np.uint64))
+    assert place.tolist() == [1, -1, 399] and count.tolist() == [7, 0, 693] and len(common._read) <= 2
+
+
 # ---------------------------------------------------------------- 7 urls
 
 
