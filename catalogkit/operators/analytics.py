@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import beijing_day
+from . import scan
 
 
 def daily_funnel(events: DataFrame, kinds: list[str], as_of: str, days: int = 14) -> DataFrame:
@@ -30,18 +31,28 @@ def visitors_two_level(events: DataFrame, who: str, region: str) -> DataFrame:
     return per.groupBy("day", region).agg(F.count("*").alias("visitors"), F.sum("n").alias("events"))
 
 
-def rolling_count(events: DataFrame, key: str, ts: str, hours: int) -> DataFrame:
-    """Rows of the key in the last ``hours``, this one included."""
-    w = Window.partitionBy(key).orderBy(F.unix_seconds(F.col(ts).cast("timestamp"))).rangeBetween(-hours * 3600, 0)
-    return events.withColumn("recent", F.count("*").over(w))
-
-
-def sessions(events: DataFrame, key: str, ts: str, gap_seconds: int) -> DataFrame:
-    """Runs of a key's events of which each follows within the gap: begin, end and events."""
-    w = Window.partitionBy(key).orderBy(ts)
-    e = events.withColumn("_new", F.coalesce((F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.lag(F.col(ts).cast("timestamp")).over(w)) >= gap_seconds * 1_000_000).cast("int"), F.lit(1)))
-    e = e.withColumn("session", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return e.groupBy(key, "session").agg(F.min(ts).alias("begin"), F.max(ts).alias("end"), F.count("*").alias("events"))
+def rolling_count(events: DataFrame, key: str, ts: str, hours: int, id_: str = "event_id", ranges: int | None = None) -> DataFrame:
+    """``events`` with ``recent``: rows of the key in the last ``hours``, those of the row's own second included. ``id_`` is
+    a row's own. The count is a difference of two places in the key's order, asked by two probes for each row that are
+    sorted among the rows, so that a running sum answers them and no task holds all rows of a key."""
+    e = events.withColumn("_s", F.unix_seconds(F.col(ts).cast("timestamp")))
+    probe = lambda at, kind, sign: F.struct(at.alias("at"), F.lit(kind).alias("kind"), F.lit(sign).alias("sign"))
+    # before the rows of its second, a row itself, after them
+    three = F.explode(F.array(probe(F.col("_s") - hours * 3600, 0, -1), probe(F.col("_s"), 1, 0), probe(F.col("_s"), 2, 1)))
+    p = e.where("_s is not null").select(F.col(key).alias("_key"), F.col(id_).alias("_id"), three.alias("p")).select("_key", "_id", "p.at", "p.kind", "p.sign")
+    p = scan.running(scan.in_ranges(p, "_key", ["at", "kind", "_id"], ranges), "_key", ["at", "kind", "_id"], met=("sum", (F.col("sign") == 0).cast("long")))
+    n = p.where("sign <> 0").groupBy("_id").agg(F.sum(F.col("met") * F.col("sign")).alias("recent"))
+    return events.join(n, events[id_] == n["_id"], "left").drop("_id")
+
+
+def sessions(events: DataFrame, key: str, ts: str, gap_seconds: int, id_: str = "event_id", ranges: int | None = None) -> DataFrame:
+    """Runs of a key's events of which each follows within the gap: begin, end and events. A row's predecessor is the
+    latest before it, and a run's number a running sum of the starts of runs; no task holds all rows of a key."""
+    e = events.select(key, F.col(ts).alias("_ts"), F.col(id_).alias("_id"), F.unix_micros(F.col(ts).cast("timestamp")).alias("_at"))
+    e = scan.running(scan.in_ranges(e, key, ["_at", "_id"], ranges), key, ["_at", "_id"], _last=("max", F.col("_at"), "before"))
+    e = e.withColumn("_new", F.coalesce((F.col("_at") - F.col("_last") >= gap_seconds * 1_000_000).cast("int"), F.lit(1)))
+    e = scan.running(e, key, ["_at", "_id"], session=("sum", F.col("_new")))
+    return e.groupBy(key, "session").agg(F.min("_ts").alias("begin"), F.max("_ts").alias("end"), F.count("*").alias("events"))
 
 
 def share(df: DataFrame, key: str, cond: Column, name: str) -> DataFrame:

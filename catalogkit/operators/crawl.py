@@ -5,43 +5,58 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import scan
+
 
 def parse_robots(bodies: DataFrame, agent: str) -> DataFrame:
-    """(site, allow, path, ord) of the group for our agent, else of ``*``. Agents on consecutive lines share a group."""
-    lines = bodies.select("site", F.posexplode(F.split("body", r"\r?\n")).alias("ord", "line"))
-    lines = lines.withColumn("line", F.trim(F.regexp_replace("line", "#.*$", "")))
-    lines = lines.withColumn("field", F.lower(F.trim(F.regexp_extract("line", r"^([^:]+):", 1)))).withColumn("value", F.trim(F.regexp_extract("line", r"^[^:]+:(.*)$", 1))).where("field in ('user-agent', 'allow', 'disallow')")
-    w = Window.partitionBy("site").orderBy("ord")
-    lines = lines.withColumn("first", ((F.col("field") == "user-agent") & (F.coalesce(F.lag("field").over(w), F.lit("")) != "user-agent")).cast("int")).withColumn("group", F.sum("first").over(w))
-    who = lines.where("field = 'user-agent'").withColumn("rank", F.when(F.contains(F.lit(agent.lower()), F.lower("value")) & (F.col("value") != "*") & (F.col("value") != ""), 0).when(F.col("value") == "*", 1)).where("rank is not null")
-    chosen = who.groupBy("site").agg(F.min(F.struct("rank", "group")).alias("c")).select("site", F.col("c.group").alias("group"))
-    return lines.join(chosen, ["site", "group"]).where("field <> 'user-agent' and value <> ''").select("site", (F.col("field") == "allow").alias("allow"), F.col("value").alias("path"), "ord")
+    """(site, allow, path, ord) of the first group with a name that ours holds, else of the first for ``*``. Agents on
+    consecutive lines share a group; any other field ends a run of them, and rules before all agents are those of ``*``.
+    A site's file is parsed within its row: a line's group is the number of group starts up to it."""
+    lines = F.transform(F.split("body", r"\r?\n"), lambda x: F.trim(F.regexp_replace(x, "#.*$", "")))
+    pairs = F.transform(F.filter(lines, lambda x: F.contains(x, F.lit(":"))), lambda x: F.struct(F.lower(F.trim(F.regexp_extract(x, "^([^:]*):", 1))).alias("field"), F.trim(F.regexp_extract(x, "(?s)^[^:]*:(.*)$", 1)).alias("value")))
+    rows = bodies.select("site", F.monotonically_increasing_id().alias("file"), pairs.alias("pairs"))
+    before = F.when(F.col("i") > 0, F.col("pairs")[F.col("i") - 1]["field"])
+    rows = rows.select("site", "file", "pairs", F.posexplode("pairs").alias("i", "p")).select("site", "file", F.col("i").alias("ord"), "p.field", "p.value", (F.col("p.field").isin("user-agent") & ~before.eqNullSafe("user-agent")).alias("starts"))
+    w = Window.partitionBy("site", "file").orderBy("ord")  # the lines of one file
+    rows = rows.withColumn("group", F.sum(F.col("starts").cast("int")).over(w)).where("field in ('user-agent', 'allow', 'disallow')")
+    name = F.lower("value")
+    rank = F.when(F.col("field") == "user-agent", F.when((name != "*") & F.contains(F.lit(agent.lower()), name), 0).when(name == "*", 1)).when(F.col("group") == 0, 1)
+    chosen = rows.withColumn("rank", rank).where("rank is not null").groupBy("site", "file").agg(F.min(F.struct("rank", "group")).alias("c")).select("site", "file", F.col("c.group").alias("group"))
+    return rows.join(chosen, ["site", "file", "group"]).where("field <> 'user-agent' and value <> ''").select("site", (F.col("field") == "allow").alias("allow"), F.col("value").alias("path"), "ord")
 
 
 def robots_allowed(urls: DataFrame, rules: DataFrame, path: str = "path") -> DataFrame:
-    """Whether each (site, path) may be fetched: the longest matching rule wins, allow among equals; no rule allows."""
-    escaped = F.regexp_replace("rule", r"([.+?^(){}\[\]|\\])", r"\\$1")
+    """``urls`` with whether each (site, path) may be fetched: the longest matching rule wins, allow among equals; no rule
+    allows. A site's rules, which are few, come as one list to each of its rows, so equal rows stay and none are
+    multiplied; the rows of a site need not meet in one task beyond that join."""
+    escaped = F.regexp_replace("path", r"([.+?^(){}\[\]|\\])", r"\\$1")
+    # a dollar stands for the end wherever it is, a star for anything
     pattern = F.concat(F.lit("^"), F.regexp_replace(escaped, r"\*", ".*"))
-    r = rules.select("site", "allow", F.col("path").alias("rule"))
-    hit = urls.join(r.withColumn("pattern", pattern), "site", "left").withColumn("n", F.when(F.expr(f"{path} rlike pattern"), F.length(F.replace(F.col("rule"), F.lit("*"), F.lit("")))))
-    g = hit.groupBy(*urls.columns).agg(F.max(F.when(F.col("allow"), F.col("n"))).alias("a"), F.max(F.when(~F.col("allow"), F.col("n"))).alias("d"))
-    return g.select(*urls.columns, (F.col("d").isNull() | (F.coalesce("a", F.lit(-1)) >= F.col("d"))).alias("allowed"))
-
-
-def fail_streak(probes: DataFrame, key: str, at: list, dead: Column, unknown: Column | None = None) -> DataFrame:
-    """Length of the run of dead probes up to each probe; an alive probe resets it, unknown ones are not counted."""
+    r = rules.withColumn("rule", F.struct(pattern.alias("pattern"), F.length(F.replace(F.col("path"), F.lit("*"), F.lit(""))).alias("n"), "allow"))
+    r = r.groupBy(F.col("site").alias("_site")).agg(F.collect_set("rule").alias("_rules"))
+    hit = urls.join(r, F.col("site") == F.col("_site"), "left").drop("_site")
+    fits = F.filter(F.coalesce("_rules", F.array().cast(r.schema["_rules"].dataType)), lambda x: F.regexp_like(F.col(path), x["pattern"]))
+    longest = lambda allow: F.array_max(F.transform(F.filter(fits, lambda x: x["allow"] == allow), lambda x: x["n"]))
+    d = longest(False)
+    return hit.withColumn("allowed", d.isNull() | (F.coalesce(longest(True), F.lit(-1)) >= d)).drop("_rules")
+
+
+def fail_streak(probes: DataFrame, key: str, at: list, dead: Column, unknown: Column | None = None, ranges: int | None = None) -> DataFrame:
+    """Length of the run of dead probes up to each probe; an alive probe resets it, unknown ones are not counted. The run
+    is the number of dead probes so far without those up to the last alive one; no task holds all probes of a key."""
     p = probes if unknown is None else probes.where(~unknown)
-    w = Window.partitionBy(key).orderBy(*at)
-    p = p.withColumn("dead", dead.cast("int")).withColumn("island", F.sum(1 - F.col("dead")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return p.withColumn("streak", F.sum("dead").over(Window.partitionBy(key, "island").orderBy(*at).rowsBetween(Window.unboundedPreceding, 0))).drop("island")
+    p = scan.in_ranges(p.withColumn("dead", dead.cast("int")), key, at, ranges)
+    p = scan.running(p, key, at, _dead=("sum", F.col("dead")))
+    p = scan.running(p, key, at, _reset=("max", F.when(F.col("dead") == 0, F.col("_dead"))))
+    return p.withColumn("streak", F.col("_dead") - F.coalesce("_reset", F.lit(0))).drop("_dead", "_reset", "_range")
 
 
-def source_tier(polls: DataFrame, key: str, at: list, added: Column, high: int = 5, low: int = 14) -> DataFrame:
+def source_tier(polls: DataFrame, key: str, at: list, added: Column, high: int = 5, low: int = 14, ranges: int | None = None) -> DataFrame:
     """high from ``high`` finds on, low after ``low`` empty polls in a row without any find, else normal."""
-    w = Window.partitionBy(key).orderBy(*at).rowsBetween(Window.unboundedPreceding, 0)
-    p = polls.withColumn("found", added.cast("long")).withColumn("yield", F.sum("found").over(w))
-    p = fail_streak(p, key, at, F.col("found") == 0)
-    return p.withColumn("tier", F.when(F.col("yield") >= high, "high").when((F.col("streak") >= low) & (F.col("yield") == 0), "low").otherwise("normal"))
+    p = scan.in_ranges(polls.withColumn("found", added.cast("long")), key, at, ranges)
+    p = scan.running(p, key, at, **{"yield": ("sum", F.col("found")), "_empty": ("sum", (F.col("found") == 0).cast("long"))}).drop("_range")
+    # without any find, all polls so far are empty ones in a row
+    return p.withColumn("tier", F.when(F.col("yield") >= high, "high").when((F.col("_empty") >= low) & (F.col("yield") == 0), "low").otherwise("normal")).drop("_empty")
 
 
 def trusted_lastmod(pages: DataFrame, site: str, lastmod: str, as_of: str, since: str, fresh_days: int = 90) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import dictionary
+
 UNKNOWN = "未知"
 
 
@@ -25,20 +27,6 @@ def first_match(text: Column, rules: list[tuple[list[str], str]], default: str |
     return out
 
 
-def normal_country(x: Column, aliases: list[tuple[str, str]], compat: bool = False) -> Column:
-    """Exact alias, then one in another case, then itself; ``compat`` tries substrings either way before that. Blank is unknown."""
-    t = F.trim(F.coalesce(x, F.lit("")))
-    out = t
-    if compat:
-        for a, c in reversed(aliases):
-            out = F.when(F.contains(F.lower(t), F.lit(a.lower())) | F.contains(F.lit(a.lower()), F.lower(t)), F.lit(c)).otherwise(out)
-    for a, c in reversed(aliases):
-        out = F.when(F.lower(t) == a.lower(), F.lit(c)).otherwise(out)
-    for a, c in reversed(aliases):
-        out = F.when(t == a, F.lit(c)).otherwise(out)
-    return F.when(t == "", F.lit(UNKNOWN)).otherwise(out)
-
-
 def ipv4(x: Column) -> Column:
     """The address as a number; an IPv4 address in IPv6 form too; null for another text."""
     p = F.split(F.regexp_replace(F.trim(x), "^::ffff:", ""), r"\.")
@@ -105,3 +93,60 @@ def fill_place(df: DataFrame, text: str, domain: str, cities: list[tuple[str, st
     df = df.withColumn("_country", F.when(~miss(country), country).when(by == "text", of_city).when(by == "domain", of_tld))
     fix = lambda c: F.when(miss(F.col(c)), F.lit(UNKNOWN)).otherwise(F.col(c))
     return df.withColumn("city", fix("_city")).withColumn("country", fix("_country")).drop("_city", "_country")
+
+
+#: The country whose regions are told by its provinces, and places that make a bucket of their own.
+HOME = "中国"
+_APART_COUNTRY, _APART_CITY, _APART_PROVINCE = "香港|澳门|台湾|台北|高雄", "香港|澳门|台北|高雄|台中|台南", "香港|澳门|台湾"
+
+
+def region_bucket(country: Column, city: Column, ip_country: Column, ip_province: Column, names: DataFrame, ip_names: DataFrame) -> Column:
+    """The bucket of a record: of its country by the first rule in order of which a name stands in it; where the country
+    is missing, of the address it was sent from. ``names`` and ``ip_names`` are dictionaries (ord, term, value), the
+    rule's number, a name and the bucket; those of addresses are met in any case."""
+    c, t = F.coalesce(country, F.lit("")), F.coalesce(city, F.lit(""))
+    own = F.when(c.rlike(_APART_COUNTRY) | t.rlike(_APART_CITY), "hktw").when(c == HOME, "cn").otherwise(dictionary.first_term(c, names)["value"])
+    sent = F.when(ip_country == HOME, F.when(F.coalesce(ip_province, F.lit("")).rlike(_APART_PROVINCE), "hktw").otherwise("cn"))
+    sent = sent.otherwise(dictionary.first_term(F.lower(F.coalesce(ip_country, F.lit(""))), ip_names.withColumn("term", F.lower("term")))["value"])
+    return F.coalesce(own, F.when(c == "", sent), F.lit("other"))
+
+
+def located(df: DataFrame, cities: DataFrame, countries: DataFrame, sources: DataFrame, capitals: DataFrame) -> DataFrame:
+    """``df`` (city_zh, country_zh, category, source, ip_country, ip_province, ip_city) with lng, lat and ``precision``: of
+    its city, else of its country, else, for news, of the first known source whose name stands in its own, else of the
+    address it was sent from; null if nothing is known. Dictionaries: cities and countries (name, lng, lat), sources
+    (ord, term, value: a city), capitals (province, city)."""
+    spot = lambda t: t.select("name", F.struct("lng", "lat").alias("spot"))
+    cities, countries = spot(cities), spot(countries)
+    df = dictionary.looked_up(df, "city_zh", cities, "name", _city="spot")
+    df = dictionary.looked_up(df, "country_zh", countries, "name", _country="spot")
+    df = df.withColumn("_seat", F.when(F.col("category") == "news", dictionary.first_term(F.col("source"), sources)["value"]))
+    df = dictionary.looked_up(df, "_seat", cities, "name", _source="spot")
+    df = dictionary.looked_up(df, "ip_province", capitals, "province", _capital="city")
+    home = F.col("ip_country") == HOME
+    df = df.withColumn("_ip_city", F.when(home, F.col("ip_city"))).withColumn("_ip_capital", F.when(home, F.col("_capital")))
+    for key, name in (("_ip_city", "_ip1"), ("_ip_capital", "_ip2")):
+        df = dictionary.looked_up(df, key, cities, "name", **{name: "spot"})
+    df = dictionary.looked_up(df, "ip_country", countries, "name", _ip3="spot")
+    sent = F.coalesce("_ip1", "_ip2", "_ip3")
+    best = F.coalesce("_city", "_country", "_source", sent)
+    how = F.when(F.col("_city").isNotNull(), "城市").when(F.col("_country").isNotNull(), "国家").when(F.col("_source").isNotNull(), "信源地").when(sent.isNotNull(), "IP属地")
+    out = df.withColumn("_spot", best).withColumn("precision", how).withColumn("lng", F.col("_spot.lng")).withColumn("lat", F.col("_spot.lat"))
+    return out.drop("_city", "_country", "_seat", "_source", "_capital", "_ip_city", "_ip_capital", "_ip1", "_ip2", "_ip3", "_spot")
+
+
+def region_hints(sources: DataFrame, known: DataFrame, hosts: DataFrame, terms: DataFrame, tlds: DataFrame) -> DataFrame:
+    """Sources (id, hint, hay, domain) with the region each is told to be of, and ``why``: the hint it has, if that is
+    known; the fact about its domain; the longest place name in its text, in any case; the ending of its domain, but not
+    that of the home country. ``known`` (id), ``hosts`` and ``tlds`` (name, region), ``terms`` (ord, term, value)."""
+    s = dictionary.looked_up(sources, "hint", known.withColumn("kept", F.col("id")), "id", _kept="kept")
+    bare = F.regexp_replace(F.lower(F.coalesce("domain", F.lit(""))), r"^www\.", "")
+    labels = F.filter(F.split(F.lower(F.coalesce("domain", F.lit(""))), r"\."), lambda x: x != "")
+    s = s.withColumn("_host", bare).withColumn("_tld", F.when(F.size(labels) >= 2, F.nullif(F.element_at(labels, -1), F.lit("cn"))))
+    s = dictionary.looked_up(s, "_host", hosts, "name", _of_host="region")
+    s = dictionary.looked_up(s, "_tld", tlds, "name", _of_tld="region")
+    named = dictionary.longest_term(F.lower("hay"), terms.withColumn("term", F.lower("term")).where(F.length("term") >= 2))
+    s = s.withColumn("_named", named)
+    region = F.coalesce("_kept", "_of_host", "_named.value", "_of_tld")
+    why = F.when(F.col("_kept").isNotNull(), "kept").when(F.col("_of_host").isNotNull(), F.col("_host")).when(F.col("_named").isNotNull(), F.col("_named.term")).when(F.col("_of_tld").isNotNull(), F.concat(F.lit("."), "_tld"))
+    return s.withColumn("region", region).withColumn("why", why).drop("_kept", "_host", "_tld", "_of_host", "_of_tld", "_named")

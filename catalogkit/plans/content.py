@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text, urls
 from ..operators import catalog, crawl, evidence, geo, ordering, social
 from ..sources import html
-from .base import query, rows, values
+from .base import derived, plain, query, rows, values
 
 _WS = r"'[\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+'"
 
@@ -179,16 +179,23 @@ def lastmod_trust(t):
     return crawl.trusted_lastmod(o, "o_custkey", "day", "2001-12-31", "2001-06-01").select("o_orderkey", "o_custkey", "trusted")
 
 
-_ROBOTS = "User-agent: *\nDisallow: /\n\nUser-agent: kitbot\nUser-agent: other\nDisallow: /fr\nAllow: /fr/1\nDisallow: /*/9$\nDisallow: /de/\nAllow: /de/\n"
+#: A robots file for each supplier: rules before any agent, fields between agents, names that ours holds, comments.
+_ROBOTS = """SELECT s_suppkey AS site, CASE WHEN s_suppkey % 4 = 0 THEN 'Disallow: /de' || chr(10) ELSE '' END || CASE WHEN s_suppkey % 3 = 0 THEN 'User-agent: otherbot' || chr(10) || CASE WHEN s_suppkey % 2 = 0 THEN 'Crawl-delay: 5' || chr(10) ELSE '' END ELSE '' END
+|| 'User-Agent: ' || CASE s_suppkey % 5 WHEN 0 THEN 'Kit' WHEN 1 THEN '*' WHEN 2 THEN 'KITBOT # ours' WHEN 3 THEN 'kitbot2' ELSE 'bot' END || chr(13) || chr(10) || 'Disallow: /fr' || chr(10) || 'Allow: /*/' || CAST(s_suppkey % 10 AS STRING) || chr(10) || 'Disallow: /en/*9$' || chr(10)
+|| 'Sitemap: https://x.org/s.xml' || chr(10) || 'no field' || chr(10) || 'user-agent: *' || chr(10) || 'Disallow:' || chr(10) || 'Disallow: /' || CASE WHEN s_suppkey % 7 = 0 THEN '' ELSE 'es' END AS body FROM {supplier}"""
+_SITE_OF = "page_id % 110"
 
 
-@query(r"""WITH p AS (SELECT page_id, regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1) AS path FROM pages),
-r AS (SELECT page_id, path, max(CASE WHEN allow AND regexp_matches(path, pattern) THEN n END) AS a, max(CASE WHEN NOT allow AND regexp_matches(path, pattern) THEN n END) AS d
-FROM p, (VALUES (false, '^/fr', 3), (true, '^/fr/1', 5), (false, '^/.*/9$', 4), (false, '^/de/', 4), (true, '^/de/', 4)) r(allow, pattern, n) GROUP BY ALL)
-SELECT page_id, path, d IS NULL OR coalesce(a, -1) >= d AS allowed FROM r""")
+@query(rf"""WITH l AS (SELECT site, i, trim(regexp_replace(x, '#.*$', ''), chr(13) || ' ') AS x FROM (SELECT site, unnest(range(1, len(l) + 1)) AS i, unnest(l) AS x FROM (SELECT site, string_split(body, chr(10)) AS l FROM ({plain(_ROBOTS)})))),
+f AS (SELECT site, i, lower(trim(substr(x, 1, strpos(x, ':') - 1))) AS field, trim(substr(x, strpos(x, ':') + 1)) AS value FROM l WHERE contains(x, ':')),
+g AS (SELECT *, sum(starts::INTEGER) OVER (PARTITION BY site ORDER BY i) AS grp FROM (SELECT *, field = 'user-agent' AND lag(field) OVER (PARTITION BY site ORDER BY i) IS DISTINCT FROM 'user-agent' AS starts FROM f)),
+c AS (SELECT site, coalesce(min(grp) FILTER (field = 'user-agent' AND lower(value) <> '*' AND contains('kitbot', lower(value))), min(grp) FILTER (field = 'user-agent' AND value = '*' OR grp = 0 AND field IN ('allow', 'disallow'))) AS grp FROM g GROUP BY site),
+r AS (SELECT site, field = 'allow' AS allow, '^' || replace(regexp_replace(value, '([.+?^(){{}}\[\]|\\])', '\\\1', 'g'), '*', '.*') AS pattern, length(replace(value, '*', '')) AS n FROM g JOIN c USING (site, grp) WHERE field IN ('allow', 'disallow') AND value <> ''),
+p AS (SELECT page_id, {_SITE_OF} AS site, regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1) AS path FROM pages)
+SELECT p.page_id, p.path, d IS NULL OR coalesce(a, -1) >= d AS allowed FROM (SELECT p.page_id, p.path, max(n) FILTER (allow AND regexp_matches(path, pattern)) AS a, max(n) FILTER (NOT allow AND regexp_matches(path, pattern)) AS d FROM p LEFT JOIN r USING (site) GROUP BY p.page_id, p.path) p""")
 def robots_allow(t):
-    rules = crawl.parse_robots(rows(t, [("s", _ROBOTS)], "site string, body string"), "KitBot")
-    p = t("pages").select("page_id", F.lit("s").alias("site"), F.regexp_extract("url", r"^https?://[^/?#]+([^?#]*)", 1).alias("path"))
+    rules = crawl.parse_robots(derived(t, _ROBOTS), "KitBot")
+    p = t("pages").select("page_id", F.expr(_SITE_OF).alias("site"), F.regexp_extract("url", r"^https?://[^/?#]+([^?#]*)", 1).alias("path"))
     return crawl.robots_allowed(p, rules).select("page_id", "path", "allowed")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import content, feeds, harvests, people, records, scalars, tables, verification  # noqa: F401
+from . import content, dictionaries, feeds, harvests, people, records, scalars, tables, verification  # noqa: F401
 from .base import QUERIES, SQL
 
 

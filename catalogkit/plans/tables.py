@@ -254,15 +254,6 @@ def ip_range_join(t):
     return geo.range_join(p, "ip", rows(t, _RANGES, "a long, b long, name string"), "a", "b").select("event_id", "ip", "name")
 
 
-_COUNTRIES = [("usa", "US"), ("United States", "US"), ("uk", "GB"), ("Russia", "RU")]
-_INPUT = [(1, "USA"), (2, " uk "), (3, "Belarus"), (4, None), (5, ""), (6, "united states")]
-
-
-@query(f"""SELECT i.id, CASE WHEN trim(coalesce(i.x, '')) = '' THEN '{geo.UNKNOWN}' ELSE coalesce((SELECT c FROM {values(_COUNTRIES)} a(a, c) WHERE lower(a.a) = lower(trim(i.x))), trim(i.x)) END AS country FROM {values(_INPUT)} i(id, x)""")
-def country_normalize(t):
-    return rows(t, _INPUT, "id long, x string").select("id", geo.normal_country(F.col("x"), _COUNTRIES).alias("country"))
-
-
 @query()
 def limiter_admission(t):
     return state.admission(t("events"), "user_id", "event_id", "ts", 3, 86400)
