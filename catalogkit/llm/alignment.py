@@ -12,8 +12,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -40,34 +42,25 @@ class Pair:
 
     a: str
     b: str
-    most_stretches: int = 150_000
-
-
-@dataclass
-class Stretch:
-    """What a stretch of text gives: tokens of both sides, groups as text, links as packed id pairs; none if the bytes differ."""
-
-    n_a: int
-    n_b: int
-    n_groups: int
-    groups: str
-    links: bytes
+    most_stretches: int = 300_000
 
 
 def merge(ends_a: list[int], ends_b: list[int]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
     """(links, groups) of two lists of ends with the same last one: links are pairs of places, groups the number of tokens
     of either side up to each common end."""
     i = j = 0
-    links, groups = [], []
-    while i < len(ends_a) and j < len(ends_b):
+    links, groups, n, m = [], [], len(ends_a), len(ends_b)
+    while i < n and j < m:
         links.append((i, j))
         a, b = ends_a[i], ends_b[j]
-        if a <= b:
+        if a == b:
             i += 1
-        if b <= a:
             j += 1
-        if a == b:
             groups.append((i, j))
+        elif a < b:
+            i += 1
+        else:
+            j += 1
     return links, groups
 
 
@@ -79,39 +72,71 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(0x100 + k): b for k, b in enumerate(rest)}
 
 
+#: Letters of which Latin-1 has one class with both libraries, and marks that end a word.
+_LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ÿ"
+_PLAIN = re.compile(f"([{_LETTERS}]+)([!,.:;?]*)")
+
+
 class Aligner(dict):
-    """The merged stretches met so far; a missing one is encoded by both libraries."""
+    """The merged stretches met so far: tokens of either side, groups, groups as text, links as packed id pairs; None for a
+    stretch whose bytes the tokens do not give back."""
 
     def __init__(self, pair: Pair):
         super().__init__()
         self.pair, self.older = pair, {}
         self.a = Tokenizer.from_file(pair.a)
         self.a.encode_special_tokens = True
+        self.model = self.a.model
         self.b = sentencepiece.SentencePieceProcessor(model_file=pair.b)
         letters = byte_letters()
-        self.bytes_a = {i: bytes(letters[c] for c in t) for t, i in self.a.get_vocab(with_added_tokens=False).items() if all(c in letters for c in t)}
+        spelled = {b: c for c, b in letters.items()}
+        self.spelling = {i: "".join(spelled[b] for b in chr(i).encode()) for i in range(0x20, 0x100)}
+        vocabulary = self.a.get_vocab(with_added_tokens=False)
+        self.bytes_a = [b""] * (1 + max(vocabulary.values()))
+        for t, i in vocabulary.items():
+            if all(c in letters for c in t):
+                self.bytes_a[i] = bytes(letters[c] for c in t)
         self.bytes_b = [bytes([int(self.b.id_to_piece(i)[3:5], 16)]) if self.b.is_byte(i) else self.b.id_to_piece(i).replace("▁", " ").encode() for i in range(self.b.get_piece_size())]
-        if max(len(self.bytes_b), max(self.bytes_a, default=0) + 1) > 1 << _ID_BITS:
+        if max(len(self.bytes_a), len(self.bytes_b)) > 1 << _ID_BITS:
             raise ValueError("ids take 16 bits")
-
-    def __missing__(self, stretch: str) -> Stretch | None:
-        found = self.older[stretch] if stretch in self.older else self.align(stretch)
-        if len(stretch) <= KEPT_CHARS:
-            self[stretch] = found
-        return found
-
-    def align(self, stretch: str) -> Stretch | None:
-        a, b = self.a.encode(" " + stretch, add_special_tokens=False).ids, self.b.encode(stretch, num_threads=1)
-        of_a, of_b, want = [self.bytes_a.get(i, b"") for i in a], [self.bytes_b[i] for i in b], b" " + stretch.encode()
+        self.digits = [str(i) for i in range(max(len(self.bytes_a), len(self.bytes_b)))]
+
+    def _ids_a(self, stretch: str) -> list[int]:
+        """Tokens of a space and a stretch. A plain word and the marks after it are the pretokens of the vocabulary, so that
+        its model alone gives their ids; anything else goes through the whole library."""
+        plain = _PLAIN.fullmatch(stretch)
+        if not plain:
+            return self.a.encode(" " + stretch, add_special_tokens=False).ids
+        ids = [t.id for t in self.model.tokenize((" " + plain[1]).translate(self.spelling))]
+        return ids + [t.id for t in self.model.tokenize(plain[2])] if plain[2] else ids
+
+    def learn(self, stretches: list[str]) -> list[str]:
+        """Meet stretches that are new; those too long to be kept come back."""
+        again = [s for s in stretches if s not in self.older]
+        for s in stretches:
+            if s in self.older:
+                self[s] = self.older[s]
+        long = []
+        for s, b in zip(again, self.b.encode(again, num_threads=1) if again else []):
+            self[s] = self.align(s, self._ids_a(s), b)
+            if len(s) > KEPT_CHARS:
+                long.append(s)
+        return long
+
+    def align(self, stretch: str, a: list[int], b: list[int]) -> tuple | None:
+        bytes_a, bytes_b, digits = self.bytes_a, self.bytes_b, self.digits
+        of_a, of_b, want = [bytes_a[i] for i in a], [bytes_b[i] for i in b], b" " + stretch.encode()
         if b"".join(of_a) != want or b"".join(of_b) != want:
             return None
-        links, groups = merge(np.cumsum([len(x) for x in of_a]).tolist(), np.cumsum([len(x) for x in of_b]).tolist())
+        links, groups = merge(list(accumulate(map(len, of_a))), list(accumulate(map(len, of_b))))
         text, i, j = [], 0, 0
         for k, m in groups:
-            text.append(",".join(map(str, a[i:k])) + "|" + ",".join(map(str, b[j:m])))
+            if k - i == 1 == m - j:
+                text.append(f"{digits[a[i]]}|{digits[b[j]]}")
+            else:
+                text.append(",".join([digits[x] for x in a[i:k]]) + "|" + ",".join([digits[x] for x in b[j:m]]))
             i, j = k, m
-        packed = np.array([(a[i] << _ID_BITS) | b[j] for i, j in links], np.uint32)
-        return Stretch(len(a), len(b), len(groups), ";".join(text), packed.tobytes())
+        return len(a), len(b), len(groups), ";".join(text), array("I", [(a[i] << _ID_BITS) | b[j] for i, j in links]).tobytes()
 
     def document(self, text: str | None) -> tuple:
         """(n_a, n_b, n_groups, n_links, groups_sha256, distinct pairs, times of each)."""
@@ -123,12 +148,18 @@ class Aligner(dict):
         while at < len(text):
             cut = _CUT.search(text, at + STEP_CHARS) if len(text) - at > STEP_CHARS else None
             end = cut.start() if cut else len(text)
-            met = list(map(self.__getitem__, _CUT.split(text[at:end])))
+            stretches = _CUT.split(text[at:end])
+            new = [s for s in set(stretches) if s not in self]
+            long = self.learn(new) if new else []
+            met = [self[s] for s in stretches]
+            for s in long:
+                del self[s]
             if None in met:
                 return nothing
-            digest.update(((";" if at else "") + ";".join([s.groups for s in met])).encode())
-            n_a, n_b, n_groups = n_a + sum(s.n_a for s in met), n_b + sum(s.n_b for s in met), n_groups + sum(s.n_groups for s in met)
-            links = np.frombuffer(b"".join([s.links for s in met]), np.uint32)
+            of_a, of_b, of_groups, groups, links = zip(*met)
+            digest.update(((";" if at else "") + ";".join(groups)).encode())
+            n_a, n_b, n_groups = n_a + sum(of_a), n_b + sum(of_b), n_groups + sum(of_groups)
+            links = np.frombuffer(b"".join(links), np.uint32)
             n_links += len(links)
             own = common.sorted_counts(links)
             pairs, times = common.sorted_counts(np.concatenate([pairs, own[0]]), np.concatenate([times, own[1]])) if at else own
