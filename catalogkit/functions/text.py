@@ -81,13 +81,24 @@ def slug(x: Column, default: str = "item") -> Column:
     return F.coalesce(present(F.substring(s, 1, 40)), F.lit(default))
 
 
-def strip_site_suffix(title: Column, sites: Column, rounds: int = 4) -> Column:
-    """Peel ``_site`` or `` - site`` off a title while the tail is one of ``sites``, at most ``rounds`` times."""
-    for _ in range(rounds):
-        head = F.regexp_extract(title, r"(?s)^(.*\S)\s*(?:_|\s[-|–—]\s)\s*([^_]+)$", 1)
-        tail = F.regexp_extract(title, r"(?s)^(.*\S)\s*(?:_|\s[-|–—]\s)\s*([^_]+)$", 2)
-        title = F.when((head != "") & F.array_contains(sites, F.trim(tail)), head).otherwise(title)
-    return title
+#: Names of sites and sections that end a page's title.
+SITE_NAMES = ["新闻", "独家", "雅昌", "雅昌新闻", "雅昌艺术网", "艺术中国", "99艺术网", "资讯", "官网", "艺术资讯", "art news"]
+
+
+def strip_site_suffix(title: Column, *sites: Column, rounds: int = 4) -> Column:
+    """A title without the names of sites at its end: what follows the first separator from which at most 20 letters
+    without ``_`` are left (``__``, ``_``, or a bar or dash between blanks) goes while it is one of ``sites`` or SITE_NAMES, in any
+    case, at most ``rounds`` times."""
+    pattern = r"^(.*?)(?:__|_|\s+[-–—|]\s+)([^_]{1,20})$"
+    names = F.array_compact(F.array(*(F.lit(n) for n in SITE_NAMES), *(F.lower(F.trim(s)) for s in sites)))
+
+    def peel(state: Column, _: Column) -> Column:
+        head, tail = F.trim(F.regexp_extract(state, pattern, 1)), F.lower(F.trim(F.regexp_extract(state, pattern, 2)))
+        return F.when((head != "") & (tail != "") & F.array_contains(names, tail), head).otherwise(state)
+
+    whole = F.trim(title)
+    # once nothing is peeled, later rounds change nothing
+    return F.aggregate(F.array(*(F.lit(i) for i in range(rounds))), whole, peel)
 
 
 def has_cjk(x: Column) -> Column:
@@ -103,18 +114,14 @@ def tolerant_json(x: Column) -> Column:
     return F.try_parse_json(F.nullif(F.regexp_extract(x, r"(?s)(\{.*\})", 1), F.lit("")))
 
 
-def reference_marks(df: DataFrame, key: str, column: str) -> DataFrame:
-    """(key, pos, n, label) of the marks ``[[n:label]]`` of a text; a mark without a number or a label is none."""
-    marks = F.regexp_extract_all(column, F.lit(r"\[\[\s*([0-9]+\s*:[^\[\]]*[^\[\]\s][^\[\]]*)\]\]"), F.lit(1))
-    x = df.select(key, F.posexplode(marks).alias("pos", "m"))
-    return x.select(key, "pos", F.trim(F.substring_index("m", ":", 1)).cast("int").alias("n"), F.trim(F.regexp_replace("m", "^[^:]*:", "")).alias("label"))
-
-
 def english_name(name: Column, known: Column) -> Column:
-    """The known English name; else what stands in brackets in Latin letters; else the Latin words; else the name."""
-    inner = F.regexp_extract(name, r"[(（]\s*([A-Za-z][^)）]*?)\s*[)）]", 1)
-    latin = F.array_join(F.regexp_extract_all(name, F.lit(r"([A-Za-z][A-Za-z'.&-]*)"), F.lit(1)), " ")
-    return F.coalesce(present(known), present(inner), present(latin), name)
+    """A name without Chinese letters as it is; the known English name; the name without what stands in brackets, if no
+    Chinese letter is left; its parts, between blanks, that are Latin, if they have three letters or more; else the name."""
+    s, chinese = F.trim(F.coalesce(name, F.lit(""))), "[一-鿿]"
+    bare = F.trim(F.regexp_replace(s, "[(（][^)）]*[)）]", ""))
+    latin = F.array_join(F.filter(F.split(s, SPACE), lambda w: w.rlike(r"^[\x20-\x7E’&.·-]+$") & w.rlike("[A-Za-z]")), " ")
+    out = F.when((s == "") | ~s.rlike(chinese), s).when(known.isNotNull(), known)
+    return out.when((bare != "") & ~bare.rlike(chinese), bare).when(F.length(latin) >= 3, latin).otherwise(s)
 
 
 #: Where a page names its picture, in order.

@@ -31,16 +31,6 @@ def short_hashes(t):
     return t("part").select(F.col("p_partkey").alias("id"), hashing.short_id(x).alias("short"), hashing.times31(x).alias("times31"), hashing.djb2(x).alias("djb2"))
 
 
-_TITLES = [(1, "A show - Site"), (2, "A show_Site_domain.org"), (3, "A show | Other"), (4, "Site"), (5, None), (6, "A – b — Site"), (7, "x_Site - Site_Site_Site_Site"), (8, "plain")]
-_WANT = [(1, "A show"), (2, "A show"), (3, "A show | Other"), (4, "Site"), (5, None), (6, "A – b"), (7, "x_Site"), (8, "plain")]
-
-
-@query(f"SELECT id, title FROM {values(_WANT)} w(id, title)")
-def site_suffixes(t):
-    sites = F.array(F.lit("Site"), F.lit("domain.org"))
-    return rows(t, _TITLES, "id long, title string").select("id", text.strip_site_suffix(F.col("title"), sites).alias("title"))
-
-
 @query("""SELECT c_custkey AS id, substr((13000000000 + c_custkey * 7919)::VARCHAR, 1, 3) || '****' || substr((13000000000 + c_custkey * 7919)::VARCHAR, 8) AS phone,
 greatest(0, ceil(30 - (c_custkey % 400) / 10.0))::INTEGER AS days_left FROM customer""")
 def masks_and_days(t):
@@ -103,22 +93,6 @@ def tolerant_json(t):
     return rows(t, _JSON, "id long, x string").select("id", F.try_variant_get(v, "$.name", "string").alias("name"), F.try_variant_get(v, "$.a.b", "int").alias("b"))
 
 
-_MARKS = [(1, "See [[1:first]] and [[ 2 : second one ]]. End"), (2, "none"), (3, "[[x:bad]] [[3:]]"), (4, "[[4:a]][[5:b]]")]
-
-
-@query(f"""SELECT id, pos::INTEGER AS pos, n, label FROM {values([(1, 0, 1, 'first'), (1, 1, 2, 'second one'), (4, 0, 4, 'a'), (4, 1, 5, 'b')])} w(id, pos, n, label)""")
-def reference_marks(t):
-    return text.reference_marks(rows(t, _MARKS, "id long, x string"), "id", "x")
-
-
-_NAMES = [(1, "艺术学院 (Art Academy)", None), (2, "卢浮宫 Louvre Museum", None), (3, "故宫", "Palace Museum"), (4, "故宫", None), (5, "Plain", "")]
-
-
-@query(f"SELECT id, name FROM {values([(1, 'Art Academy'), (2, 'Louvre Museum'), (3, 'Palace Museum'), (4, '故宫'), (5, 'Plain')])} w(id, name)")
-def english_names(t):
-    return rows(t, _NAMES, "id long, zh string, known string").select("id", text.english_name(F.col("zh"), F.col("known")).alias("name"))
-
-
 _HTML = [(1, '<meta property="og:image" content="https://a/1.jpg"><img src="/2.jpg">'), (2, '<meta content="/3.jpg" property="og:image">'), (3, '<meta name="twitter:image" content="4.png">'), (4, '<p><img class="x" src="5.gif"></p>'), (5, "<p>no</p>"), (6, '<link rel="image_src" href="6.jpg">')]
 
 
@@ -141,11 +115,3 @@ _PATHS = [(1, "../b/c", "https://a.org/x/y/z?q"), (2, "./d", "https://a.org/x/")
 @query(f"SELECT id, full_url FROM {values([(1, 'https://a.org/x/b/c'), (2, 'https://a.org/x/d'), (3, 'https://a.org/'), (4, 'http://b.org/a/b'), (5, 'https://a.org/x?p=2'), (6, 'https://a.org/x?p=1#top'), (7, 'https://a.org/f..g/h.')])} w(id, full_url)")
 def resolved_urls(t):
     return rows(t, _PATHS, "id long, href string, base string").select("id", urls.resolve(F.col("href"), F.col("base")).alias("full_url"))
-
-
-@query("""SELECT s_suppkey AS id, CASE (day + s_suppkey) % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'c' END AS duty, ((s_suppkey * 31 + day) % 5)::INTEGER AS pick, (s_suppkey - day % 100 + 200) % 100 AS next_in FROM supplier, (SELECT date_diff('day', DATE '1970-01-01', DATE '2026-08-11') AS day)""")
-def duty_rota(t):
-    day = F.datediff(F.lit("2026-08-11").cast("date"), F.lit("1970-01-01").cast("date"))
-    k = F.col("s_suppkey")
-    duty = F.get(F.array(F.lit("a"), F.lit("b"), F.lit("c")), F.pmod(day + k, F.lit(3)).cast("int"))
-    return t("supplier").select(k.alias("id"), duty.alias("duty"), F.pmod(k * 31 + day, F.lit(5)).cast("int").alias("pick"), F.pmod(k - day % 100, F.lit(100)).alias("next_in"))
