@@ -124,19 +124,6 @@ def english_name(name: Column, known: Column) -> Column:
     return out.when((bare != "") & ~bare.rlike(chinese), bare).when(F.length(latin) >= 3, latin).otherwise(s)
 
 
-#: Where a page names its picture, in order.
-_COVERS = [
-    r"(?is)<meta[^>]+property=[\"']og:image(?::secure_url|:url)?[\"'][^>]+content=[\"']([^\"']+)", r"(?is)<meta[^>]+content=[\"']([^\"']+)[\"'][^>]+property=[\"']og:image[\"']",
-    r"(?is)<meta[^>]+name=[\"']twitter:image(?::src)?[\"'][^>]+content=[\"']([^\"']+)", r"(?is)<meta[^>]+content=[\"']([^\"']+)[\"'][^>]+name=[\"']twitter:image[\"']",
-    r"(?is)<link[^>]+rel=[\"']image_src[\"'][^>]+href=[\"']([^\"']+)", r"(?is)<img[^>]+src=[\"']([^\"']+)",
-]
-
-
-def cover(html: Column) -> Column:
-    """The picture that a page names first; null if it has none."""
-    return F.coalesce(*(present(F.regexp_extract(html, p, 1)) for p in _COVERS))
-
-
 def aligned(other: Column, own: Column) -> Column:
     """A list that goes beside another, only if it is as long and has no empty item; else null."""
     return F.when((F.size(other) == F.size(own)) & F.forall(other, lambda x: F.coalesce(x, F.lit("")) != ""), other)

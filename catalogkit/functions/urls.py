@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -44,24 +46,37 @@ def url_date(url: Column, as_of: str) -> Column:
     return F.when(day <= F.to_date(F.lit(as_of)), day)
 
 
+def bound(x: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that it names several times and that is computed once."""
+    return F.transform(F.array(x), f)[0]
+
+
 def without_dots(path: Column) -> Column:
     """A path with its ``.`` and ``..`` parts taken away; what would lead above the root stays at the root."""
-    parts = F.split(path, "/")
-    last = F.element_at(parts, -1)
-    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda acc, p: F.when(p == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(1)))).when(p == ".", acc).otherwise(F.concat(acc, F.array(p))))
-    return F.when(path.rlike(r"(?:^|/)\.\.?(?:/|$)"), F.concat(F.array_join(kept, "/"), F.when(last.isin(".", ".."), F.lit("/")).otherwise(F.lit("")))).otherwise(path)
+
+    def of(p: Column) -> Column:
+        parts = F.split(p, "/")
+        kept = F.aggregate(parts, F.array().cast("array<string>"), lambda acc, x: F.when(x == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(1)))).when(x == ".", acc).otherwise(F.concat(acc, F.array(x))))
+        return F.when(p.rlike(r"(?:^|/)\.\.?(?:/|$)"), F.concat(F.array_join(kept, "/"), F.when(F.element_at(parts, -1).isin(".", ".."), F.lit("/")).otherwise(F.lit("")))).otherwise(p)
+
+    return bound(path, of)
 
 
 def resolve(href: Column, base: Column) -> Column:
-    """An absolute url for a link."""
-    scheme, origin = F.regexp_extract(base, r"^(https?:)", 1), F.regexp_extract(base, r"^(https?://[^/?#]+)", 1)
-    bare = F.regexp_replace(base, r"[?#].*$", "")
-    folder = F.regexp_replace(bare, r"(^https?://[^/]+)$|/[^/]*$", "$1/")
-    full = F.when(href.rlike("^https?://"), href).when(F.startswith(href, F.lit("//")), F.concat(scheme, href)).when(F.startswith(href, F.lit("/")), F.concat(origin, href))
-    full = full.when(F.startswith(href, F.lit("?")), F.concat(bare, href)).when(F.startswith(href, F.lit("#")), F.concat(F.regexp_replace(base, "#.*$", ""), href)).otherwise(F.concat(folder, href))
-    host, tail = F.regexp_extract(full, r"^(https?://[^/?#]*)", 1), F.regexp_extract(full, r"([?#].*)$", 1)
-    path = F.substr(full, F.length(host) + 1, F.length(full) - F.length(host) - F.length(tail))
-    return F.concat(host, without_dots(path), tail)
+    """An absolute url for a link; one with a scheme of its own stays as it is. Each part is computed once."""
+
+    def joined(h: Column, b: Column) -> Column:
+        bare = F.regexp_replace(b, r"[?#].*$", "")
+        full = F.when(h.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), h).when(F.startswith(h, F.lit("//")), F.concat(F.regexp_extract(b, r"^(https?:)", 1), h)).when(F.startswith(h, F.lit("/")), F.concat(F.regexp_extract(b, r"^(https?://[^/?#]+)", 1), h))
+        full = full.when(F.startswith(h, F.lit("?")), F.concat(bare, h)).when(F.startswith(h, F.lit("#")), F.concat(F.regexp_replace(b, "#.*$", ""), h))
+        return full.otherwise(F.concat(F.regexp_replace(bare, r"(^https?://[^/]+)$|/[^/]*$", "$1/"), h))
+
+    def plain(full: Column) -> Column:
+        host, tail = F.regexp_extract(full, r"^(https?://[^/?#]*)", 1), F.regexp_extract(full, r"([?#].*)$", 1)
+        path = F.substr(full, F.length(host) + 1, F.length(full) - F.length(host) - F.length(tail))
+        return F.when(host == "", full).otherwise(F.concat(host, without_dots(path), tail))
+
+    return bound(F.struct(href.alias("h"), base.alias("b")), lambda x: bound(joined(x["h"], x["b"]), plain))
 
 
 #: Hosts that are no sources, by any part of the address.

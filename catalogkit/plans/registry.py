@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import content, dictionaries, feeds, harvests, people, records, scalars, tables, verification, weekly, writes  # noqa: F401
+from . import content, dictionaries, feeds, harvests, people, pictures, records, scalars, tables, verification, weekly, writes  # noqa: F401
 from .base import QUERIES, SQL
 
 

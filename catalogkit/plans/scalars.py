@@ -93,14 +93,6 @@ def tolerant_json(t):
     return rows(t, _JSON, "id long, x string").select("id", F.try_variant_get(v, "$.name", "string").alias("name"), F.try_variant_get(v, "$.a.b", "int").alias("b"))
 
 
-_HTML = [(1, '<meta property="og:image" content="https://a/1.jpg"><img src="/2.jpg">'), (2, '<meta content="/3.jpg" property="og:image">'), (3, '<meta name="twitter:image" content="4.png">'), (4, '<p><img class="x" src="5.gif"></p>'), (5, "<p>no</p>"), (6, '<link rel="image_src" href="6.jpg">')]
-
-
-@query(f"SELECT id, cover FROM {values([(1, 'https://a/1.jpg'), (2, '/3.jpg'), (3, '4.png'), (4, '5.gif'), (5, None), (6, '6.jpg')])} w(id, cover)")
-def covers(t):
-    return rows(t, _HTML, "id long, html string").select("id", text.cover(F.col("html")).alias("cover"))
-
-
 @query("""SELECT doc_id, CASE WHEN len(regexp_extract_all(coalesce(text, ''), '[^ ]+')) % 3 = 0 THEN array_to_string(list_transform(regexp_extract_all(substr(coalesce(text, ''), 1, 60), '[a-z]+'), lambda w: upper(w)), ',') END AS names FROM documents""")
 def aligned_lists(t):
     own = F.regexp_extract_all(F.substring(F.coalesce("text", F.lit("")), 1, 60), F.lit("([a-z]+)"), F.lit(1))
