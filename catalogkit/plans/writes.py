@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..operators import commands
+from ..streaming import online
 from .base import derived, plain, query
 
 #: Events as commands on works, each user's and the users' next to it, with preconditions that some miss.
@@ -35,3 +36,22 @@ def work_commands(t):
 def submission_commands(t):
     """Submissions, which can be decided again."""
     return commands.decided(derived(t, _COMMANDS), commands.submissions(), at="ts")
+
+
+#: Events as searches: some asked, some ending, by few queries of two channels.
+_SEARCHES = """SELECT event_id AS id, ts, CASE WHEN user_id % 2 = 0 THEN 'news:' ELSE 'jobs:' END || CAST(user_id % 30 AS STRING) AS q, CASE event_type WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'failed' ELSE 'ask' END AS kind, CASE WHEN user_id % 3 = 0 THEN 'x' ELSE 'y' END AS source FROM {events}"""
+
+
+@query(f"""WITH RECURSIVE s AS MATERIALIZED (SELECT *, epoch_us(ts) AS us, row_number() OVER (PARTITION BY q ORDER BY ts, id) AS rn FROM ({plain(_SEARCHES)})),
+w(q, rn, id, kind, running, done, verdict) AS (SELECT DISTINCT q, 0::BIGINT, NULL::BIGINT, '', false, -4611686018427387904, '' FROM s
+UNION ALL SELECT s.q, s.rn, s.id, s.kind, s.kind = 'ask' AND (w.running OR s.us - w.done >= 7200000000), CASE WHEN s.kind = 'done' THEN s.us ELSE w.done END, CASE WHEN s.us - w.done < 7200000000 THEN 'recent' WHEN w.running THEN 'running' ELSE 'run' END FROM w JOIN s ON s.q = w.q AND s.rn = w.rn + 1)
+SELECT id, verdict FROM w WHERE kind = 'ask'""")
+def search_gate(t):
+    """Searches that run, and those held back since the same one runs or has just succeeded (here within two hours)."""
+    return online.gated(derived(t, _SEARCHES), "q", "id", "ts", "kind", keep=120 * online.MINUTE)
+
+
+@query()
+def paid_searches(t):
+    """Searches answered from a source's cache of 600 answers, paid for, or over the day's budget."""
+    return online.paid(derived(t, _SEARCHES), "source", "id", "ts", "q", budget=12)
