@@ -15,7 +15,6 @@ import re
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -45,25 +44,6 @@ class Pair:
     most_stretches: int = 300_000
 
 
-def merge(ends_a: list[int], ends_b: list[int]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """(links, groups) of two lists of ends with the same last one: links are pairs of places, groups the number of tokens
-    of either side up to each common end."""
-    i = j = 0
-    links, groups, n, m = [], [], len(ends_a), len(ends_b)
-    while i < n and j < m:
-        links.append((i, j))
-        a, b = ends_a[i], ends_b[j]
-        if a == b:
-            i += 1
-            j += 1
-            groups.append((i, j))
-        elif a < b:
-            i += 1
-        else:
-            j += 1
-    return links, groups
-
-
 def byte_letters() -> dict[str, int]:
     """The letter that a byte-level vocabulary writes for each byte: printable Latin-1 for itself, the others in turn from
     U+0100 on."""
@@ -74,7 +54,8 @@ def byte_letters() -> dict[str, int]:
 
 #: Letters of which Latin-1 has one class with both libraries, and marks that end a word.
 _LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ÿ"
-_PLAIN = re.compile(f"([{_LETTERS}]+)([!,.:;?]*)")
+_MARKS = "!,.:;?"
+_PLAIN = re.compile(f"([{_LETTERS}]+)([{_MARKS}]*)")
 
 
 class Aligner(dict):
@@ -99,6 +80,9 @@ class Aligner(dict):
         self.bytes_b = [bytes([int(self.b.id_to_piece(i)[3:5], 16)]) if self.b.is_byte(i) else self.b.id_to_piece(i).replace("▁", " ").encode() for i in range(self.b.get_piece_size())]
         if max(len(self.bytes_a), len(self.bytes_b)) > 1 << _ID_BITS:
             raise ValueError("ids take 16 bits")
+        pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size()) if not self.b.is_byte(i) and not self.b.is_control(i) and not self.b.is_unknown(i)]
+        self.apart = not any(re.search(f"[{_MARKS}]", p) and re.search(f"[{_LETTERS}]", p) for p in pieces)
+        self.marks: dict[str, tuple] = {}
         self.digits = [str(i) for i in range(max(len(self.bytes_a), len(self.bytes_b)))]
 
     def _ids_a(self, stretch: str) -> list[int]:
@@ -111,32 +95,63 @@ class Aligner(dict):
         return ids + [t.id for t in self.model.tokenize(plain[2])] if plain[2] else ids
 
     def learn(self, stretches: list[str]) -> list[str]:
-        """Meet stretches that are new; those too long to be kept come back."""
-        again = [s for s in stretches if s not in self.older]
+        """Meet stretches that are new; those too long to be kept come back. A word with marks after it is the word's
+        tokens and the marks', if no token of the second side has both letters and marks."""
+        again, marked = [], []
         for s in stretches:
             if s in self.older:
                 self[s] = self.older[s]
-        long = []
+            elif self.apart and s[-1] in _MARKS and (plain := _PLAIN.fullmatch(s)):
+                marked.append((s, plain[1], plain[2]))
+            else:
+                again.append(s)
+        words = {w for _, w, _ in marked if w not in self}
+        for w in words:
+            if w in self.older:
+                self[w] = self.older[w]
+            else:
+                again.append(w)
+        again = list(dict.fromkeys(again))
         for s, b in zip(again, self.b.encode(again, num_threads=1) if again else []):
             self[s] = self.align(s, self._ids_a(s), b)
-            if len(s) > KEPT_CHARS:
-                long.append(s)
-        return long
-
-    def align(self, stretch: str, a: list[int], b: list[int]) -> tuple | None:
+        for s, word, marks in marked:
+            after = self.marks.get(marks)
+            if after is None:
+                skip = len(self.b.encode("a"))
+                after = self.marks[marks] = self.align(marks, [t.id for t in self.model.tokenize(marks)], self.b.encode("a" + marks)[skip:], "")
+            one = self[word]
+            self[s] = (one[0] + after[0], one[1] + after[1], one[2] + after[2], f"{one[3]};{after[3]}", one[4] + after[4]) if one and after else None
+        return [s for s in stretches if len(s) > KEPT_CHARS]
+
+    def align(self, stretch: str, a: list[int], b: list[int], before: str = " ") -> tuple | None:
+        """Two pointers walk over the ends of both sides' tokens: each step is a link, and where both ends meet a group ends."""
         bytes_a, bytes_b, digits = self.bytes_a, self.bytes_b, self.digits
-        of_a, of_b, want = [bytes_a[i] for i in a], [bytes_b[i] for i in b], b" " + stretch.encode()
+        want = (before + stretch).encode()
+        of_a, of_b = [bytes_a[x] for x in a], [bytes_b[x] for x in b]
         if b"".join(of_a) != want or b"".join(of_b) != want:
             return None
-        links, groups = merge(list(accumulate(map(len, of_a))), list(accumulate(map(len, of_b))))
-        text, i, j = [], 0, 0
-        for k, m in groups:
-            if k - i == 1 == m - j:
-                text.append(f"{digits[a[i]]}|{digits[b[j]]}")
+        links, text, whole = array("I"), [], len(want)
+        i = j = first_a = first_b = 0
+        end_a, end_b = len(of_a[0]), len(of_b[0])
+        while True:
+            links.append(a[i] << _ID_BITS | b[j])
+            if end_a == end_b:
+                if i == first_a and j == first_b:
+                    text.append(f"{digits[a[i]]}|{digits[b[j]]}")
+                else:
+                    text.append(",".join([digits[x] for x in a[first_a : i + 1]]) + "|" + ",".join([digits[x] for x in b[first_b : j + 1]]))
+                if end_a == whole:
+                    break
+                i, j = i + 1, j + 1
+                first_a, first_b = i, j
+                end_a, end_b = end_a + len(of_a[i]), end_b + len(of_b[j])
+            elif end_a < end_b:
+                i += 1
+                end_a += len(of_a[i])
             else:
-                text.append(",".join([digits[x] for x in a[i:k]]) + "|" + ",".join([digits[x] for x in b[j:m]]))
-            i, j = k, m
-        return len(a), len(b), len(groups), ";".join(text), array("I", [(a[i] << _ID_BITS) | b[j] for i, j in links]).tobytes()
+                j += 1
+                end_b += len(of_b[j])
+        return len(a), len(b), len(text), ";".join(text), links.tobytes()
 
     def document(self, text: str | None) -> tuple:
         """(n_a, n_b, n_groups, n_links, groups_sha256, distinct pairs, times of each)."""

@@ -201,12 +201,11 @@ def test_alignment_of_a_long_text_in_steps(monkeypatch):
     parts = mine.document(text)
     assert whole[:5] == parts[:5] and (whole[5] == parts[5]).all() and (whole[6] == parts[6]).all()
     assert mine.document("a▁b " + text)[0] == 0
+    fresh = alignment.Aligner(PAIR)
+    fresh.apart = False  # every stretch by itself gives the same
+    marked = "word, word. Word?! naïve; été: x. ... a,b ,c"
+    assert fresh.document(marked)[:5] == mine.document(marked)[:5]
 
 
 def test_alignment_of_nothing(no_docs):
     assert alignment.align(no_docs, PAIR).collect() == []
-
-
-def test_merge_of_ends():
-    links, groups = alignment.merge([1, 4, 6], [2, 4, 5, 6])
-    assert links == [(0, 0), (1, 0), (1, 1), (2, 2), (2, 3)] and groups == [(2, 2), (3, 4)]
