@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from ..operators import commands
+from pyspark.sql import functions as F
+
+from ..functions import urls
+from ..operators import commands, submission
 from ..streaming import online
 from .base import derived, plain, query
 
@@ -55,3 +58,36 @@ def search_gate(t):
 def paid_searches(t):
     """Searches answered from a source's cache of 600 answers, paid for, or over the day's budget."""
     return online.paid(derived(t, _SEARCHES), "source", "id", "ts", "q", budget=12)
+
+
+#: Documents as submissions of all kinds, with faults of all sorts.
+_SUBMITTED = """SELECT doc_id AS id, CASE doc_id % 3 WHEN 0 THEN 'job' WHEN 1 THEN 'news' ELSE NULL END AS kind, CASE WHEN doc_id % 19 = 0 THEN ' x ' ELSE ' ' || substr(coalesce(text, ''), 1, 40 + doc_id % 110) END AS title, CASE WHEN doc_id % 13 = 0 THEN '' ELSE 'Org ' || source END AS org, CASE WHEN doc_id % 17 = 0 THEN 's' ELSE source END AS source,
+CASE WHEN doc_id % 14 = 0 THEN ' ' ELSE 'seen at ' || source END AS source_note, CASE doc_id % 4 WHEN 0 THEN 'prize' WHEN 1 THEN 'residency' WHEN 2 THEN 'exhibition' ELSE 'else' END AS category, CASE WHEN doc_id % 2 = 0 THEN 'full-time' ELSE 'other' END AS employment_type, lang AS city, CASE WHEN doc_id % 5 = 0 THEN '' ELSE 'Land' END AS country,
+CASE WHEN doc_id % 6 = 0 THEN NULL ELSE '5000 a month' END AS salary, CASE doc_id % 8 WHEN 0 THEN '2026-02-30' WHEN 1 THEN '2026/01/02' WHEN 2 THEN '2027-05-06' WHEN 3 THEN ' 2025-05-06 ' ELSE '' END AS deadline, coalesce(text, '') AS summary,
+CASE doc_id % 7 WHEN 0 THEN '' WHEN 1 THEN 'ftp://a.org/x' WHEN 2 THEN 'https://localhost/x' WHEN 3 THEN 'https://www.zhihu.com/q' ELSE ' HTTPS://' || source || '.example.org/' || CAST(doc_id AS STRING) END AS url FROM {documents}"""
+
+
+def _checked_sql() -> str:
+    f = submission.FAULTS
+    host = r"regexp_extract(regexp_replace(lower(regexp_extract(url, '(?i)^https?://(?:[^/?#@]*@)?([^/?#]*)', 1)), '^\[|\]$', '', 'g'), '^([^:]*)', 1)"
+    unsafe = rf"({host} IN ('', 'localhost') OR regexp_matches({host}, '\.(?:local|internal|lan|home)$') OR regexp_matches({host}, '^[0-9]{{1,3}}(?:\.[0-9]{{1,3}}){{3}}$') OR regexp_matches(url, '{urls.BLOCKED}'))"
+    bad = lambda label: f"CASE WHEN NOT regexp_matches(url, '(?i)^https?://.{{4,300}}$') THEN '{label}{submission.NO_SCHEME}' WHEN {unsafe} THEN '{submission.UNUSABLE}' END"
+    j, n, o = f["job"], f["news"], f["opp"]
+    trimmed = ", ".join(f"trim(coalesce({c}, '')) AS {c}" for c in ("title", "org", "source", "source_note", "category", "employment_type", "city", "country", "salary", "deadline", "summary", "url"))
+    return f"""WITH s AS (SELECT id, coalesce(kind, 'opp') AS kind, {trimmed} FROM ({plain(_SUBMITTED)})),
+e AS (SELECT *, coalesce(CASE WHEN deadline = '' THEN NULL WHEN NOT regexp_matches(deadline, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}$') THEN '{submission.DATE_FORM}' WHEN TRY_CAST(deadline AS DATE) IS NULL THEN '{submission.DATE_NONE}' END, CASE kind
+WHEN 'job' THEN CASE WHEN length(title) NOT BETWEEN 2 AND 80 THEN '{j[0]}' WHEN length(org) NOT BETWEEN 2 AND 80 THEN '{j[1]}' WHEN url = '' THEN '{j[2]}' ELSE {bad(j[3])} END
+WHEN 'news' THEN CASE WHEN length(title) NOT BETWEEN 4 AND 120 THEN '{n[0]}' WHEN length(source[1:40]) < 2 THEN '{n[1]}' WHEN url = '' THEN '{n[2]}' ELSE {bad(n[3])} END
+ELSE CASE WHEN length(title) NOT BETWEEN 2 AND 120 THEN '{o[0]}' WHEN length(org) NOT BETWEEN 2 AND 80 THEN '{o[1]}' WHEN category NOT IN ('prize', 'residency', 'exhibition') THEN '{o[2]}' WHEN length(source_note[1:150]) < 2 THEN '{o[3]}' WHEN url <> '' THEN {bad(o[4])} END END) AS error FROM s)
+SELECT id, error, CASE WHEN error IS NULL THEN title END AS kept_title, CASE WHEN error IS NULL AND kind <> 'news' THEN org END AS kept_org, CASE WHEN error IS NULL AND kind <> 'news' THEN nullif(concat_ws(' ', nullif(city, ''), nullif(country, '')), '') END AS kept_place,
+CASE WHEN error IS NULL THEN CASE kind WHEN 'news' THEN source[1:40] WHEN 'opp' THEN source_note[1:150] END END AS kept_source, CASE WHEN error IS NULL THEN CASE kind WHEN 'opp' THEN category WHEN 'job' THEN CASE WHEN employment_type = 'full-time' THEN employment_type END END END AS kept_type,
+CASE WHEN error IS NULL AND kind = 'job' THEN nullif(salary, '') END AS kept_salary, CASE WHEN error IS NULL THEN CASE WHEN kind = 'news' AND deadline > '2026-08-11' THEN '2026-08-11' ELSE nullif(deadline, '') END END AS kept_day,
+CASE WHEN error IS NULL THEN sha256(coalesce(summary[1:500], '')) END AS summary, CASE WHEN error IS NULL THEN nullif(url, '') END AS kept_url FROM e"""
+
+
+@query(_checked_sql())
+def submission_checks(t):
+    """Submissions checked by kind, with the first fault or what is kept."""
+    c = submission.checked(derived(t, _SUBMITTED), "2026-08-11", ["prize", "residency", "exhibition"], ["full-time"])
+    summary = F.when(F.col("error").isNull(), F.sha2(F.coalesce("kept_summary", F.lit("")), 256)).alias("summary")
+    return c.select("id", "error", "kept_title", "kept_org", "kept_place", "kept_source", "kept_type", "kept_salary", "kept_day", summary, "kept_url")
