@@ -78,6 +78,15 @@ def test_fingerprints_tell_their_likeness(awkward):
         assert size(a) <= r.n_chars * 4
 
 
+@pytest.mark.parametrize("per_bucket", [3, 1000])
+def test_fingerprints_are_likened_to_the_next_document(awkward, per_bucket):
+    rows = sorted(((d, t or "") for d, t in pairs(awkward)), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    sets = [fingerprints.chunk_set(t) for _, t in rows]
+    want = sorted(((d, len(t), round(fingerprints.likeness(sets[i], sets[(i + 1) % len(rows)]), 9)) for i, (d, t) in enumerate(rows)), key=repr)
+    got = fingerprints.fingerprint_documents(awkward, rows_per_bucket=per_bucket).select("doc_id", "n_chars", "near_next").collect()
+    assert sorted(((r.doc_id, r.n_chars, round(r.near_next, 9)) for r in got), key=repr) == want
+
+
 def plain_chunks(raw: bytes) -> list[bytes]:
     """The chunks of a text, byte by byte."""
     out, begin, h = [], 0, 0
