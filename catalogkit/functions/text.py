@@ -72,8 +72,16 @@ def html_to_text(html: Column) -> Column:
 
 
 def apply_signal(x: Column) -> Column:
-    """Whether a text has a word by which one can apply for something."""
-    return F.coalesce(x, F.lit("")).rlike("(?iu)" + "|".join(APPLY_SIGNALS))
+    """Whether a text has a word by which one can apply for something, in any case. The text is lower-cased once."""
+    terms = [F.lit(w.lower()) for w in APPLY_SIGNALS]
+
+    def held(t: Column) -> Column:
+        found = F.lit(False)
+        for w in terms:
+            found = found | F.contains(t, w)
+        return found
+
+    return F.transform(F.array(F.lower(F.coalesce(x, F.lit("")))), held)[0]
 
 
 def slug(x: Column, default: str = "item") -> Column:
