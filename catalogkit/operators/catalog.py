@@ -12,11 +12,14 @@ from .scratch import fixed
 
 @dataclass
 class CatalogQuery:
-    """A browse state. any: column -> values of which one must match; every: boolean columns that must all be true;
-    keyword: text that the searched columns hold; pinned: ids that pass all facets but ``visible``."""
+    """A browse state. any: column -> values of which one must match; holds: list column -> a value that it must hold; every:
+    boolean columns that must all be true; keyword: text that the searched columns hold; pinned: ids that pass all facets
+    but ``visible`` and ``favourites``, the ids to which the view is bounded, if given."""
 
     visible: Column | None = None
+    favourites: DataFrame | None = None
     any: dict[str, list] = field(default_factory=dict)
+    holds: dict[str, object] = field(default_factory=dict)
     every: list[str] = field(default_factory=list)
     keyword: str = ""
     searched: list[str] = field(default_factory=list)
@@ -28,6 +31,8 @@ class CatalogQuery:
         for c, values in self.any.items():
             if values:
                 cond = cond & F.col(c).isin(values)
+        for c, value in self.holds.items():
+            cond = cond & F.coalesce(F.array_contains(c, value), F.lit(False))
         for c in self.every:
             cond = cond & F.coalesce(F.col(c), F.lit(False))
         if self.keyword:
@@ -36,6 +41,8 @@ class CatalogQuery:
             cond = cond | F.col(self.id).isin(self.pinned)
         if self.visible is not None:
             df = df.where(self.visible)
+        if self.favourites is not None:
+            df = df.join(self.favourites.select(self.id).distinct(), self.id, "left_semi")
         return df.where(cond).withColumn("pinned", F.col(self.id).isin(self.pinned) if self.pinned else F.lit(False))
 
 
@@ -87,14 +94,17 @@ def numbered(df: DataFrame, order: list, size: int) -> DataFrame:
 
 def official_url(df_url: str, df_official: str, third_party: list[str], trusted: list[str]) -> Column:
     """Where a record leads: its official url, then its own, if the organiser's; then either on a trusted platform."""
-    from ..functions.urls import host_of, suffixes
+    from ..functions.urls import bound, host_of, suffixes
 
-    def within(url: Column, domains: list[str]) -> Column:
-        return F.coalesce(F.arrays_overlap(suffixes(host_of(url)), F.array(*map(F.lit, domains))), F.lit(False))
+    def found(r: Column) -> Column:
+        within = lambda domains, of: F.coalesce(F.arrays_overlap(of, F.array(*map(F.lit, domains))), F.lit(False))
+        foreign = [*third_party, *trusted]
+        own = F.when(~within(foreign, r["b_hosts"]), r["b"])
+        return F.coalesce(F.when(~within(foreign, r["a_hosts"]), r["a"]), own, F.when(within(trusted, r["a_hosts"]), r["a"]), F.when(within(trusted, r["b_hosts"]), r["b"]))
 
+    hosts = lambda url: suffixes(host_of(url))
     official, own = F.nullif(F.col(df_official), F.lit("")), F.nullif(F.col(df_url), F.lit(""))
-    foreign = lambda u: within(u, [*third_party, *trusted])
-    return F.coalesce(F.when(~foreign(official), official), F.when(~foreign(own), own), F.when(within(official, trusted), official), F.when(within(own, trusted), own))
+    return bound(F.struct(official.alias("a"), own.alias("b"), hosts(official).alias("a_hosts"), hosts(own).alias("b_hosts")), found)
 
 
 def fully_free(apply_free: Column, fee_required: Column) -> Column:

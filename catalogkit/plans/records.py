@@ -119,6 +119,20 @@ def catalog_browse(t):
     return q.select("id", "pinned", "state", "rank", F.col("position").cast("long").alias("position"))
 
 
+@query(f"""WITH {_REC}, v AS (SELECT *, {_STATE} AS state, id IN (15, 48, 63) AS pinned FROM rec WHERE {_SHOWN} AND owner IN (SELECT c_custkey FROM customer WHERE c_nationkey % 2 = 0))
+SELECT id, pinned FROM v WHERE pinned OR (state <> 'upcoming' AND NOT (coalesce(trust = 'user', false) OR coalesce(via = 'submit', false)) AND (id % 3 = 1 OR id % 5 = 1) AND owner % 4 IN (0, 2) AND coalesce(free AND NOT required, false) AND trust IN ('verified', 'auto'))""")
+def catalog_facets(t):
+    """Browsing what a person likes by tag, kind of organiser, provenance, trust, and whether it is free of charge."""
+    r = _stated(_records(t)).withColumn("tags", F.array(F.concat(F.lit("a"), F.col("id") % 3), F.when(F.col("id") % 5 == 1, F.lit("a1")))).withColumn("org_type", F.col("owner") % 4)
+    by_user = F.coalesce(F.col("trust") == "user", F.lit(False)) | F.coalesce(F.col("via") == "submit", F.lit(False))
+    r = r.withColumn("by_user", by_user).withColumn("fully_free", catalog.fully_free(F.col("free"), F.col("required")))
+    shown = F.coalesce(F.col("status") != "dead", F.lit(True)) & (_official().isNotNull() | F.coalesce(F.col("trust") == "user", F.lit(False)))
+    liked = t("customer").where("c_nationkey % 2 = 0").select(F.col("c_custkey").alias("owner"))
+    liked = r.join(liked, "owner", "left_semi").select("id")
+    q = catalog.CatalogQuery(visible=shown, favourites=liked, any={"state": ["open", "past"], "by_user": [False], "org_type": [0, 2], "trust": ["verified", "auto"]}, holds={"tags": "a1"}, every=["fully_free"], pinned=[15, 48, 63])
+    return q.apply(r).select("id", "pinned")
+
+
 @query(f"WITH {_REC}, s AS (SELECT id, ord, coalesce(nullif(title_zh, ''), nullif(title_en, ''), '') AS shown FROM rec) SELECT id, shown FROM s WHERE contains(lower(shown), 'triennial 7') ORDER BY ord LIMIT 5")
 def title_suggestion(t):
     return catalog.suggestions(_records(t), ["title_zh", "title_en"], "Triennial 7", ["ord"]).select("id", "shown")
