@@ -118,8 +118,11 @@ def mask_phone(x: Column) -> Column:
 
 
 def tolerant_json(x: Column) -> Column:
-    """The JSON from the first to the last brace of a text, as a variant; null where there is none that is whole."""
-    return F.try_parse_json(F.nullif(F.regexp_extract(x, r"(?s)(\{.*\})", 1), F.lit("")))
+    """The JSON from the first to the last brace of a text, as a variant; null where that is not one whole value (the parser
+    alone would take the first of several)."""
+    inner = F.nullif(F.regexp_extract(x, r"(?s)(\{.*\})", 1), F.lit(""))
+    one = F.try_parse_json(F.concat(F.lit("["), inner, F.lit("]")))
+    return F.when(F.try_variant_get(one, "$[1]", "variant").isNull(), F.try_variant_get(one, "$[0]", "variant"))
 
 
 def english_name(name: Column, known: Column) -> Column:

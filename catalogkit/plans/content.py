@@ -150,16 +150,18 @@ def url_normalize(t):
     return u.select("id", urls.normal_url(F.col("url")).alias("normal"))
 
 
-_DATED = [(1, "https://a.b/news/20260131/x"), (2, "https://a.b/2026/1/5/x"), (3, "https://a.b/2026/13/5/x"), (4, "https://a.b/2027/01/05"), (5, "https://a.b/x"), (6, "https://a.b/20260230"), (7, "https://a.b/2025-7-09/y")]
+_DATED = """SELECT page_id AS id, coalesce(url, '') || CASE page_id % 6 WHEN 0 THEN '/20' || CAST(20 + page_id % 9 AS STRING) || lpad(CAST(page_id % 14 AS STRING), 2, '0') || lpad(CAST(page_id % 33 AS STRING), 2, '0') || '/x'
+WHEN 1 THEN '/20' || CAST(20 + page_id % 9 AS STRING) || '/' || CAST(page_id % 14 AS STRING) || '/' || CAST(page_id % 33 AS STRING) WHEN 2 THEN '/20' || CAST(20 + page_id % 9 AS STRING) || '-' || lpad(CAST(page_id % 14 AS STRING), 2, '0') || '-' || CAST(page_id % 33 AS STRING) || 'y'
+WHEN 3 THEN '/20' || CAST(20 + page_id % 9 AS STRING) || '-' || CAST(page_id % 14 AS STRING) || '/' || lpad(CAST(page_id % 33 AS STRING), 2, '0') || '?q' ELSE '/x' END AS url FROM {pages}"""
 
 
-@query(f"""WITH v AS (SELECT * FROM {values(_DATED)} v(id, url)),
+@query(f"""WITH v AS ({plain(_DATED)}),
 p AS (SELECT id, regexp_extract(url, '/(20[0-9][0-9])([01][0-9])([0-3][0-9])(?:[^0-9]|$)', 0) AS a, regexp_extract(url, '/(20[0-9][0-9])[/-]([0-9]{{1,2}})[/-]([0-9]{{1,2}})(?:[^0-9]|$)', 1) AS y,
 regexp_extract(url, '/(20[0-9][0-9])[/-]([0-9]{{1,2}})[/-]([0-9]{{1,2}})(?:[^0-9]|$)', 2) AS m, regexp_extract(url, '/(20[0-9][0-9])[/-]([0-9]{{1,2}})[/-]([0-9]{{1,2}})(?:[^0-9]|$)', 3) AS d FROM v),
 x AS (SELECT id, TRY_CAST(CASE WHEN a <> '' THEN a[2:5] || '-' || a[6:7] || '-' || a[8:9] WHEN y <> '' THEN y || '-' || lpad(m, 2, '0') || '-' || lpad(d, 2, '0') END AS DATE) AS day FROM p)
 SELECT id, strftime(CASE WHEN day <= DATE '2026-08-11' THEN day END, '%Y-%m-%d') AS day FROM x""")
 def url_date(t):
-    return rows(t, _DATED, "id long, url string").select("id", F.date_format(urls.url_date(F.col("url"), "2026-08-11"), "yyyy-MM-dd").alias("day"))
+    return derived(t, _DATED).select("id", F.date_format(urls.url_date(F.col("url"), "2026-08-11"), "yyyy-MM-dd").alias("day"))
 
 
 _SCORES = {"/en/": 3, "example.com": 2, "7": 1}
@@ -276,11 +278,11 @@ def keyword_search(t):
     return d.select("doc_id", "source", F.md5(F.regexp_replace(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", "-"), "^-+|-+$", "")).alias("slug_md5"), "n_chars")
 
 
-_NEW = [(1, "a", "A", "甲", "sig-a"), (2, "b", None, None, "old"), (3, "c", "C", "丙", "x")]
-_OLD = [(1, "a", "A1"), (2, "b", "B1"), (3, "z", "Z1")]
+_NEW = "SELECT c_custkey AS id, c_name || CASE WHEN c_custkey % 3 = 0 THEN ' new' ELSE '' END AS src, CASE c_custkey % 4 WHEN 0 THEN 'T ' || c_mktsegment WHEN 1 THEN '' ELSE NULL END AS tr FROM {customer}"
+_OLD = "SELECT c_custkey AS id, c_name AS src, 'old ' || c_mktsegment AS tr FROM {customer} WHERE c_nationkey <> 7"
 
 
-@query(f"""SELECT n.id, n.src, coalesce(nullif(n.tr, ''), CASE WHEN n.src = o.src THEN o.tr END) AS tr FROM {values([(i, s, t) for i, s, t, *_ in _NEW])} n(id, src, tr) LEFT JOIN {values(_OLD)} o(id, src, tr) USING (id)""")
+@query(f"""SELECT n.id, n.src, coalesce(nullif(n.tr, ''), CASE WHEN n.src = o.src THEN o.tr END) AS tr FROM ({plain(_NEW)}) n LEFT JOIN ({plain(_OLD)}) o USING (id)""")
 def translation_carry(t):
-    n, o = rows(t, [(i, s, x) for i, s, x, *_ in _NEW], "id long, src string, tr string"), rows(t, _OLD, "id long, osrc string, otr string")
+    n, o = derived(t, _NEW), derived(t, _OLD).select("id", F.col("src").alias("osrc"), F.col("tr").alias("otr"))
     return n.join(o, "id", "left").select("id", "src", F.coalesce(text.present(F.col("tr")), F.when(F.col("src") == F.col("osrc"), F.col("otr"))).alias("tr"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import hashing, text, urls
 from ..operators import geo
-from .base import derived, plain, query, rows, values
+from .base import derived, plain, query
 from .derived import EXTRACTS, RECORDS
 
 _REC = f"rec AS ({plain(RECORDS)})"
@@ -75,22 +75,26 @@ def geo_fill_stats(t):
     return geo.fill_stats(f, "method", F.col("missing"), F.col("still"))
 
 
-_IPS = [(1, "10.0.0.1"), (2, "::ffff:1.2.3.4"), (3, "256.1.1.1"), (4, None), (5, "fe80::1"), (6, " 8.8.8.8 "), (7, "172.20.3.4"), (8, "192.168.0.9")]
+_IPS = """SELECT event_id AS id, CASE event_id % 12 WHEN 0 THEN '10.0.0.' || CAST(event_id % 256 AS STRING) WHEN 1 THEN '::ffff:1.2.3.' || CAST(event_id % 300 AS STRING) WHEN 2 THEN CAST(event_id % 300 AS STRING) || '.1.1.1' WHEN 3 THEN NULL WHEN 4 THEN 'fe80::1' WHEN 5 THEN ' 8.8.8.' || CAST(event_id % 99 AS STRING) || ' '
+WHEN 6 THEN '172.' || CAST(event_id % 64 AS STRING) || '.3.4' WHEN 7 THEN '192.168.' || CAST(event_id % 256 AS STRING) || '.9' WHEN 8 THEN '100.' || CAST(event_id % 256 AS STRING) || '.0.1' WHEN 9 THEN '169.254.1.' || CAST(event_id % 256 AS STRING) WHEN 10 THEN CAST(200 + event_id % 60 AS STRING) || '.5.6.7' ELSE '1.2.3' END AS x FROM {events}"""
 
 
-@query(f"""SELECT id, ip, reserved FROM {values([(1, 167772161, True), (2, 16909060, False), (3, None, None), (4, None, None), (5, None, None), (6, 134744072, False), (7, 2886992644, True), (8, 3232235529, True)])} w(id, ip, reserved)""")
+@query(rf"""WITH p AS (SELECT id, regexp_replace(trim(x), '^::ffff:', '') AS a FROM ({plain(_IPS)})),
+n AS (SELECT id, CASE WHEN regexp_matches(a, '^[0-9]{{1,3}}(?:\.[0-9]{{1,3}}){{3}}$') AND len(list_filter(string_split(a, '.'), lambda o: o::INTEGER > 255)) = 0 THEN list_reduce(list_transform(string_split(a, '.'), lambda o: o::BIGINT), lambda s, o: s * 256 + o) END AS ip FROM p)
+SELECT id, ip, ip // 16777216 IN (0, 10, 127) OR ip // 16777216 >= 224 OR ip // 4194304 = 401 OR ip // 65536 IN (43518, 49320) OR ip // 1048576 = 2753 AS reserved FROM n""")
 def ip_numbers(t):
-    r = rows(t, _IPS, "id long, x string").withColumn("ip", geo.ipv4(F.col("x")))
+    r = derived(t, _IPS).withColumn("ip", geo.ipv4(F.col("x")))
     return r.select("id", "ip", geo.is_reserved(F.col("ip")).alias("reserved"))
 
 
-_JSON = [(1, 'noise {"a": {"b": 2}, "name": "x"} tail'), (2, "no json"), (3, '{"a": }'), (4, None), (5, '```json\n{"name": "yé"}\n```')]
+_JSON = """SELECT event_id AS id, CASE event_id % 6 WHEN 0 THEN 'noise ' || props || ' tail' WHEN 1 THEN 'no json' WHEN 2 THEN substr(props, 1, 5) || '}' WHEN 3 THEN NULL WHEN 4 THEN '```json' || chr(10) || '{"name": "yé' || CAST(user_id AS STRING) || '", "a": ' || props || '}' || chr(10) || '```' ELSE props || props END AS x FROM {events}"""
 
 
-@query(f"SELECT id, name, b FROM {values([(1, 'x', 2), (2, None, None), (3, None, None), (4, None, None), (5, 'yé', None)])} w(id, name, b)")
+@query(f"""WITH j AS (SELECT id, nullif(regexp_extract(x, '(?s)(\{{.*\}})', 1), '') AS j FROM ({plain(_JSON)})), v AS (SELECT id, CASE WHEN json_valid(j) THEN j END AS j FROM j)
+SELECT id, json_extract_string(j, '$.name') AS name, coalesce(json_extract_string(j, '$.k'), json_extract_string(j, '$.a.k'))::INTEGER AS k FROM v""")
 def tolerant_json(t):
     v = text.tolerant_json(F.col("x"))
-    return rows(t, _JSON, "id long, x string").select("id", F.try_variant_get(v, "$.name", "string").alias("name"), F.try_variant_get(v, "$.a.b", "int").alias("b"))
+    return derived(t, _JSON).select("id", F.try_variant_get(v, "$.name", "string").alias("name"), F.coalesce(F.try_variant_get(v, "$.k", "int"), F.try_variant_get(v, "$.a.k", "int")).alias("k"))
 
 
 @query("""SELECT doc_id, CASE WHEN len(regexp_extract_all(coalesce(text, ''), '[^ ]+')) % 3 = 0 THEN array_to_string(list_transform(regexp_extract_all(substr(coalesce(text, ''), 1, 60), '[a-z]+'), lambda w: upper(w)), ',') END AS names FROM documents""")
@@ -101,9 +105,14 @@ def aligned_lists(t):
     return t("documents").select("doc_id", F.array_join(text.aligned(other, own), ",").alias("names"))
 
 
-_PATHS = [(1, "../b/c", "https://a.org/x/y/z?q"), (2, "./d", "https://a.org/x/"), (3, "../../../e/..", "https://a.org/x/y"), (4, "//b.org/a/./b", "http://a.org/"), (5, "?p=2", "https://a.org/x?p=1"), (6, "#top", "https://a.org/x?p=1"), (7, "f..g/h.", "https://a.org")]
+_PATHS = """SELECT page_id AS id, url AS base, CASE page_id % 11 WHEN 0 THEN '../b/c' WHEN 1 THEN './d' WHEN 2 THEN '../../../e/..' WHEN 3 THEN '//b.org/a/./b' WHEN 4 THEN '?p=' || CAST(page_id AS STRING) WHEN 5 THEN '#top' WHEN 6 THEN 'f..g/h.' WHEN 7 THEN '/r/../s/' || CAST(page_id AS STRING) || '?q=../x' WHEN 8 THEN 'mailto:a@b.org' WHEN 9 THEN 'https://c.org/x/./y' ELSE 'rel/' || CAST(page_id AS STRING) END AS href FROM {pages}"""
 
 
-@query(f"SELECT id, full_url FROM {values([(1, 'https://a.org/x/b/c'), (2, 'https://a.org/x/d'), (3, 'https://a.org/'), (4, 'http://b.org/a/b'), (5, 'https://a.org/x?p=2'), (6, 'https://a.org/x?p=1#top'), (7, 'https://a.org/f..g/h.')])} w(id, full_url)")
+@query(rf"""WITH p AS ({plain(_PATHS)}), b AS (SELECT *, regexp_replace(base, '[?#].*$', '') AS bare, regexp_extract(base, '^(https?://[^/?#]+)', 1) AS origin FROM p),
+f AS (SELECT id, CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN href WHEN starts_with(href, '//') THEN regexp_extract(base, '^(https?:)', 1) || href WHEN starts_with(href, '/') THEN origin || href WHEN starts_with(href, '?') THEN bare || href
+ WHEN starts_with(href, '#') THEN regexp_replace(base, '#.*$', '') || href ELSE CASE WHEN bare = origin THEN bare || '/' ELSE regexp_replace(bare, '/[^/]*$', '/') END || href END AS u FROM b),
+s AS (SELECT id, u, regexp_extract(u, '^(https?://[^/?#]*)', 1) AS host, regexp_extract(u, '([?#].*)$', 1) AS tail FROM f), q AS (SELECT *, u[length(host) + 1 : length(u) - length(tail)] AS path FROM s),
+k AS (SELECT *, string_split(path, '/') AS seg FROM q), r AS (SELECT *, list_reduce(list_prepend([]::VARCHAR[], list_transform(seg, lambda x: [x])), lambda acc, x: CASE WHEN x[1] = '..' THEN acc[1:greatest(len(acc) - 1, 1)] WHEN x[1] = '.' THEN acc ELSE list_concat(acc, x) END) AS kept FROM k)
+SELECT id, CASE WHEN host = '' THEN u WHEN regexp_matches(path, '(?:^|/)\.\.?(?:/|$)') THEN host || array_to_string(kept, '/') || CASE WHEN seg[-1] IN ('.', '..') THEN '/' ELSE '' END || tail ELSE u END AS full_url FROM r""")
 def resolved_urls(t):
-    return rows(t, _PATHS, "id long, href string, base string").select("id", urls.resolve(F.col("href"), F.col("base")).alias("full_url"))
+    return derived(t, _PATHS).select("id", urls.resolve(F.col("href"), F.col("base")).alias("full_url"))
