@@ -110,3 +110,14 @@ def applicability_judgement(t):
     e = derived(t, EXTRACTS)
     j = e.select("id", "text", F.when(F.col("id") % 3 == 0, "B").when(F.col("id") % 3 == 1, "A").alias("kind"), F.when(F.col("id") % 2 == 0, F.col("ev_title")).otherwise("nothing so").alias("proof"))
     return j.select("id", F.coalesce((F.col("kind") == "B") & evidence.in_source(F.col("proof"), F.col("text")), F.lit(False)).alias("blocked"))
+
+
+_SEARCHED = "lower(concat_ws(' ', nullif(title, ''), nullif(org, ''), nullif(source, '')))"
+
+
+@query(f"""SELECT id, coalesce(length(text) > 200 AND NOT {_SIGNAL.format(x='text')} AND NOT {_SIGNAL.format(x="concat_ws(' ', title, org)")}, false) AS silent, sha256({_SEARCHED}) AS searched FROM ({plain(EXTRACTS)})""")
+def silent_pages(t):
+    """Pages of some length without a word of applying, in them or in what was taken from them; and the text to be searched."""
+    from ..operators import catalog, quality
+
+    return derived(t, EXTRACTS).select("id", quality.no_signal(F.col("text"), ["title", "org"]).alias("silent"), F.sha2(catalog.search_text(["title", "org", "source"]), 256).alias("searched"))
