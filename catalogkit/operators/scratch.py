@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def fixed(df: DataFrame) -> DataFrame:
@@ -19,3 +20,9 @@ def fixed(df: DataFrame) -> DataFrame:
             root = tempfile.mkdtemp(prefix="catalogkit-")
         spark.sparkContext.setCheckpointDir(root)
     return df.checkpoint()
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """The same rows. A later filter is not moved before what computed its columns, which would compute them anew for it, or
+    for each row before an aggregate."""
+    return df.select(F.inline(F.array(F.struct(*df.columns))))
