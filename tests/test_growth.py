@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from catalogkit.operators import official
+from catalogkit.operators import official, references
 
 
 def test_items_share_the_hits_of_a_search(spark):
@@ -13,3 +13,17 @@ def test_items_share_the_hits_of_a_search(spark):
     found = official.located(links, searches, spark.createDataFrame(hits, "search long, query int, rank long, url string"), spark.createDataFrame(pages, "url string, text string, level string"), "item", ["third.org"])
     # item 1 probes own, h2, h0, h1, h3, h4; item 2 own, h0 to h4; item 3 h0 to h5
     assert sorted(tuple(r) for r in found.collect()) == [(1, "https://h2.org/", "org", 6), (2, "https://h2.org/", "org", 6), (3, "https://h5.org/", "specific", 6)]
+
+
+def test_an_issue_may_have_any_number_of_items(spark):
+    items = [(1, n, f"《Title {n}》", f"o{n}", "news", f"u{n}") for n in range(references.LOOSE + 200)]
+    texts = [(1, 0, "[999] [[1000]] [[1100:far]] 【Title 1150】【Title 7】 [998：w]"), (1, None, "【Title 7】[3]"), (1, 1, "[[1199:]] [[1199: ]] [[1200:none]] 【Title 1150】"), (2, 0, "[0]【Title 7】"), (None, 0, "[0]")]
+    t, i = spark.createDataFrame(texts, "issue int, ord long, text string"), spark.createDataFrame(items, "issue int, n int, title string, oid string, kind string, url string")
+    found = references.segments(t, i).collect()
+    held = {(r.issue, r.ord, r.seg): (r.t, r.ref, r.oid, r.label) for r in found}
+    # the text without a place comes first in its issue
+    assert held[1, None, 0] == (None, 1, "o7", "Title 7") and held[1, None, 1] == (None, 2, "o3", "Title 3")
+    assert [held[1, 0, k][2] for k in (0, 2, 4, 5)] == ["o999", "o1100", "o1150", "o7"] and held[1, 0, 1][0] == " [[1000]] " and held[1, 0, 7][2:] == ("o998", "w")
+    assert held[1, 1, 0][0].startswith("[[1199:]] ") is True and held[2, 0, 0][0] == "[0]【Title 7】" and held[None, 0, 0][0] == "[0]"
+    # no text carries more names than a loose mark can have
+    assert max(len(r) for r in references.loose_names(i).select("_names").collect()[0]) == references.LOOSE
