@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.urls import bound
 from .scratch import fixed
 
 
@@ -64,14 +65,18 @@ def page(df: DataFrame, order: list, number: int, size: int = 30) -> DataFrame:
 
 def tags(text: Column, dictionary: list[tuple[str, list[str], list[str]]]) -> Column:
     """Labels whose substring terms stand anywhere or whose word terms stand as whole ASCII words, in any case. The text
-    is lower-cased once, and each label is one alternation."""
-    found = []
-    for label, anywhere, words in dictionary:
-        parts = ["|".join(map(_literal, anywhere))] if anywhere else []
-        if words:
-            parts.append(r"(?:^|[^a-z0-9_])(?:" + "|".join(map(_literal, words)).replace(" ", "[ -]") + r")(?:[^a-z0-9_]|$)")
-        found.append((label, "|".join(parts)))
-    return F.transform(F.array(F.lower(F.coalesce(text, F.lit("")))), lambda t: F.array_compact(F.array(*(F.when(t.rlike(p), F.lit(label)) for label, p in found))))[0]
+    is lower-cased once; a plain search comes first, and only a text that holds a word's letters is searched by a pattern."""
+
+    def held(t: Column, anywhere: list[str], words: list[str]) -> Column:
+        found = F.lit(False)
+        for term in anywhere:
+            found = found | F.contains(t, F.lit(term))
+        for word in words:
+            w = _literal(word).replace(" ", "[ -]")
+            found = found | (F.contains(t, F.lit(max(word.split(" "), key=len))) & t.rlike(rf"{w}(?<![a-z0-9_]{w})(?![a-z0-9_])"))
+        return found
+
+    return bound(F.lower(F.coalesce(text, F.lit(""))), lambda t: F.array_compact(F.array(*(F.when(held(t, a, w), F.lit(label)) for label, a, w in dictionary))))
 
 
 def _literal(term: str) -> str:
@@ -79,7 +84,8 @@ def _literal(term: str) -> str:
 
 
 def tag_counts(df: DataFrame, column: str) -> DataFrame:
-    return df.select(F.explode(column).alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))
+    # outer: else a filter computes the tags a second time
+    return df.select(F.posexplode_outer(column).alias("pos", "tag")).where("pos is not null").groupBy("tag").agg(F.count("*").alias("n"))
 
 
 def numbered(df: DataFrame, order: list, size: int) -> DataFrame:
@@ -94,7 +100,7 @@ def numbered(df: DataFrame, order: list, size: int) -> DataFrame:
 
 def official_url(df_url: str, df_official: str, third_party: list[str], trusted: list[str]) -> Column:
     """Where a record leads: its official url, then its own, if the organiser's; then either on a trusted platform."""
-    from ..functions.urls import bound, host_of, suffixes
+    from ..functions.urls import host_of, suffixes
 
     def found(r: Column) -> Column:
         within = lambda domains, of: F.coalesce(F.arrays_overlap(of, F.array(*map(F.lit, domains))), F.lit(False))

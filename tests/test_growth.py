@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from catalogkit.operators import official, references
+import re
+
+from catalogkit.operators import catalog, official, references, verify
+from pyspark.sql import functions as F
 
 
 def test_items_share_the_hits_of_a_search(spark):
@@ -27,3 +30,14 @@ def test_an_issue_may_have_any_number_of_items(spark):
     assert held[1, 1, 0][0].startswith("[[1199:]] ") is True and held[2, 0, 0][0] == "[0]【Title 7】" and held[None, 0, 0][0] == "[0]"
     # no text carries more names than a loose mark can have
     assert max(len(r) for r in references.loose_names(i).select("_names").collect()[0]) == references.LOOSE
+
+
+def test_tags_are_searched_plainly_before_patterns_and_once(spark):
+    d = [("law", ["licen"], ["mit", "open call"]), ("a+", [], ["a+", "yo"])]
+    texts = ["permit", "MIT", "a mit.", "mit_", "emit mit", "open-call", "reopen call open call!", "open  call", "a+", "xa+ yo-yo", "yoyo", "LICENce", "ämit", "mit\n", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    found = {r.i: r.tags for r in df.select("i", catalog.tags(F.col("text"), d).alias("tags")).collect()}
+    assert [i for i in found if "law" in found[i]] == [1, 2, 4, 5, 6, 11, 12, 13] and [i for i in found if "a+" in found[i]] == [8, 9]
+    n = catalog.tag_counts(df.select(catalog.tags(F.col("text"), d).alias("tags")), "tags")
+    assert sorted(tuple(r) for r in n.collect()) == [("a+", 2), ("law", 8)]
+    assert n._jdf.queryExecution().optimizedPlan().toString().count("lower(") == 1  # two before: a filter had the tags computed again
