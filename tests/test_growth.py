@@ -41,3 +41,12 @@ def test_tags_are_searched_plainly_before_patterns_and_once(spark):
     n = catalog.tag_counts(df.select(catalog.tags(F.col("text"), d).alias("tags")), "tags")
     assert sorted(tuple(r) for r in n.collect()) == [("a+", 2), ("law", 8)]
     assert n._jdf.queryExecution().optimizedPlan().toString().count("lower(") == 1  # two before: a filter had the tags computed again
+
+
+def test_a_page_is_squeezed_once_for_all_its_checks(spark):
+    row = [(1, True, "Apply  by May.", "Apply by", "2030-01-01", "by  May", None, None, None, "https://a.org/x", "a.org", "official", None)]
+    names = "id long, applicable boolean, text string, ev_title string, deadline string, ev_deadline string, fee string, ev_fee string, deadline_note string, url string, domain string, org_type string, trust_auto boolean"
+    q = verify.trust(verify.verify_opportunity(spark.createDataFrame(row, names), [("deadline", "ev_deadline"), ("fee", "ev_fee")], "2026-06-01")).where("drop_reason is null and trust = 'auto'")
+    assert [tuple(r) for r in q.select("id", "deadline", "any_fail").collect()] == [(1, "2030-01-01", False)]
+    plan = q._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"regexp_replace\((?:coalesce\()?text#", plan)) == 1  # several before
