@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import has_cjk, present
 from .ordering import interleave, top
+from .scratch import fixed
 
 
 def day_before(as_of: str, days: int) -> Column:
@@ -45,19 +46,33 @@ def clue_text(x: Column) -> Column:
     return F.regexp_replace(F.lower(x), r"[\s《》「」【】'\"·・\-—()（）“”‘’]", "")
 
 
+def _told(wanted: DataFrame, lines: DataFrame, by: list[str]) -> DataFrame:
+    """The different (*by, x) of ``wanted`` whose text stands in a line (*by, line) of the same ``by``. Texts that are whole lines
+    are settled first. Of the others only the lengths, which are few, meet the lines: a line's runs of these lengths are
+    looked up as they are, so that no text is compared with every line, however much the texts or lines have in common."""
+    lines, wanted = fixed(lines.distinct()), wanted.distinct()
+    key = [*by, "x"]
+    whole = fixed(wanted.join(lines.withColumnRenamed("line", "x").withColumn("_whole", F.lit(True)), key, "left"))
+    rest = whole.where("_whole is null").select(key)
+    lengths = rest.groupBy(*by).agg(F.collect_set(F.length("x")).alias("_lengths"))
+    runs = F.flatten(F.transform("_lengths", lambda n: F.when(n <= F.length("line"), F.transform(F.sequence(F.lit(1), F.length("line") - n + 1), lambda i: F.substr("line", i, n))).otherwise(F.array().cast("array<string>"))))
+    met = lines.join(lengths, by) if by else lines.crossJoin(F.broadcast(lengths))  # without ``by`` one row
+    within = met.select(*by, F.explode_outer(F.array_distinct(runs)).alias("x")).join(rest, key).distinct()
+    return whole.where("_whole").select(key).unionByName(within)
+
+
 def clue_verdicts(clues: DataFrame, hits: DataFrame, history: DataFrame, library: DataFrame) -> DataFrame:
-    """What becomes of each clue (batch, ord, name): invented (no hit of its batch has the name), short, tried before,
-    known (a title of the library holds it), or fresh. Hits of a batch are few; titles of the library are met by runs of
-    four letters of the clue, so no clue is compared with every title."""
+    """What becomes of each clue (batch, ord, name): invented (no hit of its batch has the name, in its title, its snippet or
+    both in a line), short, tried before, known (a title of the library holds it), or fresh. Neither the hits of a batch nor
+    the titles of the library are compared with each clue."""
     c = clues.withColumn("fp", clue_text(F.col("name")))
-    seen = hits.groupBy("batch").agg(F.array_join(F.collect_list(F.concat_ws(" ", "title", "snippet")), "\n").alias("all"))
-    c = c.join(seen, "batch", "left").withColumn("told", F.coalesce(F.contains("all", F.col("name")), F.lit(False))).drop("all")
+    named = c.where(F.length("name") >= 4).select("batch", F.col("name").alias("x"))
+    parts = F.array_distinct(F.array_compact(F.array("title", "snippet", F.concat_ws(" ", "title", "snippet"))))
+    told = _told(named, hits.select("batch", F.explode(parts).alias("line")), ["batch"])
+    c = c.join(told.select("batch", F.col("x").alias("name"), F.lit(True).alias("told")), ["batch", "name"], "left")
     c = c.join(history.select("fp", F.lit(True).alias("tried")).distinct(), "fp", "left")
-    grams = lambda x: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(x) - 3), lambda i: F.substr(x, i, F.lit(4))))
-    long = c.where(F.length("fp") >= 4).select("fp").distinct()
-    keyed = long.withColumn("gram", F.substring("fp", 1, 4))
-    titles = library.select(clue_text(F.col("title")).alias("t")).where(F.length("t") >= 4).distinct()
-    met = titles.select("t", F.explode(grams(F.col("t"))).alias("gram")).join(keyed, "gram").where(F.contains("t", F.col("fp"))).select("fp").distinct()
-    c = c.join(met.withColumn("known", F.lit(True)), "fp", "left")
-    verdict = F.when((F.length("name") < 4) | ~F.col("told"), "invented").when(F.col("tried"), "tried").when((F.length("fp") < 4) | F.coalesce("known", F.lit(False)), "known").otherwise("fresh")
+    titles = library.select(clue_text(F.col("title")).alias("line")).where(F.length("line") >= 4)
+    known = _told(c.where(F.length("fp") >= 4).select(F.col("fp").alias("x")), titles, [])
+    c = c.join(known.select(F.col("x").alias("fp"), F.lit(True).alias("known")), "fp", "left")
+    verdict = F.when((F.length("name") < 4) | ~F.coalesce("told", F.lit(False)), "invented").when(F.col("tried"), "tried").when((F.length("fp") < 4) | F.coalesce("known", F.lit(False)), "known").otherwise("fresh")
     return c.withColumn("verdict", verdict).drop("told", "tried", "known")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from catalogkit.operators import catalog, official, references, verify
+from catalogkit.operators import catalog, collect, official, references, verify
 from pyspark.sql import functions as F
 
 
@@ -50,3 +50,14 @@ def test_a_page_is_squeezed_once_for_all_its_checks(spark):
     assert [tuple(r) for r in q.select("id", "deadline", "any_fail").collect()] == [(1, "2030-01-01", False)]
     plan = q._jdf.queryExecution().optimizedPlan().toString()
     assert len(re.findall(r"regexp_replace\((?:coalesce\()?text#", plan)) == 1  # several before
+
+
+def test_clues_are_not_compared_with_all_hits(spark):
+    names = [(1, "Alpha Prize"), (1, "pha Pri"), (1, "Prize seen"), (1, "abc"), (1, "Nowhere"), (2, "Alpha Prize"), (1, "Ze seen x"), (None, "Alpha Prize"), (1, "《abc》d"), (1, "Fresh One")]
+    clues = spark.createDataFrame([(i, *r) for i, r in enumerate(names)], "ord int, batch int, name string")
+    hits = spark.createDataFrame([(1, "Alpha Prize", "seen"), (1, "Alpha Prize", "seen"), (1, None, "《abc》d and Fresh One"), (2, "other", None), (1, "", "")], "batch int, title string, snippet string")
+    history = spark.createDataFrame([("phapri",)], "fp string")
+    library = spark.createDataFrame([("The Alpha Prizes",), ("xabcd",), ("abc",), (None,)], "title string")
+    df = collect.clue_verdicts(clues, hits, history, library)
+    assert [r.verdict for r in df.orderBy("ord").collect()] == ["known", "tried", "fresh", "invented", "invented", "invented", "invented", "invented", "known", "fresh"]
+    assert "contains(" not in df._jdf.queryExecution().optimizedPlan().toString().lower()  # before: each clue against all hits of its batch in one text
