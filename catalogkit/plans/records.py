@@ -169,8 +169,10 @@ def qc_report(t):
 UNION ALL SELECT 'restored', count(*) FROM i WHERE reason IS NULL OR reason = 'duplicate' UNION ALL SELECT 'tombstones', count(*) FROM i WHERE reason IS NOT NULL UNION ALL SELECT 'after purge', 0""")
 def archive_restore(t):
     from ..operators import merge
+    from ..operators.scratch import fixed
 
-    live, bin_, tombs = merge.archive(_inspected(t), "id", F.col("reason"))
+    # inspected once, not for each side, and no more of a record than its id and reason
+    live, bin_, tombs = merge.archive(fixed(_inspected(t).select("id", "reason")), "id", F.col("reason"))
     back, _, _ = merge.restore(live, bin_, tombs, "id", F.col("reason") == "duplicate")
     left, kept = merge.purge(bin_, tombs, F.lit(True))
     counts = [("stays", live), ("recycle", bin_), ("restored", back), ("tombstones", kept), ("after purge", left)]

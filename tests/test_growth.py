@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 from catalogkit.operators import catalog, collect, official, references, verify
+from catalogkit.plans import registry
 from pyspark.sql import functions as F
 
 
@@ -61,3 +62,9 @@ def test_clues_are_not_compared_with_all_hits(spark):
     df = collect.clue_verdicts(clues, hits, history, library)
     assert [r.verdict for r in df.orderBy("ord").collect()] == ["known", "tried", "fresh", "invented", "invented", "invented", "invented", "invented", "known", "fresh"]
     assert "contains(" not in df._jdf.queryExecution().optimizedPlan().toString().lower()  # before: each clue against all hits of its batch in one text
+
+
+def test_records_are_inspected_once_for_all_sides(spark):
+    df = registry.queries()["archive_restore"](spark, "/root/testdata/sf0.001")
+    assert "parquet" not in df._jdf.queryExecution().optimizedPlan().toString().lower()  # before: the orders were read and inspected for each side
+    assert {r.side for r in df.collect()} == {"stays", "recycle", "restored", "tombstones", "after purge"}
