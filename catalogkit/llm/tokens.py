@@ -2,10 +2,10 @@
 
 Both vocabularies split a text into pretokens before any merge, and no pretoken reaches across white space but for
 one leading space. So a text cut at those places gives the same ids piece by piece as a whole. Arrow cuts a block of
-texts at spaces and finds its distinct parts; only these are looked up, and their ids are dealt to all places at once.
-Each worker keeps the ids of the parts that it has met, up to a bound. New pieces of Latin-1 letters, which most are,
-are cut into the pretokens of the vocabulary here, and the library's model gets each distinct pretoken once; other new
-pieces go through the whole library.
+texts at spaces and finds its distinct parts. Those of Latin-1 letters, which most are, are cut into the pretokens of the
+vocabulary here, all of a block at once by the classes of their bytes; the library's model gets each distinct pretoken
+once, and the ids are dealt to all places at once. Other parts go through the whole library. Each worker keeps the ids of
+the pretokens and other parts that it has met, up to a bound.
 """
 
 from __future__ import annotations
@@ -29,14 +29,27 @@ _PIECE = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 STEP_BYTES = 4 << 20
 #: Printable Latin-1 is in normal form, and Python and the tokenizers agree on its classes and lower case.
 _LATIN = re.compile("[\x20-\x7e\xa1-\xff]*[\x21-\x7e\xa1-\xff]")
-#: A single pretoken of either vocabulary.
-_WORD = re.compile(" ?[A-Za-z]+")
 _LETTER, _NUMBER = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾"
 _ENDINGS = "'s|'t|'re|'ve|'m|'ll|'d"
 #: How the two kinds of vocabulary cut a piece into pretokens.
 _SPACED = re.compile(f"{_ENDINGS}| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^ {_LETTER}{_NUMBER}]+")
 _UNSPACED = re.compile(f"{_ENDINGS}|[{_LETTER}]+|[{_NUMBER}]|[^{_LETTER}{_NUMBER}]+")
 
+#: Classes of the bytes of printable Latin-1 and ASCII white space in UTF-8; other letters have none.
+_L, _N, _O, _W = 1, 2, 3, 4
+_CLASS = np.zeros(256, np.uint8)
+_CLASS[0x21:0x7F] = _O
+_CLASS[[0x20, *range(0x09, 0x0E)]] = _W
+#: By the second byte, after 0xC2 and after 0xC3.
+_CLASS_C2, _CLASS_C3 = np.zeros(256, np.uint8), np.zeros(256, np.uint8)
+_CLASS_C2[0xA1:0xC0] = _CLASS_C3[0x80:0xC0] = _O
+for _c, _letters in ((_L, re.compile(f"[{_LETTER}]")), (_N, re.compile(f"[{_NUMBER}]"))):
+    for _i in filter(lambda i: _letters.match(chr(i)), range(0x100)):
+        (_CLASS if _i < 0x80 else _CLASS_C2 if _i < 0xC0 else _CLASS_C3)[chr(_i).encode()[-1]] = _c
+#: What lower-casing adds to the second byte after 0xC3.
+_DOWN_C3 = np.array([0x20 if 0x80 <= i <= 0x9E and i != 0x97 else 0 for i in range(256)], np.uint8)
+_SHORT_ENDINGS, _LONG_ENDINGS = np.frombuffer(b"stmd", np.uint8), ((0x72, 0x65), (0x76, 0x65), (0x6C, 0x6C))
+
 
 @dataclass
 class Vocabulary:
@@ -48,7 +61,7 @@ class Vocabulary:
 
 
 class Encoder(dict):
-    """Ids of each piece met so far, as bytes; a piece that is missing is looked up in the library."""
+    """Ids of each pretoken and piece met so far, as bytes; what is missing is looked up in the library."""
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
@@ -58,7 +71,7 @@ class Encoder(dict):
         self.model = self.tokenizer.model
         self.cut = (_SPACED if vocabulary.spaced else _UNSPACED).findall
         self.split = _PIECE.findall if vocabulary.spaced else str.split
-        letters = [chr(i) for i in (*range(0x20, 0x7F), *range(0xA1, 0x100))]
+        letters = [chr(i) for i in (*range(0x09, 0x0E), *range(0x20, 0x7F), *range(0xA1, 0x100))]
         as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.spelling = {ord(c): as_bytes.pre_tokenize_str(c)[0][0] for c in letters}
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
@@ -72,8 +85,6 @@ class Encoder(dict):
 
     def _new(self, piece: str) -> bytes:
         low = piece if self.v.spaced else piece.lower()
-        if _WORD.fullmatch(low):
-            return self._pretoken(low.replace(" ", self.spelling[0x20]))
         if not _LATIN.fullmatch(piece):
             pieces = self.split(piece)  # a part that ends at a space may hold other white space
             return self._whole(piece) if pieces == [piece] else b"".join(map(self.__getitem__, pieces))
@@ -86,43 +97,111 @@ class Encoder(dict):
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint16).tobytes()
 
-    def _text(self, text: str) -> np.ndarray:
-        """A text as a whole if it has a letter that the two sides see differently, else piece by piece."""
-        if _ODD.search(text) or any(s in text for s in self.special):
-            return np.frombuffer(self._whole(text), np.uint16)
-        return np.frombuffer(b"".join(map(self.__getitem__, self.split(text))), np.uint16)
+    def _pretokens(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Bytes of pieces (lower-cased where the vocabulary does so), the first byte of each pretoken, and which pretokens
+        are a whole piece with a letter outside Latin-1. A space in a piece stands first or among white space only."""
+        size = np.diff(offsets)
+        begins = np.zeros(len(data) + 1, bool)
+        begins[offsets] = True
+        kind, low = _CLASS[data], data if self.v.spaced else common._LOWER[data]
+        for lead, classes in ((0xC2, _CLASS_C2), (0xC3, _CLASS_C3)):
+            at = np.flatnonzero(data == lead)
+            kind[at] = kind[at + 1] = classes[data[at + 1]]
+            if lead == 0xC3 and not self.v.spaced:
+                low[at + 1] += _DOWN_C3[data[at + 1]]
+        start = begins[:-1].copy()
+        start[1:] |= kind[1:] != kind[:-1]
+        if self.v.spaced:
+            gap = kind == _W
+            if gap.any():  # the last of some white space stands alone before a word; a leading space belongs to the word
+                last = np.flatnonzero(gap[:-1] & ~gap[1:] & ~begins[1:-1])
+                start[last] = True
+                start[last[begins[last] & (data[last] == 0x20)] + 1] = False
+        else:
+            start |= (kind == _N) & (data & 0xC0 != 0x80)
+        at = np.flatnonzero(low == 0x27)
+        if len(at):  # endings: not after other signs or a space, which take the apostrophe
+            before = at - 1
+            at = at[begins[at] | (kind[before] != _O) & (data[before] != 0x20)]
+            room = np.concatenate([low, np.zeros(2, np.uint8)])
+            one, two = room[at + 1], room[at + 2]
+            short = np.isin(one, _SHORT_ENDINGS) & ~begins[at + 1]
+            long = np.zeros(len(at), bool)
+            for x, y in _LONG_ENDINGS:
+                long |= (one == x) & (two == y)
+            long &= ~(begins[at + 1] | begins[np.minimum(at + 2, len(data))])
+            start[at[short | long] + 1] = False
+            after = np.concatenate([at[short] + 2, at[long] + 3])
+            start[after[after < len(data)]] = True
+        strange = kind == 0
+        if strange.any():
+            whole = np.zeros(len(size), bool)
+            whole[np.searchsorted(offsets, np.flatnonzero(strange), "right") - 1] = True
+            inside = np.repeat(whole, size)
+            start &= ~inside | begins[:-1]
+            low = np.where(inside, data, low)
+            first = np.flatnonzero(start)
+            return low, first, np.flatnonzero(inside[first])
+        return low, np.flatnonzero(start), np.empty(0, np.int64)
+
+    def _pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces one after the other, and how many each has."""
+        data, offsets = common.text_bytes(pieces)
+        if not len(data):
+            return np.empty(0, np.uint16), np.zeros(len(pieces), np.int64)
+        data, first, whole = self._pretokens(data, offsets)
+        bounds = pa.py_buffer(np.append(first, len(data)).astype(np.int64))
+        coded = pa.LargeStringArray.from_buffers(len(first), bounds, pa.py_buffer(np.ascontiguousarray(data))).dictionary_encode()
+        which, units = coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        strange = np.zeros(len(units), bool)
+        strange[which[whole]] = True
+        raw = list(map(self.get, units))
+        for i in [i for i, ids in enumerate(raw) if ids is None]:
+            unit = units[i]
+            ids = self.older.get(unit)
+            if ids is None:
+                ids = self._new(unit) if strange[i] else self._pretoken(unit if unit.isascii() and unit.isalnum() else unit.translate(self.spelling))
+            raw[i] = self[unit] = ids
+        ids, n = _gathered(np.frombuffer(b"".join(raw), np.uint16), np.fromiter(map(len, raw), np.int64, len(raw)) // 2, which)
+        return ids, np.diff(np.concatenate([[0], np.cumsum(n)])[np.searchsorted(first, offsets)])
+
+    def _texts(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of texts: as a whole if one has a letter that the two sides see differently, else piece by piece."""
+        whole = [bool(_ODD.search(t)) or any(s in t for s in self.special) for t in texts]
+        split = [[] if w else self.split(t) for t, w in zip(texts, whole)]
+        coded = pa.array([p for pieces in split for p in pieces], pa.large_string()).dictionary_encode()
+        ids, n = _gathered(*self._pieces(coded.dictionary), coded.indices.to_numpy())
+        each = np.split(ids, np.concatenate([[0], np.cumsum(n)])[np.cumsum([len(x) for x in split])[:-1]])
+        return [np.frombuffer(self._whole(t), np.uint16) if w else x for t, w, x in zip(texts, whole, each)]
 
     def _block(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a block of texts, and how many each has."""
         alone = pc.match_substring_regex(texts, _ODD.pattern)
         for s in self.special:
             alone = pc.or_(alone, pc.match_substring(texts, s))
+        alone = alone.to_numpy(zero_copy_only=False)
         # in front of a space that white space does not follow a piece always begins
         parts = pc.split_pattern(texts, " ") if self.v.spaced else pc.ascii_split_whitespace(texts)
         ends = parts.offsets.to_numpy().astype(np.int64)
         coded = parts.flatten().dictionary_encode()
-        which, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        which, pieces = coded.indices.to_numpy().astype(np.int64), coded.dictionary
         if self.v.spaced:
+            none = pa.scalar("", pa.large_string())
             first = ends[:-1]  # the first part of a text has no space before it
-            odd = np.array([not w or w[0].isspace() for w in words], bool)[which]
-            odd[first] = False
-            alone = alone.to_numpy(zero_copy_only=False) | (np.diff(np.concatenate([[0], np.cumsum(odd)])[ends]) > 0)
-            heads = [self[words[i]] if words[i] else b"" for i in which[first].tolist()]
-            which[first] = len(words) + np.arange(len(first))
-            raw = [b"" if not w or w[0].isspace() else self[" " + w] for w in words] + heads
-        else:
-            alone = alone.to_numpy(zero_copy_only=False)
-            raw = [self[w] if w else b"" for w in words]
-        size = np.fromiter(map(len, raw), np.int64, len(raw)) // 2
-        known = np.frombuffer(b"".join(raw), np.uint16)
-        n = size[which]
-        upto = np.concatenate([[0], np.cumsum(n)])
-        ids = known[np.repeat((np.cumsum(size) - size)[which] - upto[:-1], n) + np.arange(upto[-1])]
-        counts = np.diff(upto[ends])
+            heads = pc.utf8_slice_codeunits(pieces, 0, 1).to_numpy(zero_copy_only=False).tolist()
+            odd = np.fromiter((not c or c.isspace() for c in heads), bool, len(pieces))
+            at = odd[which]
+            at[first] = False
+            alone = alone | (np.diff(np.concatenate([[0], np.cumsum(at)])[ends]) > 0)
+            begun = pieces.take(pa.array(which[first]))
+            which[first] = len(pieces) + np.arange(len(first))
+            pieces = pa.concat_arrays([pc.if_else(pa.array(odd), none, pc.binary_join_element_wise(none, pieces, pa.scalar(" ", pa.large_string()))), begun])
+        ids, n = _gathered(*self._pieces(pieces), which)
+        counts = np.diff(np.concatenate([[0], np.cumsum(n)])[ends])
         if alone.any():
-            each = np.split(ids, np.cumsum(counts)[:-1])
-            for i in np.flatnonzero(alone).tolist():
-                each[i] = self._text(texts[i].as_py())
+            each, places = np.split(ids, np.cumsum(counts)[:-1]), np.flatnonzero(alone).tolist()
+            for i, found in zip(places, self._texts([texts[i].as_py() for i in places])):
+                each[i] = found
             ids, counts = np.concatenate(each), np.array([len(x) for x in each], np.int64)
         if len(self) > self.v.most_pieces:
             self.older = dict(self)
@@ -152,6 +231,14 @@ class Encoder(dict):
                 yield a, b, *self._block(part)
 
 
+def _gathered(ids: np.ndarray, size: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of runs, which stand one after the other with these sizes, at the places that name a run each; their counts."""
+    n = size[which]
+    upto = np.cumsum(n)
+    shift = (np.cumsum(size) - size)[which] - (upto - n)
+    return ids[np.repeat(shift, n) + np.arange(upto[-1] if len(upto) else 0)], n
+
+
 _encoders: dict[tuple, Encoder] = {}
 
 

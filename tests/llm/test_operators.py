@@ -589,6 +589,26 @@ def test_ids_equal_the_librarys(vocabulary):
     assert encoded(mine, texts) == [x.ids for x in wanted]
 
 
+@pytest.mark.parametrize("vocabulary", [WORD_BPE, BYTE_BPE])
+def test_encoder_keeps_pretokens_and_not_their_spellings_in_texts(vocabulary):
+    rng = random.Random(14)
+    words = ["".join(rng.choices("abcdefgh\xe9\xfc", k=7)) for _ in range(150)]
+    around = ["{}", "{},", "{}.", "({})", "{}'s", "{}!?", '"{}"', "{}%%", "-{}-", "{}:", "[{}", "{}7"]
+    texts = [" ".join(rng.sample([a.format(w) for w in words for a in around], 300)) for _ in range(40)]
+    mine = Encoder(Vocabulary(vocabulary.path, vocabulary.spaced))
+    assert encoded(mine, texts) == [e.ids for e in mine.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert len(mine) <= 2 * (len(words) + len(around))  # with a space before them and without
+
+
+@pytest.mark.parametrize("vocabulary", [WORD_BPE, BYTE_BPE])
+def test_pretokens_are_cut_as_the_library_cuts(vocabulary):
+    rng = random.Random(15)
+    signs = ("a'''SsdrevlmT  \n\n1!", "a1\xb2\xe9\xc9\xd7!'s \n\t\r\x0b", "a's中　\xa0 \n")
+    texts = ["".join(rng.choices(s, k=rng.randint(0, 30))) for s in signs for _ in range(3000)]
+    mine = Encoder(Vocabulary(vocabulary.path, vocabulary.spaced, most_pieces=500))
+    assert encoded(mine, texts) == [e.ids for e in mine.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_token_files_round_trip(spark, awkward, no_docs):
     got = rows_of(token_files.read_documents(spark, token_files.write_tokens(awkward, WORD_BPE, 2)), "doc_id", "n_tokens", "ids_crc32")
     want = []
